@@ -1,6 +1,12 @@
 """The registered queries of this subpackage, and the SQL that gives the same rows where there is one."""
 
-from talkloom.llm import decontaminate
+from talkloom.llm import decontaminate, near_duplicates
 
-QUERIES = {"op10_decontaminate": decontaminate.op10_decontaminate}
-ORACLES = {"op10_decontaminate": decontaminate.ORACLE}
+QUERIES = {
+    "op6_near_duplicates": near_duplicates.op6_near_duplicates,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
+}
+ORACLES = {
+    "op6_near_duplicates": near_duplicates.ORACLE,
+    "op10_decontaminate": decontaminate.ORACLE,
+}

@@ -40,8 +40,17 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Sets the session's limit on the bytes of an Arrow batch where it has none, so that rows of long
+    texts don't add up in a Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, size)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
     """fn over each Arrow batch; its columns are put in the order of the schema."""
+    bound_batches(df.sparkSession)
     names = T._parse_datatype_string(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
