@@ -1,9 +1,11 @@
 """The registered queries of this subpackage, and the SQL that gives the same rows where there is one."""
 
-from talkloom.llm import decontaminate, near_duplicates
+from talkloom.llm import decontaminate, language, near_duplicates, toxicity
 
 QUERIES = {
+    "op1_language": language.op1_language,
     "op6_near_duplicates": near_duplicates.op6_near_duplicates,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
