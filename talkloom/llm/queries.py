@@ -1,14 +1,16 @@
 """The registered queries of this subpackage, and the SQL that gives the same rows where there is one."""
 
-from talkloom.llm import decontaminate, language, near_duplicates, toxicity
+from talkloom.llm import decontaminate, language, mixing, near_duplicates, toxicity
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op6_near_duplicates": near_duplicates.op6_near_duplicates,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_mixing": mixing.op8_mixing,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
     "op6_near_duplicates": near_duplicates.ORACLE,
+    "op8_mixing": mixing.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
