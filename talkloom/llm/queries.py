@@ -1,12 +1,15 @@
 """The registered queries of this subpackage, and the SQL that gives the same rows where there is one."""
 
-from talkloom.llm import decontaminate, language, mixing, near_duplicates, toxicity
+from talkloom.llm import attribution, decontaminate, grammar, language, mixing, near_duplicates, neighbours, toxicity
 
 QUERIES = {
     "op1_language": language.op1_language,
+    "op2_tokens": grammar.op2_tokens,
+    "op4_token_counts": attribution.op4_token_counts,
     "op6_near_duplicates": near_duplicates.op6_near_duplicates,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
+    "op9_neighbours": neighbours.op9_neighbours,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
