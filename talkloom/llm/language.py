@@ -196,11 +196,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_label: in
     return fit([r.t for r in found], [r.l for r in found])
 
 
-def label_words(docs: DataFrame, crf: Crf, text: str = "text", spans: bool = False) -> DataFrame:
+def label_words(docs: DataFrame, crf: Crf, text: str = "text", spans: bool = False, carry: bool = False) -> DataFrame:
     """doc_id, lang_pred, score, shares (label -> mean posterior) and, if asked for, the runs of words of one
-    label: (label, first word, number of words)."""
+    label: (label, first word, number of words), and `row`, the document's own columns."""
     held = docs.sparkSession.sparkContext.broadcast(crf)
-    shape = "doc_id long, best int, score double, shares array<float>, runs array<struct<label:string,start:int,n:int>>"
+    row = F.struct("*") if carry else F.lit(None).cast("int")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), row.alias("row"))
+    kind = read.schema["row"].dataType.simpleString()
+    shape = f"doc_id long, best int, score double, shares array<float>, runs array<struct<label:string,start:int,n:int>>, row {kind}"
 
     def rows(batch: pa.RecordBatch):
         crf = held.value
@@ -227,19 +230,19 @@ def label_words(docs: DataFrame, crf: Crf, text: str = "text", spans: bool = Fal
         kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("n", pa.int32())]))
         flat = pa.array(share.astype(np.float32).ravel())
         score = np.clip(np.round(share[np.arange(len(best)), best].astype(np.float64), 5), 0, 1)
-        return pa.table({"doc_id": batch.column(0), "best": best.astype(np.int32), "score": score, "shares": pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, n_labels, dtype=np.int32), flat), "runs": pa.array(runs, kind)})
+        return pa.table({"doc_id": batch.column(0), "best": best.astype(np.int32), "score": score, "shares": pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, n_labels, dtype=np.int32), flat), "runs": pa.array(runs, kind), "row": batch.column(2)})
 
-    out = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), rows, shape)
+    out = map_batches(read, rows, shape)
     labels = F.array(*[F.lit(x) for x in crf.labels])
-    return out.select("doc_id", F.get(labels, F.col("best")).alias("lang_pred"), "score", F.map_from_arrays(labels, "shares").alias("shares"), "runs")
+    return out.select("doc_id", F.get(labels, F.col("best")).alias("lang_pred"), "score", F.map_from_arrays(labels, "shares").alias("shares"), "runs", "row")
 
 
-def identify(docs: DataFrame, crf: Crf, text: str = "text", spans: bool = False) -> DataFrame:
+def identify(docs: DataFrame, crf: Crf, text: str = "text", spans: bool = False, carry: bool = False) -> DataFrame:
     """label_words() with `und` and score 0 for null texts and texts without a letter."""
     lettered = F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False))
     none = docs.filter(~lettered) if crf.labels else docs
-    empty = none.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("map<string,float>").alias("shares"), F.lit(None).cast("array<struct<label:string,start:int,n:int>>").alias("runs"))
-    return label_words(docs.filter(lettered), crf, text, spans).unionByName(empty) if crf.labels else empty
+    empty = none.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("map<string,float>").alias("shares"), F.lit(None).cast("array<struct<label:string,start:int,n:int>>").alias("runs"), (F.struct("*") if carry else F.lit(None).cast("int")).alias("row"))
+    return label_words(docs.filter(lettered), crf, text, spans, carry).unionByName(empty) if crf.labels else empty
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

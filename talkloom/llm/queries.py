@@ -1,11 +1,13 @@
 """The registered queries of this subpackage, and the SQL that gives the same rows where there is one."""
 
-from talkloom.llm import attribution, decontaminate, grammar, language, mixing, near_duplicates, neighbours, toxicity
+from talkloom.llm import attribution, chat, decontaminate, grammar, language, line_dedup, mixing, near_duplicates, neighbours, toxicity
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op2_tokens": grammar.op2_tokens,
+    "op3_chat": chat.op3_chat,
     "op4_token_counts": attribution.op4_token_counts,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_near_duplicates": near_duplicates.op6_near_duplicates,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
@@ -13,6 +15,8 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {
+    "op3_chat": chat.ORACLE,
+    "op5_line_dedup": line_dedup.ORACLE,
     "op6_near_duplicates": near_duplicates.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
