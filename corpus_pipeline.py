@@ -1,8 +1,75 @@
-"""Training-corpus pipeline."""
+"""Training-corpus pipeline: language, near duplicates, benchmark text, source weights, token files.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes to the shared folder and reads
+again as the next one's docs. All but the last return the columns of documents.
+
+Defined results: rows without a letter go in the first stage, so null and empty texts do; rows that share a
+doc_id are one document and stay or go together; an empty table passes through every stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from talkloom.llm import decontaminate as benchmark
+from talkloom.llm import grammar, language, mixing, near_duplicates
+from talkloom.llm.shared import new_path, stored
+
+#: Texts whose likeliest language has a smaller share of their words than this are rejected.
+MIN_LANGUAGE_SHARE = 0.4
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the field knows; those without letters or of no clear language go."""
+    found = language.identify(docs, language.train(docs), carry=True)
+    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE))
+    return kept.select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): that of smallest id."""
+    gone = near_duplicates.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    found = benchmark.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = found.filter("contaminated").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    found = mixing.mix(docs, mixing.words_in(), F.array(F.col("source").cast("string")))
+    times = found.filter("taken > 0").groupBy("doc_id").agg(F.max(F.expr("cast(taken / size as int)")).alias("times"))
+    taken = docs.join(times, docs["doc_id"].eqNullSafe(times["doc_id"])).select(*[docs[c] for c in docs.columns], F.sequence(F.lit(1), "times").alias("times"))
+    return taken.withColumn("times", F.explode("times")).drop("times")
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as grammar-compressed token files; their index, read back."""
+    import public_tokenizers
+
+    path = new_path(spark, "tokens")
+    grammar.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return grammar.token_index(grammar.read_tokens(spark, path))
+
+
+STAGES = [
+    ("language", keep_languages),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token files", write_token_files),
+]
+#: Languages are learned and tokens encoded, which SQL can't express; tests/llm has a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
