@@ -1,9 +1,41 @@
 """Registered queries of the transcript operators."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import importlib
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+MODULES = ("q_intervals", "q_turns", "q_text", "q_ranking", "q_chunking", "q_timing", "q_signals", "q_io")
+
+
+def _found(what: str) -> dict:
+    out = {}
+    for name in MODULES:
+        try:
+            module = importlib.import_module(f"talkloom.plans.{name}")
+        except ModuleNotFoundError as e:
+            if e.name != f"talkloom.plans.{name}":
+                raise
+            continue
+        out |= getattr(module, what)
+    return out
+
+
+def queries() -> dict:
+    return _found("QUERIES")
+
+
+def oracle_sql() -> dict:
+    return _found("ORACLES")
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    """Talk time and share of each speaker of each recording, speakers assigned by largest summed overlap."""
+    from talkloom.operators import turns
+    from talkloom.operators.intervals import assign_speaker_dominant
+    from talkloom.plans.fixtures import view
+
+    d = "/root/testdata/sf0.001"
+    segs = assign_speaker_dominant(view(spark, d, "fx_segs"), view(spark, d, "fx_diar"), ["seg_no"])
+    return turns.speaker_stats(segs.withColumn("speaker", segs["assigned"]))
