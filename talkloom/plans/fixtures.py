@@ -34,6 +34,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     "fx_cands": _both("""SELECT CAST(row_number() OVER (PARTITION BY video_id ORDER BY start_ms) - 1 AS BIGINT) AS cand_no, * FROM (SELECT video_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, min(speaker) AS speaker, TEXT AS text FROM {fx_segs} GROUP BY video_id, CAST(floor(start_ms / 30000) AS BIGINT)) g""", "seg_no", "text"),
     "fx_scores": "SELECT *, " + ", ".join(f"((video_id * 31 + cand_no * 17 + {k} * 13) % 101) / 100.0D AS c{k}" for k in range(7)) + """, (video_id * 7 + cand_no) % 11 = 0 AS needs_prev, (video_id * 5 + cand_no) % 13 = 0 AS needs_next, CASE (video_id + cand_no) % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS benefit FROM {fx_cands}""",
     "fx_over": """SELECT v.video_id, CAST(row_number() OVER (PARTITION BY v.video_id ORDER BY start_ms, end_ms) - 1 AS BIGINT) AS cand_no, start_ms, end_ms, CAST(((v.video_id * 31 + start_ms / 1000 * 17 + end_ms / 1000 * 13) % 101) / 100.0D AS DOUBLE) AS score FROM (SELECT video_id, k * 15000 AS start_ms, k * 15000 + w AS end_ms FROM (SELECT video_id, CAST(max(end_ms) AS BIGINT) AS stop FROM {fx_words} GROUP BY video_id) m, (SELECT DISTINCT CAST(cand_no AS BIGINT) AS k FROM {fx_cands} WHERE cand_no < 40) ks, (SELECT 30000 AS w UNION ALL SELECT 60000 UNION ALL SELECT 90000) ws WHERE k * 15000 < stop) v""",
+    "fx_texts": """SELECT video_id, seg_no, speaker, start_ms, end_ms, CASE seg_no % 9 WHEN 0 THEN concat('“', text, '” — ok…') WHEN 1 THEN concat('[excitedly] ', text, '?!') WHEN 2 THEN concat(' **', text, '** `x`... ') WHEN 3 THEN concat(text, ' haha Lol') WHEN 4 THEN concat('его иллюзия: ', text, '!') WHEN 5 THEN concat(text, ' I am on it; 7, 3, x 3 12') WHEN 6 THEN '' WHEN 7 THEN NULL ELSE text END AS text FROM {fx_segs}""",
     "fx_samples": """SELECT user_id AS series, CAST(event_id AS BIGINT) AS sample_no, CASE WHEN event_type = 'error' THEN NULL ELSE least(value / 400, 1.0D) END AS v FROM {events}""",
 }
 
