@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from talkloom.llm import words as W
 from talkloom.llm.shared import map_batches
-from talkloom.llm.tokens import Encoder
+from talkloom.llm.tokens import encoder
 
 SECTION = "struct<name:string,start:int,end:int>"
 
@@ -54,18 +54,15 @@ def section_tokens(docs: DataFrame, tokenizer: str, sections: Column | None = No
     it is not given, each line is a section, with its line feed, named by its number from 0."""
     own = sections.cast(f"array<{SECTION}>") if sections is not None else F.lit(None).cast(f"array<{SECTION}>")
     by_line = sections is None
-    held: dict[str, Encoder] = {}
 
     def rows(batch: pa.RecordBatch):
-        if "encoder" not in held:
-            held["encoder"] = Encoder(tokenizer)
-            held["sizes"] = held["encoder"].byte_lengths()
+        enc = encoder(tokenizer)
         listed = None if by_line else batch.column(2).to_pylist()
         out = {"doc_id": [], "section": [], "name": [], "start": [], "end": [], "n_tokens": [], "crossing": []}
         ids_of = batch.column(0).to_pylist()
         for piece in W.slices(batch.column(1)):
-            ids, of = held["encoder"].encode(piece)
-            sizes = held["sizes"][ids]
+            ids, of = enc.encode(piece)
+            sizes = enc.bytes_of[ids]
             for i in range(piece.hi - piece.lo):
                 data = piece.data[piece.offsets[i] : piece.offsets[i + 1]]
                 starts, ends = spans_of(data, sizes[of[i] : of[i + 1]])

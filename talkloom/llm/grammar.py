@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from talkloom.llm import words as W
 from talkloom.llm.shared import bound_batches, map_batches, new_path
-from talkloom.llm.tokens import Encoder
+from talkloom.llm.tokens import encoder as encoder_of
 
 BLOCK_IDS, ROUNDS, PAIRS, MIN_COUNT = 1 << 20, 10, 2048, 8
 SCHEMA = "shard int, block int, n_ids long, doc_ids array<long>, lengths binary, ends binary, base int, rules binary, rule_lengths binary, width int, symbols binary"
@@ -131,7 +131,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, block = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, shard, block = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         held, lengths, names, total = [], [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -145,7 +145,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
         for batch in batches:
-            for piece in W.slices(batch.column(1)):
+            for piece in W.slices(batch.column(1), 2 * W.SLICE_BYTES):
                 ids, of = encoder.encode(piece)
                 with_end = np.insert(ids, of[1:], end_id)
                 held.append(with_end)

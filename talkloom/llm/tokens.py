@@ -17,7 +17,7 @@ import numpy as np
 
 from talkloom.llm import words as W
 
-KNOWN = 1_000_000  # pieces remembered from slice to slice; a full memory is emptied
+KNOWN = 2_000_000  # pieces remembered from slice to slice; a full memory is emptied
 JOINED = 1 << 14  # bytes of pieces to a call
 _BYTE = np.arange(256)
 _ALNUM = (_BYTE >= 48) & (_BYTE < 58) | (_BYTE >= 65) & (_BYTE < 91) | (_BYTE >= 97) & (_BYTE < 123)
@@ -25,6 +25,16 @@ _PUNCT = (_BYTE > 32) & (_BYTE < 127) & ~_ALNUM
 _MAY_BE_SPACE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 
 
+_OPEN: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a file; Spark's Python workers keep it, and the pieces it knows, from task to task."""
+    if path not in _OPEN:
+        _OPEN[path] = Encoder(path)
+    return _OPEN[path]
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
@@ -110,11 +120,15 @@ class Encoder:
             rest, more = self._plain([data[x:y].tobytes().decode("utf-8") for x, y in zip(a[lone], b[lone], strict=True)])
             ids, count = np.concatenate([ids, rest]), np.concatenate([count, more])
             at = len(self.ids) + np.cumsum(count) - count
-            fresh = ~np.isin(self.first, keys[new])
-            order = np.argsort(first := np.concatenate([self.first[fresh], keys[new]]), kind="stable")
-            self.first = first[order]
-            self.second = np.concatenate([self.second[fresh], h2[one[new]]])[order]
-            self.count, self.at = np.concatenate([self.count[fresh], count])[order], np.concatenate([self.at[fresh], at])[order]
+            order = np.argsort(keys[new])
+            new, count, at = new[order], count[order], at[order]
+            # A piece whose first hash is known with another second hash stays out: its texts are encoded whole.
+            taken = np.searchsorted(self.first, keys[new])
+            if (self.first[np.minimum(taken, len(self.first) - 1)] == keys[new]).any() if len(self.first) else False:
+                return self._whole(piece)
+            self.first = np.insert(self.first, taken, keys[new])
+            self.second = np.insert(self.second, taken, h2[one[new]])
+            self.count, self.at = np.insert(self.count, taken, count), np.insert(self.at, taken, at)
             self.ids = np.concatenate([self.ids, ids])
             i = np.searchsorted(self.first, keys)
         count, at = self.count[i][back], self.at[i][back]
