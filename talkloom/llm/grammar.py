@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkloom.llm import words as W
-from talkloom.llm.shared import bound_batches, map_batches, new_path
+from talkloom.llm.shared import bound_batches, map_batches, new_path, release_memory
 from talkloom.llm.tokens import encoder as encoder_of
 
 BLOCK_IDS, ROUNDS, PAIRS, MIN_COUNT = 1 << 20, 10, 2048, 8
@@ -156,6 +156,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
                     yield close()
         if total:
             yield close()
+        release_memory()
 
     ranged.mapInArrow(blocks, SCHEMA).write.option("compression", "zstd").parquet(path)
 

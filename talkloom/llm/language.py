@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkloom.llm import words as W
-from talkloom.llm.shared import held_out, map_batches
+from talkloom.llm.shared import held_out, map_batches, release_memory
 
 U64 = W.U64
 BITS, STEPS = 17, 48
@@ -50,20 +50,20 @@ def _features(t: W.Words, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarra
     """(places in the weight table, offsets) of the features of the words `at`."""
     sizes = t.ends[at] - t.starts[at]
     ends = np.cumsum(sizes)
-    row = np.repeat(np.arange(len(at)), sizes)
+    row = np.repeat(np.arange(len(at), dtype=np.int32), sizes)
     place = np.arange(len(row)) - np.repeat(ends - sizes, sizes)
     code = np.zeros(len(row) + 3, dtype=U64)
     code[: len(row)] = t.data[t.starts[at][row] + place]
     left = sizes[row] - place
     pair = code[:-3] << U64(8) | code[1:-2]
     triple = pair << U64(8) | code[2:-1]
-    rows, keys = [np.arange(len(at))], [hashes]
+    rows, keys = [np.arange(len(at), dtype=np.int32)], [hashes]
     for kind, (ok, key) in enumerate(((left >= 2, pair), (left >= 3, triple), ((place == 0) & (left >= 2), pair), ((place == 0) & (left >= 3), triple), (left == 2, pair), (left == 3, triple), ((place == 0) & (left == 1), code[:-3])), 1):
         rows.append(row[ok])
         keys.append(W.mix(key[ok] | U64(kind << 40)))
     rows, keys = np.concatenate(rows), np.concatenate(keys)
     order = np.argsort(rows, kind="stable")
-    return (keys[order] >> U64(64 - BITS)).astype(np.int64), np.searchsorted(rows[order], np.arange(len(at) + 1))
+    return (keys[order] >> U64(64 - BITS)).astype(np.int32), np.searchsorted(rows[order], np.arange(len(at) + 1))
 
 
 def _lexical(hashes: np.ndarray, lexicon: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -186,14 +186,16 @@ def fit(texts: list[str], tags: list[str], epochs: int = 4, rate: float = 0.3, s
     return Crf(labels, weights, moves, first, lexicon, of_lexicon)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_label: int = 250, max_labels: int = 64) -> Crf:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_label: int = 160, max_labels: int = 64) -> Crf:
     """Fits on at most per_label documents of each of the max_labels most frequent labels."""
     rows = docs.select(F.col("doc_id").alias("i"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).filter("l is not null and t is not null")
     labels = [r[0] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_labels).collect()]
     ranked = rows.filter(F.col("l").isin(labels)).select("i", "l").withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")))
     chosen = ranked.filter(F.col("n") <= per_label).select("i", "l").distinct()  # per_label * max_labels ids at most
     found = rows.join(F.broadcast(chosen), ["i", "l"], "left_semi").orderBy("i", "l", "t").collect() if labels else []
-    return fit([r.t for r in found], [r.l for r in found])
+    model = fit([r.t for r in found], [r.l for r in found])
+    release_memory()
+    return model
 
 
 def label_words(docs: DataFrame, crf: Crf, text: str = "text", spans: bool = False, carry: bool = False) -> DataFrame:
@@ -208,22 +210,23 @@ def label_words(docs: DataFrame, crf: Crf, text: str = "text", spans: bool = Fal
     def rows(batch: pa.RecordBatch):
         crf = held.value
         n_labels = len(crf.labels)
-        emits, sizes = [], []
-        for piece in W.slices(batch.column(1)):
+        shares, tops, sizes = [], [], []
+        for piece in W.slices(batch.column(1), 2 * W.SLICE_BYTES):
             t = W.words(piece, W.ALNUM)
-            emits.append(_emissions(t, crf))
-            sizes.append(np.diff(t.of))
-        sizes = np.concatenate(sizes)
-        of = np.concatenate([[0], np.cumsum(sizes)])
-        g = posteriors(np.concatenate(emits), of, crf.moves, crf.first)
-        share = np.full((len(sizes), n_labels), 1 / n_labels, dtype=np.float32)
-        some = sizes > 0
-        if some.any():
-            share[some] = np.add.reduceat(g, of[:-1][some], axis=0) / sizes[some][:, None]
+            n = np.diff(t.of)
+            g = posteriors(_emissions(t, crf), t.of, crf.moves, crf.first)
+            share = np.full((len(n), n_labels), 1 / n_labels, dtype=np.float32)
+            if (n > 0).any():
+                share[n > 0] = np.add.reduceat(g, t.of[:-1][n > 0], axis=0) / n[n > 0][:, None]
+            shares.append(share)
+            sizes.append(n)
+            if spans:
+                tops.append(g.argmax(axis=1))
+        share, of = np.concatenate(shares), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         best = share.argmax(axis=1)
-        runs = [None] * len(sizes)
+        runs = [None] * batch.num_rows
         if spans:
-            top = g.argmax(axis=1)
+            top = np.concatenate(tops)
             for i, (a, b) in enumerate(zip(of[:-1], of[1:], strict=True)):
                 at = np.flatnonzero(np.diff(top[a:b], prepend=-1)) if b > a else []
                 runs[i] = [{"label": crf.labels[top[a + s]], "start": int(s), "n": int(n)} for s, n in zip(at, np.diff([*at, b - a]), strict=True)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,7 +41,7 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bound_batches(spark: SparkSession, size: str = "16m") -> None:
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
     """Sets the session's limit on the bytes of an Arrow batch where it has none, so that rows of long
     texts don't add up in a Python worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -48,6 +49,14 @@ def bound_batches(spark: SparkSession, size: str = "16m") -> None:
         spark.conf.set(key, size)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: Python workers live on after a task and share the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
     """fn over each Arrow batch; its columns are put in the order of the schema."""
     bound_batches(df.sparkSession)
@@ -57,6 +66,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | p
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield from out.select(names).to_batches() if isinstance(out, pa.Table) else [out.select(names)]
+                del out
+        release_memory()
 
     return df.mapInArrow(run, schema)
 

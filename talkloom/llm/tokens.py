@@ -17,7 +17,7 @@ import numpy as np
 
 from talkloom.llm import words as W
 
-KNOWN = 2_000_000  # pieces remembered from slice to slice; a full memory is emptied
+KNOWN = 1_200_000  # pieces remembered from slice to slice; a full memory is emptied
 JOINED = 1 << 14  # bytes of pieces to a call
 _BYTE = np.arange(256)
 _ALNUM = (_BYTE >= 48) & (_BYTE < 58) | (_BYTE >= 65) & (_BYTE < 91) | (_BYTE >= 97) & (_BYTE < 123)
