@@ -32,7 +32,7 @@ from talkloom.llm import words as W
 from talkloom.llm.shared import bound_batches, map_batches, new_path, release_memory
 from talkloom.llm.tokens import encoder as encoder_of
 
-BLOCK_IDS, ROUNDS, PAIRS, MIN_COUNT = 1 << 20, 10, 2048, 8
+BLOCK_IDS, ROUNDS, PAIRS, MIN_COUNT = 1 << 19, 10, 2048, 8
 SCHEMA = "shard int, block int, n_ids long, doc_ids array<long>, lengths binary, ends binary, base int, rules binary, rule_lengths binary, width int, symbols binary"
 
 
@@ -145,7 +145,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
         for batch in batches:
-            for piece in W.slices(batch.column(1), 2 * W.SLICE_BYTES):
+            for piece in W.slices(batch.column(1)):
                 ids, of = encoder.encode(piece)
                 with_end = np.insert(ids, of[1:], end_id)
                 held.append(with_end)

@@ -41,7 +41,7 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
     """Sets the session's limit on the bytes of an Arrow batch where it has none, so that rows of long
     texts don't add up in a Python worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

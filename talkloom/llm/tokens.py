@@ -10,14 +10,13 @@ get whole texts.
 
 from __future__ import annotations
 
-import json
 import os
 
 import numpy as np
 
 from talkloom.llm import words as W
 
-KNOWN = 1_200_000  # pieces remembered from slice to slice; a full memory is emptied
+KNOWN = 800_000  # pieces remembered from slice to slice; a full memory is emptied
 JOINED = 1 << 14  # bytes of pieces to a call
 _BYTE = np.arange(256)
 _ALNUM = (_BYTE >= 48) & (_BYTE < 58) | (_BYTE >= 65) & (_BYTE < 91) | (_BYTE >= 97) & (_BYTE < 123)
@@ -39,13 +38,13 @@ class Encoder:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        kind = json.loads(self.tokenizer.to_str())
-        pre = kind["pre_tokenizer"] or {}
-        plain = kind["normalizer"] is None and not any(set(t["content"]) & set(" \n") or t["lstrip"] or t["rstrip"] for t in kind["added_tokens"])
-        self.added = [t["content"].encode() for t in kind["added_tokens"]]
-        self.by_piece = plain and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        pre, added = self.tokenizer.pre_tokenizer, self.tokenizer.get_added_tokens_decoder().values()
+        plain = self.tokenizer.normalizer is None and not any(set(t.content) & set(" \n") or t.lstrip or t.rstrip for t in added)
+        self.by_piece = plain and isinstance(pre, ByteLevel) and not pre.add_prefix_space and pre.use_regex
+        self.added = [t.content.encode() for t in added]
         self.size = self.tokenizer.get_vocab_size()
         self.bytes_of = self.byte_lengths()
         self._empty()
@@ -56,10 +55,7 @@ class Encoder:
 
     def byte_lengths(self) -> np.ndarray:
         """The bytes that each id of a byte-level vocabulary stands for."""
-        out = np.zeros(self.size, dtype=np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
-            out[i] = len(token)
-        return out
+        return np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.size)], dtype=np.int64)
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

@@ -31,24 +31,36 @@ def stream(seed: int, n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed * 0xD1B54A32D192ED03 % (1 << 64)))
 
 
+BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of BASE and of its inverse, for spans that begin before n. Kept for one slice's length only."""
+    if _POWERS and n <= len(_POWERS[0]):
+        return _POWERS
+    made = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        up = np.full(max(n, SLICE_BYTES + 1), base, dtype=U64)
+        up[0] = 1
+        made.append(np.multiply.accumulate(up, out=up))
+    if n <= SLICE_BYTES + 1:
+        _POWERS[:] = made
+    return made
+
+
 class Hasher:
     """Polynomial hashes of byte spans: the spans' bytes are mapped to random values first."""
 
     def __init__(self, seed: int) -> None:
         self.byte = stream(seed, 256)
-        self.base = int(stream(seed + 1000, 1)[0]) | 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=U64)
 
     def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(self.up) <= len(data):
-            n = len(data) + 1
-            self.up, self.down = np.full(n, self.base, dtype=U64), np.full(n, self.inverse, dtype=U64)
-            self.up[0] = self.down[0] = 1
-            self.up, self.down = np.multiply.accumulate(self.up), np.multiply.accumulate(self.down)
+        up, down = _powers(len(data) + 1)
         total = np.zeros(len(data) + 1, dtype=U64)
-        np.cumsum(self.byte[data] * self.up[: len(data)], out=total[1:])
-        return mix((total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(U64))
+        np.multiply(self.byte[data], up[: len(data)], out=total[1:])
+        np.cumsum(total, out=total)
+        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
 FIRST, SECOND = Hasher(11), Hasher(12)
