@@ -17,7 +17,7 @@ from talkloom.llm import grammar, language, mixing, near_duplicates
 from talkloom.llm.shared import new_path, stored
 
 #: Texts whose likeliest language has a smaller share of their words than this are rejected.
-MIN_LANGUAGE_SHARE = 0.4
+MIN_LANGUAGE_SHARE = 0.3
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
