@@ -18,10 +18,22 @@ def _t(make):
     return _q(lambda v: v("fx_texts").select("video_id", "seg_no", make(F.col("text")).alias("out")))
 
 
-REPLY = F.when(F.col("seg_no") % 4 == 0, "NONE").when(F.col("seg_no") % 4 == 1, F.concat_ws(", ", F.col("seg_no"), F.lit("3"), F.lit("x"), F.lit("3"), F.col("video_id"))).otherwise(F.concat(F.lit(" 2 9,"), F.col("seg_no"), F.lit(" 1.5")))
-RAW = F.when(F.col("cand_no") % 3 == 0, F.concat(F.lit('Sure! ```json\n{"title": "T'), F.col("cand_no"), F.lit('", "hashtags": ["#a", #b_'), F.col("video_id"), F.lit(', #c"]} bye'))).when(F.col("cand_no") % 3 == 1, F.concat(F.lit('{"title" : "A '), F.col("cand_no"), F.lit('", "description": "cut off ')))
-RAW = RAW.otherwise("no json")
-TITLE = F.when(F.col("cand_no") % 5 == 0, "Ann Lee_ how to " + "x.mp4").when(F.col("cand_no") % 5 == 1, "The Big Talk - Bob Ray Cox (4K)").when(F.col("cand_no") % 5 == 2, "Why $10k Matters! Jo Diaz | EP 54").when(F.col("cand_no") % 5 == 3, F.concat(F.lit("Zed Om_"), F.substring("text", 1, 12))).otherwise(F.substring("text", 1, 30))
+def reply():
+    """Number lists as a model may give them."""
+    n = F.col("seg_no")
+    return F.when(n % 4 == 0, "NONE").when(n % 4 == 1, F.concat_ws(", ", n, F.lit("3"), F.lit("x"), F.lit("3"), F.col("video_id"))).otherwise(F.concat(F.lit(" 2 9,"), n, F.lit(" 1.5")))
+
+
+def raw():
+    """JSON as a model may give it: in prose, cut off, or none."""
+    n = F.col("cand_no")
+    prose = F.concat(F.lit('Sure! ```json\n{"title": "T'), n, F.lit('", "hashtags": ["#a", #b_'), F.col("video_id"), F.lit(', #c"]} bye'))
+    return F.when(n % 3 == 0, prose).when(n % 3 == 1, F.concat(F.lit('{"title" : "A '), n, F.lit('", "description": "cut off '))).otherwise("no json")
+
+
+def title():
+    n = F.col("cand_no") % 5
+    return F.when(n == 0, "Ann Lee_ how to x.mp4").when(n == 1, "The Big Talk - Bob Ray Cox (4K)").when(n == 2, "Why $10k Matters! Jo Diaz | EP 54").when(n == 3, F.concat(F.lit("Zed Om_"), F.substring("text", 1, 12))).otherwise(F.substring("text", 1, 30))
 
 
 def _ids(v):
@@ -38,13 +50,13 @@ QUERIES = {
     "u3_split_sentences": _t(lambda t: F.array_join(X.split_sentences(t), "|")), "u3_split_sentences_capital": _t(lambda t: F.array_join(X.split_sentences(t, True), "|")),
     "u4_replace_phrases": _t(X.replace_phrases), "u5_emotion_tag": _t(X.emotion_tag),
     "u6_norm_word": _q(lambda v: v("fx_words").select("video_id", "word_no", X.norm_word(F.col("word")).alias("out"))),
-    "u7_extract_json": _q(lambda v: v("fx_cands").select("video_id", "cand_no", X.extract_json(RAW).alias("out"))),
-    "u8_recover_partial": _q(lambda v: v("fx_cands").select("video_id", "cand_no", X.partial_fields(RAW).alias("p")).select("video_id", "cand_no", "p.title", "p.description", F.array_join("p.hashtags", ",").alias("hashtags"))),
-    "u10_guest_name": _q(lambda v: v("fx_cands").select("video_id", "cand_no", X.guest_name(TITLE).alias("out"))),
+    "u7_extract_json": _q(lambda v: v("fx_cands").select("video_id", "cand_no", X.extract_json(raw()).alias("out"))),
+    "u8_recover_partial": _q(lambda v: v("fx_cands").select("video_id", "cand_no", X.partial_fields(raw()).alias("p")).select("video_id", "cand_no", "p.title", "p.description", F.array_join("p.hashtags", ",").alias("hashtags"))),
+    "u10_guest_name": _q(lambda v: v("fx_cands").select("video_id", "cand_no", X.guest_name(title()).alias("out"))),
     "u11_formats": _q(lambda v: v("fx_segs").select("video_id", "seg_no", X.fmt_ass(F.col("start_ms") * 37).alias("ass"), X.fmt_ms(F.col("start_ms")).alias("short"))),
     "u12_est_duration": _t(lambda t: F.round(X.est_duration(t), 6)),
     "u13_two_lines": _t(X.two_lines),
-    "u15_parse_numbers": _q(lambda v: v("fx_segs").select("video_id", "seg_no", F.array_join(X.parse_numbers(REPLY, F.lit(9)), ",").alias("out"))),
+    "u15_parse_numbers": _q(lambda v: v("fx_segs").select("video_id", "seg_no", F.array_join(X.parse_numbers(reply(), F.lit(9)), ",").alias("out"))),
     "p1_select_ids": _q(lambda v: v("fx_cands").join(_ids(v), ["video_id", "cand_no"], "left_semi").select("video_id", "cand_no", "text")),
     "p2_filter_tier": _q(lambda v: _scored(v).filter(F.coalesce("tier", F.lit("extended")) == "extended").select("video_id", "cand_no", "start_ms")),
     "p3_auto_select": _q(lambda v: _scored(v).filter("score >= 0.5").select("video_id", "cand_no", "score")),
