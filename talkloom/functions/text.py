@@ -147,7 +147,7 @@ def partial_fields(text: Column) -> Column:
     inside = F.regexp_extract(text, r'(?s)"hashtags"\s*:\s*\[(.*?)\]', 1)
     quoted = F.regexp_extract_all(inside, F.lit(r'"(#[^"]+)"'), 1)
     bare = F.regexp_extract_all(inside, F.lit(r"(#[A-Za-z0-9_\u0400-\u04FF]+)"), 1)
-    tags = F.when(F.size(quoted) > 0, quoted).when(F.size(bare) > 0, bare).otherwise(F.array(*[F.lit(x) for x in ("#kachancuts_другое", "#подкаст", "#мудрость")]))
+    tags = F.when(F.size(quoted) > 0, quoted).when(F.size(bare) > 0, bare).otherwise(F.array(*[F.lit(x) for x in ("#другое", "#подкаст", "#мудрость")]))
     return F.when(title.isNotNull(), F.struct(title.alias("title"), F.when(has, desc).otherwise("Смотрите до конца! 🔥").alias("description"), tags.alias("hashtags")))
 
 

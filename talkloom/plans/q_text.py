@@ -97,7 +97,7 @@ ORACLES = {k: oracle(v) for k, v in {
     "u5_emotion_tag": _o("CASE WHEN trim(text) = '' OR starts_with(trim(text), '[') THEN trim(text) WHEN suffix(trim(text), '?!') OR suffix(trim(text), '!?') THEN '[surprised] ' || trim(text) WHEN suffix(trim(text), '!') THEN '[enthusiastically] ' || trim(text) WHEN suffix(trim(text), '...') THEN '[thoughtfully] ' || trim(text) WHEN suffix(trim(text), '?') THEN '[curiously] ' || trim(text) WHEN regexp_matches(lower(text), 'хаха|ахах|lol|haha|хех') THEN '[laughing] ' || trim(text) ELSE trim(text) END"),
     "u6_norm_word": "SELECT video_id, word_no, regexp_replace(trim(lower(word)), '[.,!?;:—–\\-…\"''«»()]', '', 'g') AS out FROM {fx_words}",
     "u7_extract_json": f"SELECT video_id, cand_no, regexp_replace(nullif(regexp_extract(r, '(?s)([{{\\[].*[}}\\]])', 1), ''), '([,\\[])\\s*(#[A-Za-z0-9_Ѐ-ӿ]+)\"?\\s*([,\\]])', '\\1\"\\2\"\\3', 'g') AS out FROM (SELECT *, {_RAW} AS r FROM {{fx_cands}}) x",
-    "u8_recover_partial": f"SELECT video_id, cand_no, CASE cand_no % 3 WHEN 0 THEN 'T' || cand_no WHEN 1 THEN 'A ' || cand_no END AS title, CASE cand_no % 3 WHEN 0 THEN 'Смотрите до конца! 🔥' WHEN 1 THEN 'cut off...' END AS description, CASE cand_no % 3 WHEN 0 THEN '#a' WHEN 1 THEN '#kachancuts_другое,#подкаст,#мудрость' END AS hashtags FROM {{fx_cands}}",
+    "u8_recover_partial": f"SELECT video_id, cand_no, CASE cand_no % 3 WHEN 0 THEN 'T' || cand_no WHEN 1 THEN 'A ' || cand_no END AS title, CASE cand_no % 3 WHEN 0 THEN 'Смотрите до конца! 🔥' WHEN 1 THEN 'cut off...' END AS description, CASE cand_no % 3 WHEN 0 THEN '#a' WHEN 1 THEN '#другое,#подкаст,#мудрость' END AS hashtags FROM {{fx_cands}}",
     "u11_formats": "SELECT video_id, seg_no, printf('%d:%02d:%02d.%02d', t // 3600000, t // 60000 % 60, t // 1000 % 60, t // 10 % 100) AS ass, printf('%d:%02d', start_ms // 60000, start_ms // 1000 % 60) AS short FROM (SELECT *, start_ms * 37 AS t FROM {fx_segs}) x",
     "u12_est_duration": _o("round(greatest(0.5::DOUBLE, len(" + _W.format("text") + ") / (140::DOUBLE / 60)), 6)"),
     "u13_two_lines": "SELECT video_id, seg_no, CASE WHEN len(w) < 6 THEN array_to_string(w, ' ') ELSE array_to_string(w[1:len(w) // 2], ' ') || '\\N' || array_to_string(w[len(w) // 2 + 1:], ' ') END AS out FROM (SELECT *, " + _W.format("text") + " AS w FROM {fx_texts}) x",

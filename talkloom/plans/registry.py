@@ -6,19 +6,13 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_intervals", "q_turns", "q_text", "q_ranking", "q_chunking", "q_timing", "q_signals", "q_io")
+MODULES = ("q_intervals", "q_turns", "q_text", "q_ranking", "q_chunking", "q_timing", "q_signals", "q_subtitles", "q_io")
 
 
 def _found(what: str) -> dict:
     out = {}
     for name in MODULES:
-        try:
-            module = importlib.import_module(f"talkloom.plans.{name}")
-        except ModuleNotFoundError as e:
-            if e.name != f"talkloom.plans.{name}":
-                raise
-            continue
-        out |= getattr(module, what)
+        out |= getattr(importlib.import_module(f"talkloom.plans.{name}"), what)
     return out
 
 

@@ -145,3 +145,19 @@ def test_streamed_words_are_assigned_by_micro_batch(spark, tmp_path):
     q = L.live_assign(spark.readStream.schema(words.schema).parquet(str(tmp_path / "w")), d, lambda df, _: seen.extend(df.collect())).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {r.word_no: r.assigned for r in seen} == {0: "A", 1: "B"}
+
+
+def test_repeated_words_keep_the_longer_one(spark):
+    from talkloom.operators import subtitles as U
+
+    rows = [(1, 0, "Hi", 0, 100), (1, 1, "you", 120, 200), (1, 2, "hi ", 300, 600), (1, 3, "hi", 900, 1000), (1, 4, "you", 950, 960)]
+    got = [r.word_no for r in U.dedup_words(spark.createDataFrame(rows, "video_id long, word_no long, word string, start_ms long, end_ms long")).orderBy("start_ms").collect()]
+    assert got == [1, 2, 3, 4]
+
+
+def test_short_turns_join_leftwards_in_a_chain(spark):
+    from talkloom.operators import subtitles as U
+
+    rows = [(1, 0, "a", 0, 2000), (1, 1, "b", 2000, 2300), (1, 2, "c", 2300, 2500), (1, 3, "d", 3000, 3000)]
+    got = [(r.turn_no, r.text, r.end_ms) for r in U.merge_short_turns(spark.createDataFrame(rows, "video_id long, turn_no long, text string, start_ms long, end_ms long")).orderBy("turn_no").collect()]
+    assert got == [(0, "a", 2000), (1, "b c", 2500), (3, "d", 3000)]
