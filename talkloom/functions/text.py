@@ -174,3 +174,15 @@ def guest_name(title: Column) -> Column:
 
     found = F.get(F.filter(F.transform(parts, of_part), lambda x: x.isNotNull()), F.lit(0))
     return F.when(_is_name(ahead), ahead).otherwise(F.coalesce(found, _last_name(base), F.lit("")))
+
+
+#: Fixed values.
+GENERIC_TAGS = ["#shorts", "#viral", "#рекомендации", "#интересное", "#факты", "#trending", "#fyp"]
+
+
+def pick_hashtags(tags: Column, category: Column, defaults: Column, brand: str = "#") -> Column:
+    """Three tags: the brand's one made of the category, and the first two that are not generic, filled up from the
+    category's defaults (two tags, as a column of a small joined table)."""
+    own = F.concat(F.lit(brand), F.replace(F.lower(F.coalesce(category, F.lit("другое"))), F.lit(" "), F.lit("_")))
+    good = F.slice(F.filter(F.coalesce(tags, F.expr("cast(array() as array<string>)")), lambda t: ~F.lower(t).isin(GENERIC_TAGS)), 1, 2)
+    return F.slice(F.concat(F.array(own), good, F.coalesce(defaults, F.array(F.lit("#подкаст"), F.lit("#мудрость")))), 1, 3)

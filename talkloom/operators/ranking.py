@@ -162,3 +162,25 @@ def resolve_boundaries(bounds: DataFrame) -> DataFrame:
 def first_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def shift_boundary(bounds: DataFrame, moves: DataFrame) -> DataFrame:
+    """One batch of single moves of sentence ranges (video_id, cand_no, start_idx, end_idx). A move names an edge
+    (`start` or `end`) and a step; moving out pushes the neighbour's edge along. A move is refused if the range
+    would be empty or leave the text (0 .. n_sentences - 1), or if it would empty the neighbour. At most one move
+    a recording is taken (the lowest cand_no, start before end)."""
+    w = Window.partitionBy("video_id").orderBy("cand_no")
+    one = first_by_key(moves, ["video_id"], ["cand_no", "edge"]).select("video_id", F.col("cand_no").alias("m_no"), "edge", "step", "n_sentences")
+    names = ("cand_no", "start_idx", "end_idx")
+    rows = bounds.select("video_id", *names).withColumns({f"p_{c}": F.lag(c).over(w) for c in names} | {f"n_{c}": F.lead(c).over(w) for c in names}).join(one, "video_id", "left")
+    start, end = F.col("start_idx") + F.col("step"), F.col("end_idx") + F.col("step")
+    push_p = (F.col("step") < 0) & (start <= F.col("p_end_idx"))
+    push_n = (F.col("step") > 0) & (end >= F.col("n_start_idx"))
+    ok_start = (F.col("edge") == "start") & (start >= 0) & (start <= F.col("end_idx")) & ~F.coalesce(push_p & (start - 1 < F.col("p_start_idx")), F.lit(False))
+    ok_end = (F.col("edge") == "end") & (end < F.col("n_sentences")) & (end >= F.col("start_idx")) & ~F.coalesce(push_n & (end + 1 > F.col("n_end_idx")), F.lit(False))
+    done = (F.col("cand_no") == F.col("m_no")) & (ok_start | ok_end)
+    rows = rows.withColumn("new_start", F.when(done & (F.col("edge") == "start"), start)).withColumn("new_end", F.when(done & (F.col("edge") == "end"), end))
+    after, before = F.lead("new_start").over(w), F.lag("new_end").over(w)
+    end_out = F.coalesce(F.col("new_end"), F.when(after <= F.col("end_idx"), after - 1), F.col("end_idx"))
+    start_out = F.coalesce(F.col("new_start"), F.when(before >= F.col("start_idx"), before + 1), F.col("start_idx"))
+    return rows.select("video_id", "cand_no", start_out.alias("start_idx"), end_out.alias("end_idx"))

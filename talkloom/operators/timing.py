@@ -155,3 +155,18 @@ def speaking_plan(chunks: DataFrame) -> DataFrame:
     rows = rows.withColumn("pause_ms", F.when(all_ > budget, F.floor(F.col("pause_ms") * budget / all_)).otherwise(F.col("pause_ms")))
     speech = F.col("turn_ms") - F.sum("pause_ms").over(w)
     return rows.withColumn("speech_ms", F.greatest(F.lit(120), F.floor(speech * n / F.sum("n_words").over(w))))
+
+
+def rescale_words(rows: DataFrame) -> DataFrame:
+    """Words of a turn whose first start or last end lies outside the turn are scaled into it (evenly spread where
+    they span 10 ms or less); then every edge is cut to the turn. Whole milliseconds, rounded down."""
+    w = Window.partitionBy(*TURN)
+    first, last = F.min_by("start_ms", "pos").over(w), F.max_by("end_ms", "pos").over(w)
+    rows = rows.withColumns({"f": first, "l": last, "n": F.count("*").over(w), "k": F.row_number().over(_turn()) - 1})
+    out, span, d = (F.col("f") < F.col("turn_start")) | (F.col("l") > F.col("turn_end")), F.col("l") - F.col("f"), F.col("turn_end") - F.col("turn_start")
+    scaled = lambda c: F.col("turn_start") + F.floor((F.col(c) - F.col("f")) * d / span)
+    even = lambda k: F.col("turn_start") + F.floor(d * k / F.col("n"))
+    cut = lambda x: F.greatest(F.col("turn_start"), F.least(F.col("turn_end"), x))
+    start = F.when(out & (span > 10), scaled("start_ms")).when(out, even(F.col("k"))).otherwise(F.col("start_ms"))
+    end = F.when(out & (span > 10), scaled("end_ms")).when(out, even(F.col("k") + 1)).otherwise(F.col("end_ms"))
+    return rows.withColumn("_s", cut(start)).withColumn("_e", cut(end)).withColumn("start_ms", F.col("_s")).withColumn("end_ms", F.col("_e")).drop("_s", "_e", "f", "l", "n", "k")

@@ -42,6 +42,16 @@ def _over(v):
     return v("fx_over").select("video_id", "cand_no", "start_ms", "end_ms", F.round("score", 4).alias("score"))
 
 
+def _bounds(v):
+    return v("fx_cands").select("video_id", "cand_no", (F.col("cand_no") * 5).alias("start_idx"), (F.col("cand_no") * 5 + 2 + (F.col("video_id") + F.col("cand_no")) % 3).alias("end_idx"))
+
+
+def _moves(v):
+    """A move of one candidate of each recording; steps of -4, -1, 2 and 5."""
+    at = v("fx_cands").filter("cand_no = video_id % 4")
+    return at.select("video_id", "cand_no", F.when(F.col("video_id") % 2 == 0, "start").otherwise("end").alias("edge"), ((F.floor(F.col("video_id") / 2) % 4) * 3 - 4).alias("step"), F.lit(40).cast("long").alias("n_sentences"))
+
+
 QUERIES = {
     "r1_parse_scores": _q(_parsed),
     "r2_r3_score_and_tier": _q(lambda v: _scored(v).select("video_id", "cand_no", "score", "tier")),
@@ -53,6 +63,7 @@ QUERIES = {
     "r9_expand_tail": _q(lambda v: R.expand_tail(_scored(v).filter("cand_no < 3").withColumn("needs_next", F.lit(True)), v("fx_segs"))),
     "r11_labels": _q(lambda v: _over(v).select("video_id", "cand_no", R.score_label(F.col("score")).alias("label"), R.duration_bucket(F.col("end_ms") - F.col("start_ms")).alias("bucket"))),
     "r12_resolve_boundaries": _q(lambda v: R.resolve_boundaries(v("fx_cands").select("video_id", "cand_no", (F.col("cand_no") * 5).alias("start_idx"), (F.col("cand_no") * 5 + 3 + (F.col("video_id") + F.col("cand_no")) % 4).alias("end_idx")))),
+    "r14_shift_boundary": _q(lambda v: R.shift_boundary(_bounds(v), _moves(v))),
     "a5_tier_counts": _q(lambda v: R.tier_counts(_scored(v))),
     "w2_number_candidates": _q(lambda v: R.number_candidates(_scored(v)).select("video_id", "cand_no", "by_time", "by_tier")),
     "x1_first_by_key": _q(lambda v: R.first_by_key(v("fx_segs").select("video_id", "seg_no", "text"), ["text"], ["video_id", "seg_no"])),
@@ -79,6 +90,7 @@ ORACLES = {k: oracle(v) for k, v in {
     "r9_expand_tail": "WITH l AS (SELECT video_id, max(cand_no) AS cand_no, arg_max(start_ms, cand_no) AS c0, arg_max(end_ms, cand_no) AS c1 FROM {fx_cands} WHERE cand_no < 3 GROUP BY video_id), r AS (SELECT l.*, s.start_ms, s.end_ms, s.seg_no FROM l JOIN {fx_segs} s ON s.video_id = l.video_id AND s.start_ms >= c1 - 500), k AS (SELECT *, max((end_ms - c0 > 180000)::INT) OVER w AS over, coalesce(max((end_ms >= c1 + least(30000, 180000 - (c1 - c0)))::INT) OVER (PARTITION BY video_id ORDER BY start_ms, seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM r WINDOW w AS (PARTITION BY video_id ORDER BY start_ms, seg_no)) SELECT video_id, cand_no, max(end_ms) AS new_end_ms, count(*) AS n_added FROM k WHERE over = 0 AND done = 0 GROUP BY video_id, cand_no HAVING max(end_ms) > min(c1) + 5000",
     "r11_labels": f"WITH {_OV} SELECT video_id, cand_no, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END AS label, CASE WHEN end_ms - start_ms < 60000 THEN 'under 60 s' WHEN end_ms - start_ms < 90000 THEN '60 to 90 s' WHEN end_ms - start_ms < 120000 THEN '90 to 120 s' ELSE 'over 120 s' END AS bucket FROM ov",
     "r12_resolve_boundaries": "WITH b AS (SELECT video_id, cand_no, cand_no * 5 AS s, cand_no * 5 + 3 + (video_id + cand_no) % 4 AS e FROM {fx_cands}) SELECT video_id, cand_no, least(e, greatest(s, coalesce(lag(e) OVER (PARTITION BY video_id ORDER BY cand_no) + 1, s))) AS start_idx, e AS end_idx FROM b",
+    "r14_shift_boundary": "WITH b AS (SELECT video_id, cand_no, cand_no * 5 AS s, cand_no * 5 + 2 + (video_id + cand_no) % 3 AS e, video_id % 4 AS m, video_id % 2 = 0 AS st, video_id // 2 % 4 * 3 - 4 AS d FROM {fx_cands}), n AS (SELECT *, lag(s) OVER w AS ps, lag(e) OVER w AS pe, lead(s) OVER w AS ns, lead(e) OVER w AS ne FROM b WINDOW w AS (PARTITION BY video_id ORDER BY cand_no)), o AS (SELECT video_id, m, st, CASE WHEN st THEN s + d ELSE e + d END AS t FROM n WHERE cand_no = m AND CASE WHEN st THEN s + d >= 0 AND s + d <= e AND NOT coalesce(d < 0 AND s + d <= pe AND s + d - 1 < ps, false) ELSE e + d < 40 AND e + d >= s AND NOT coalesce(d > 0 AND e + d >= ns AND e + d + 1 > ne, false) END) SELECT b.video_id, b.cand_no, CASE WHEN o.st AND b.cand_no = o.m THEN t WHEN NOT o.st AND b.cand_no = o.m + 1 AND t >= s THEN t + 1 ELSE s END AS start_idx, CASE WHEN NOT o.st AND b.cand_no = o.m THEN t WHEN o.st AND b.cand_no = o.m - 1 AND t <= e THEN t - 1 ELSE e END AS end_idx FROM b LEFT JOIN o ON o.video_id = b.video_id",
     "a5_tier_counts": f"WITH {_SC} SELECT video_id, count(*) FILTER (tier = 'strict') AS strict, count(*) FILTER (coalesce(tier, 'extended') = 'extended') AS extended, count(*) FILTER (tier = 'fallback') AS fallback FROM st GROUP BY video_id",
     "w2_number_candidates": f"WITH {_SC} SELECT video_id, cand_no, CAST(row_number() OVER (PARTITION BY video_id ORDER BY start_ms, cand_no) AS INTEGER) AS by_time, CAST(row_number() OVER (PARTITION BY video_id ORDER BY CASE tier WHEN 'strict' THEN 0 WHEN 'fallback' THEN 2 ELSE 1 END, cand_no) AS INTEGER) AS by_tier FROM st",
     "x1_first_by_key": "SELECT video_id, seg_no, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY video_id, seg_no) AS n FROM {fx_segs}) x WHERE n = 1",

@@ -52,6 +52,7 @@ QUERIES = {
     "u6_norm_word": _q(lambda v: v("fx_words").select("video_id", "word_no", X.norm_word(F.col("word")).alias("out"))),
     "u7_extract_json": _q(lambda v: v("fx_cands").select("video_id", "cand_no", X.extract_json(raw()).alias("out"))),
     "u8_recover_partial": _q(lambda v: v("fx_cands").select("video_id", "cand_no", X.partial_fields(raw()).alias("p")).select("video_id", "cand_no", "p.title", "p.description", F.array_join("p.hashtags", ",").alias("hashtags"))),
+    "u9_pick_hashtags": _q(lambda v: v("fx_cands").select("video_id", "cand_no", F.array_join(X.pick_hashtags(F.when(F.col("cand_no") % 4 > 0, F.slice(F.array(*[F.lit(t) for t in ("#FYP", "#one", "#viral", "#two", "#three")]), F.lit(1), (F.col("cand_no") % 4 * 2 - 1).cast("int"))), F.when(F.col("cand_no") % 3 == 0, "My Life"), F.when(F.col("cand_no") % 2 == 0, F.array(F.lit("#d1"), F.lit("#d2")))), " ").alias("out"))),
     "u10_guest_name": _q(lambda v: v("fx_cands").select("video_id", "cand_no", X.guest_name(title()).alias("out"))),
     "u11_formats": _q(lambda v: v("fx_segs").select("video_id", "seg_no", X.fmt_ass(F.col("start_ms") * 37).alias("ass"), X.fmt_ms(F.col("start_ms")).alias("short"))),
     "u12_est_duration": _t(lambda t: F.round(X.est_duration(t), 6)),
@@ -98,6 +99,7 @@ ORACLES = {k: oracle(v) for k, v in {
     "u6_norm_word": "SELECT video_id, word_no, regexp_replace(trim(lower(word)), '[.,!?;:—–\\-…\"''«»()]', '', 'g') AS out FROM {fx_words}",
     "u7_extract_json": f"SELECT video_id, cand_no, regexp_replace(nullif(regexp_extract(r, '(?s)([{{\\[].*[}}\\]])', 1), ''), '([,\\[])\\s*(#[A-Za-z0-9_Ѐ-ӿ]+)\"?\\s*([,\\]])', '\\1\"\\2\"\\3', 'g') AS out FROM (SELECT *, {_RAW} AS r FROM {{fx_cands}}) x",
     "u8_recover_partial": f"SELECT video_id, cand_no, CASE cand_no % 3 WHEN 0 THEN 'T' || cand_no WHEN 1 THEN 'A ' || cand_no END AS title, CASE cand_no % 3 WHEN 0 THEN 'Смотрите до конца! 🔥' WHEN 1 THEN 'cut off...' END AS description, CASE cand_no % 3 WHEN 0 THEN '#a' WHEN 1 THEN '#другое,#подкаст,#мудрость' END AS hashtags FROM {{fx_cands}}",
+    "u9_pick_hashtags": "SELECT video_id, cand_no, CASE WHEN cand_no % 3 = 0 THEN '#my_life' ELSE '#другое' END || CASE cand_no % 4 WHEN 3 THEN ' #one #two' WHEN 2 THEN ' #one' || CASE WHEN cand_no % 2 = 0 THEN ' #d1' ELSE ' #подкаст' END ELSE CASE WHEN cand_no % 2 = 0 THEN ' #d1 #d2' ELSE ' #подкаст #мудрость' END END AS out FROM {fx_cands}",
     "u11_formats": "SELECT video_id, seg_no, printf('%d:%02d:%02d.%02d', t // 3600000, t // 60000 % 60, t // 1000 % 60, t // 10 % 100) AS ass, printf('%d:%02d', start_ms // 60000, start_ms // 1000 % 60) AS short FROM (SELECT *, start_ms * 37 AS t FROM {fx_segs}) x",
     "u12_est_duration": _o("round(greatest(0.5::DOUBLE, len(" + _W.format("text") + ") / (140::DOUBLE / 60)), 6)"),
     "u13_two_lines": "SELECT video_id, seg_no, CASE WHEN len(w) < 6 THEN array_to_string(w, ' ') ELSE array_to_string(w[1:len(w) // 2], ' ') || '\\N' || array_to_string(w[len(w) // 2 + 1:], ' ') END AS out FROM (SELECT *, " + _W.format("text") + " AS w FROM {fx_texts}) x",

@@ -40,6 +40,12 @@ def _long(v):
     return _edged(v).withColumn("end_ms", F.col("end_ms") + F.when(F.col("pos") % 5 == 0, 2000).otherwise(0))
 
 
+def _shifted(v):
+    """Every third turn's words come late, every fourth turn's early by half a second."""
+    by = F.when(F.col("turn_no") % 3 == 1, 900).when(F.col("turn_no") % 4 == 2, -500).otherwise(0)
+    return _edged(v).withColumn("start_ms", F.col("start_ms") + by).withColumn("end_ms", F.col("end_ms") + by)
+
+
 def _audio(v):
     return v("fx_turns").select("video_id", "turn_no", "speaker", "start_ms", (F.col("end_ms") - F.col("start_ms") + (F.col("video_id") * 7 + F.col("turn_no") * 911) % 1500 - 300).alias("audio_ms"), "end_ms")
 
@@ -53,6 +59,7 @@ QUERIES = {
     "t7_cap_long_words": _q(lambda v: M.cap_long_words(_long(v)).select(*W)),
     "t8_bound_words": _q(lambda v: M.bound_words(_long(v)).select(*W)),
     "t10_extend_subtitles": _q(lambda v: M.extend_subtitles(v("fx_segs")).select("video_id", "seg_no", "start_ms", "end_ms")),
+    "t12_rescale_words": _q(lambda v: M.rescale_words(_shifted(v)).select(*W)),
     "t13_proportional_timing": _q(lambda v: M.proportional_timing(v("fx_turns"))),
     "t18_tempo_plan": _q(lambda v: _audio(v).select("video_id", "turn_no", M.tempo_plan(F.col("audio_ms"), F.col("end_ms") - F.col("start_ms")).alias("tempo"))),
     "t19_scale_offsets": _q(lambda v: M.scale_offsets(v("fx_segs").withColumn("f", F.lit(1.0) + (F.col("seg_no") % 4) / 8), F.col("f"), ["start_ms", "end_ms"]).select("video_id", "seg_no", "start_ms", "end_ms")),
@@ -75,6 +82,7 @@ ORACLES = {k: oracle(v) for k, v in {
     "t7_cap_long_words": f"WITH {_LONG} SELECT video_id, turn_no, pos, s AS start_ms, least(e2, s + least(3000, length(word) * 100 + 200)) AS end_ms FROM l",
     "t8_bound_words": f"WITH {_LONG}, n AS (SELECT *, length(regexp_replace(word, '[.,!?;:—–\\-…\"''«»()]', '', 'g')) AS n FROM l), c AS (SELECT *, greatest(ts, least(s, te)) AS s2, greatest(greatest(ts, least(s, te)), least(e2, te)) AS e3 FROM n WHERE n > 0) SELECT video_id, turn_no, pos, s2 AS start_ms, CASE WHEN e3 - s2 < greatest(250, n * 60) THEN least(te, s2 + greatest(250, n * 60)) WHEN e3 - s2 > least(3000, n * 150 + 300) THEN s2 + least(3000, n * 150 + 300) ELSE e3 END AS end_ms FROM c",
     "t10_extend_subtitles": "WITH a AS (SELECT *, lead(start_ms) OVER (PARTITION BY video_id ORDER BY seg_no) - end_ms AS gap FROM {fx_segs}) SELECT video_id, seg_no, start_ms, end_ms + CASE WHEN gap > 50 AND least(gap - 50, 500) > 20 THEN least(gap - 50, 500) ELSE 0 END AS end_ms FROM a",
+    "t12_rescale_words": f"WITH {_E}, q AS (SELECT video_id, turn_no, pos, ts, te, s + b AS s, e + b AS e FROM (SELECT *, CASE WHEN turn_no % 3 = 1 THEN 900 WHEN turn_no % 4 = 2 THEN -500 ELSE 0 END AS b FROM e) x), r AS (SELECT *, first_value(s) OVER w AS f, last_value(e) OVER w AS l, count(*) OVER w AS n, row_number() OVER ({_PT} ORDER BY pos) - 1 AS k FROM q WINDOW w AS ({_PT} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), c AS (SELECT *, f < ts OR l > te AS o FROM r) SELECT video_id, turn_no, pos, greatest(ts, least(te, CASE WHEN o AND l - f > 10 THEN ts + (s - f) * (te - ts) // (l - f) WHEN o THEN ts + (te - ts) * k // n ELSE s END)) AS start_ms, greatest(ts, least(te, CASE WHEN o AND l - f > 10 THEN ts + (e - f) * (te - ts) // (l - f) WHEN o THEN ts + (te - ts) * (k + 1) // n ELSE e END)) AS end_ms FROM c",
     "t13_proportional_timing": f"WITH {_E}, c AS (SELECT *, length(word) AS c FROM e), r AS (SELECT *, CAST(sum(c) OVER ({_PT} ORDER BY pos) AS BIGINT) AS run, CAST(sum(c) OVER ({_PT}) AS BIGINT) AS al, CAST(row_number() OVER ({_PT} ORDER BY pos) - 1 AS INTEGER) AS k FROM c) SELECT video_id, turn_no, k, word, ts + (te - ts) * (run - c) // al AS start_ms, ts + (te - ts) * run // al AS end_ms FROM r",
     "t18_tempo_plan": f"WITH {_AU}, t AS (SELECT video_id, turn_no, audio_ms, end_ms - start_ms AS g, audio_ms / (end_ms - start_ms) AS t FROM au) SELECT video_id, turn_no, CASE WHEN audio_ms > 0 AND g > 0 THEN round(CASE WHEN t BETWEEN 0.98 AND 1.02 THEN 1.0 ELSE greatest(0.9, least(1.25, t)) END::DOUBLE, 6) END AS tempo FROM t",
     "t19_scale_offsets": "SELECT video_id, seg_no, CAST(round_even(start_ms * (1 + seg_no % 4 / 8), 0) AS BIGINT) AS start_ms, CAST(round_even(end_ms * (1 + seg_no % 4 / 8), 0) AS BIGINT) AS end_ms FROM {fx_segs}",
