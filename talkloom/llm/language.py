@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkloom.llm import words as W
 from talkloom.llm.shared import held_out, map_batches, release_memory
@@ -204,8 +205,7 @@ def label_words(docs: DataFrame, crf: Crf, text: str = "text", spans: bool = Fal
     held = docs.sparkSession.sparkContext.broadcast(crf)
     row = F.struct("*") if carry else F.lit(None).cast("int")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), row.alias("row"))
-    kind = read.schema["row"].dataType.simpleString()
-    shape = f"doc_id long, best int, score double, shares array<float>, runs array<struct<label:string,start:int,n:int>>, row {kind}"
+    shape = T.StructType.fromDDL("doc_id long, best int, score double, shares array<float>, runs array<struct<label:string,start:int,n:int>>").add("row", read.schema["row"].dataType)
 
     def rows(batch: pa.RecordBatch):
         crf = held.value

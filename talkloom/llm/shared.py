@@ -57,10 +57,10 @@ def release_memory() -> None:
         trim(0)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str | T.StructType) -> DataFrame:
     """fn over each Arrow batch; its columns are put in the order of the schema."""
     bound_batches(df.sparkSession)
-    names = T._parse_datatype_string(schema).names
+    names = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

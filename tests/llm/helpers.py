@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside; a table may have them as columns of its own.
-CLASHES = ("node", "key", "sig", "uid", "row", "th", "hash", "members", "size", "taken", "runs", "shard", "label", "score", "kept", "component", "band", "a", "b", "n", "start", "ids", "v", "q")
+CLASHES = ("node", "key", "sig", "uid", "row", "th", "hash", "members", "size", "taken", "runs", "shard", "label", "score", "kept", "component", "band", "a", "b", "n", "start", "ids", "v", "q", "with space")
 
 
 def docs(spark, rows):
