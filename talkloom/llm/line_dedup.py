@@ -1,8 +1,10 @@
 """Repeated runs of lines, found by winnowing over line hashes and deleted after their first place.
 
 A document is the sequence of its lines that hold more than ASCII white space; the other lines are kept and not
-looked at. A run is `min_run` consecutive lines of the sequence. Of the `gram`-line hashes in a run the smallest
-one (the rightmost of equals) is its fingerprint, so equal runs always share one. Runs whose fingerprint stands
+looked at. A run is `min_run` consecutive lines of the sequence or, with `min_words`, fewer whole lines that hold
+that many words together (words are what ASCII white space parts). Of the `gram`-line hashes in a run of min_run
+lines the smallest one (the rightmost of equals) is its fingerprint, so equal runs always share one; a shorter run
+is a gram of its own. Runs whose fingerprint stands
 at one place in the corpus are dropped at once; the others are joined on the whole run's 128-bit hash with the
 run's first place, in the order of documents (doc_id, text hash) and lines. A run that has an earlier place is
 repeated; neighbouring repeated runs extend one another, and every line of them is deleted.
@@ -11,7 +13,7 @@ Fingerprints and first places are aggregated before they are shuffled, so a run
 hold is a row for each task; texts are joined once, by document, with the places to delete.
 
 Defined results: null and empty texts have no run and come back as they are; documents of fewer than min_run
-such lines lose nothing; rows of equal doc_id and text are one document and get the same result; a null doc_id
+such lines lose nothing without min_words; rows of equal doc_id and text are one document and get the same result; a null doc_id
 comes last in the order; other columns are ignored.
 """
 
@@ -27,11 +29,18 @@ from talkloom.llm.shared import map_batches, stored
 
 U64 = W.U64
 _IN_LINE = np.arange(256) != 0x0A
-RUN = "struct<fp:long,w1:long,w2:long,start:int>"
+RUN = "struct<fp:long,w1:long,w2:long,start:int,n:int>"
 
 
-def _runs(docs: DataFrame, min_run: int, gram: int) -> DataFrame:
-    kind = pa.list_(pa.struct([("fp", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("start", pa.int32())]))
+def _word_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The number of words in each line."""
+    inside = W.SPACED[data]
+    begins = np.concatenate([[0], np.cumsum(inside & ~np.concatenate([[False], inside[:-1]]))])
+    return begins[ends] - begins[starts] + (inside[starts] & (starts > 0) & inside[np.maximum(starts, 1) - 1])
+
+
+def _runs(docs: DataFrame, min_run: int, gram: int, min_words: int | None) -> DataFrame:
+    kind = pa.list_(pa.struct([("fp", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
 
     def rows(batch: pa.RecordBatch):
         out = []
@@ -42,11 +51,24 @@ def _runs(docs: DataFrame, min_run: int, gram: int) -> DataFrame:
             of = np.concatenate([[0], np.cumsum(filled)])[t.of]
             starts, ends = t.starts[filled], t.ends[filled]
             h1, h2 = W.FIRST.spans(t.data, starts, ends), W.SECOND.spans(t.data, starts, ends)
-            w1, w2, g = W.grams(h1, min_run, 41), W.grams(h2, min_run, 42), W.grams(h1, gram, 43)
-            at = np.flatnonzero(W.whole(of, min_run, len(w1)))
-            fp = g[W.minima(g, min_run - gram + 1)[at]]
+            g = W.grams(h1, gram, 43)
+            best = W.minima(g, min_run - gram + 1)
+            if min_words:
+                total = np.concatenate([[0], np.cumsum(_word_counts(t.data, starts, ends))])
+            found = []
+            for n in range(1 if min_words else min_run, min_run + 1):
+                w1, w2 = W.grams(h1, n, 41), W.grams(h2, n, 42)
+                ok = W.whole(of, n, len(w1))
+                if n < min_run:
+                    ok &= total[n:] - total[: len(w1)] >= min_words
+                at = np.flatnonzero(ok)
+                found.append((at, g[best[at]] if n == min_run else w1[at], w1[at], w2[at], np.full(len(at), n, dtype=np.int32)))
+            at, fp, w1, w2, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            if min_words:
+                order = np.argsort(at, kind="stable")
+                at, fp, w1, w2, n = (x[order] for x in (at, fp, w1, w2, n))
             doc = np.searchsorted(of, at, side="right") - 1
-            made = pa.StructArray.from_arrays([fp.view(np.int64), w1[at].view(np.int64), w2[at].view(np.int64), (at - of[doc]).astype(np.int32)], fields=list(kind.value_type))
+            made = pa.StructArray.from_arrays([fp.view(np.int64), w1.view(np.int64), w2.view(np.int64), (at - of[doc]).astype(np.int32), n], fields=list(kind.value_type))
             out.append(pa.ListArray.from_arrays(np.searchsorted(doc, np.arange(piece.hi - piece.lo + 1)).astype(np.int32), made))
         return pa.table({"doc_id": batch.column(0), "th": batch.column(1), "runs": pa.chunked_array(out, kind)})
 
@@ -54,16 +76,16 @@ def _runs(docs: DataFrame, min_run: int, gram: int) -> DataFrame:
     return found.select("doc_id", "th", F.explode("runs").alias("r")).select("doc_id", "th", "r.*")
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", min_run: int = 3, gram: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", min_run: int = 3, gram: int = 2, min_words: int | None = None) -> DataFrame:
     """One row per document: doc_id, text (without repeated runs), n_lines, n_removed, spans (the deleted runs,
     as ranges of places in the sequence of lines)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    runs = stored(_runs(docs, min_run, gram).distinct(), "runs")
+    runs = stored(_runs(docs, min_run, gram, min_words).distinct(), "runs")
     places = runs.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1")
     again = runs.join(places.select("fp"), "fp", "left_semi")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "start")
     firsts = again.groupBy("w1", "w2").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    late = again.join(firsts, ["w1", "w2"]).filter(order > F.col("first")).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    late = again.join(firsts, ["w1", "w2"]).filter(order > F.col("first")).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("starts"))
     late = late.withColumn("no_id", F.col("doc_id").isNull()).withColumn("id", F.coalesce("doc_id", F.lit(0))).drop("doc_id")
     joined = docs.withColumn("no_id", F.col("doc_id").isNull()).withColumn("id", F.coalesce("doc_id", F.lit(0))).join(late, ["id", "no_id", "th"], "left")
 
@@ -80,12 +102,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_run: int = 3, gram: int
             filled = [k for k, line in enumerate(own) if line.strip(" \t\n\v\f\r")]
             gone: set[int] = set()
             merged: list[list[int]] = []
-            for s in starts:
-                gone.update(filled[s : s + min_run])
+            for run in starts:
+                s, e = run["start"], run["start"] + run["n"]
+                gone.update(filled[s:e])
                 if merged and s <= merged[-1][1]:
-                    merged[-1][1] = s + min_run
+                    merged[-1][1] = max(merged[-1][1], e)
                 else:
-                    merged.append([s, s + min_run])
+                    merged.append([s, e])
             texts[i] = "\n".join(line for k, line in enumerate(own) if k not in gone)
             lines.append(len(own)), removed.append(len(gone)), spans.append([{"start": a, "end": b} for a, b in merged])
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

@@ -156,6 +156,34 @@ def test_line_dedup_equals_all_runs(spark):
     assert got == want and sum(n for _, _, n in want.values()) > 50
 
 
+def brute_lines_or_words(rows, run=3, words=50):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        lines = t.split("\n")
+        filled = [k for k, x in enumerate(lines) if x.strip(" \t\n\v\f\r")]
+        gone = set()
+        for s in range(len(filled)):
+            for n in range(1, min(run, len(filled) - s) + 1):
+                key = tuple(lines[k] for k in filled[s : s + n])
+                if n < run and sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in key) < words:
+                    continue
+                if key in seen:
+                    gone |= set(filled[s : s + n])
+                seen.add(key)
+        out[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone))
+    return out
+
+
+def test_line_dedup_counts_a_run_by_its_words(spark):
+    rng = random.Random(10)
+    pool = [sentences(500 + i, n) for i, n in enumerate([4, 10, 20, 24, 25, 26, 30, 49, 50, 51, 80])]
+    rows = [(i, "\n".join(rng.choice([*pool, "", " \t"]) if rng.random() < 0.6 else sentences(9000 + i * 50 + k, 5) for k in range(rng.randrange(1, 9)))) for i in range(80)]
+    rows += [(900, "own\n" + pool[9] + "\nline"), (901, pool[9]), (902, pool[7])]
+    d = docs(spark, [(i, t, None, None) for i, t in rows])
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(d, min_words=50).collect()}
+    assert got == brute_lines_or_words(rows) and got[900][0] == "own\nline" and got[901] == ("", 1, 1) and got[902][2] == 0
+
+
 def test_line_dedup_edges(spark):
     got = line_dedup.dedup_lines(messy(spark)).collect()
     assert len(got) == 11 and sum(r.n_removed for r in got) == 0 and {r.text for r in got if r.doc_id == 2} == {None} and line_dedup.dedup_lines(empty(spark)).count() == 0
