@@ -7,8 +7,8 @@ learned with them, on sequences spliced from pieces of texts of different labels
 text are seen. Words are labelled by forward-backward over the whole text, and the text's label is the one
 with the largest mean posterior.
 
-Fitting uses at most `per_label` documents of each label, those of the smallest hashed ids, and at most
-`max_labels` labels, the most frequent. Everything else covers every word of every document; the weights
+Fitting uses every label and at most `per_label` documents of each, those of the smallest hashed ids; the model
+and the sample grow with the number of labels. Everything else covers every word of every document; the weights
 (a fixed table) are the only thing that is broadcast.
 
 Defined results: null texts and texts without any letter get label `und` and score 0; texts whose words can
@@ -129,11 +129,14 @@ def fit(texts: list[str], tags: list[str], epochs: int = 4, rate: float = 0.3, s
         return none
     hashes, at, word = _distinct(t)
     y = np.repeat([labels.index(x) for x in tags], np.diff(t.of))
-    seen = np.zeros((len(hashes), n_labels))
-    np.add.at(seen, (word, y), 1)
-    seen = seen / np.maximum(seen.sum(axis=0), 1) * 1e6
-    known = (np.bincount(word) >= 5) & (seen.max(axis=1) >= 0.9 * seen.sum(axis=1))
-    lexicon, of_lexicon = hashes[known], seen[known].argmax(axis=1)
+    # Each word's rate by label, for the (word, label) pairs that occur.
+    pairs, counts = np.unique(word * n_labels + y, return_counts=True)
+    of_word, of_label = np.divmod(pairs, n_labels)
+    seen = counts / np.bincount(of_label, weights=counts, minlength=n_labels)[of_label] * 1e6
+    begins = np.searchsorted(of_word, np.arange(len(hashes)))
+    known = (np.bincount(word) >= 5) & (np.maximum.reduceat(seen, begins) >= 0.9 * np.add.reduceat(seen, begins))
+    likeliest = of_label[np.lexsort((of_label, -seen, of_word))[begins]]
+    lexicon, of_lexicon = hashes[known], likeliest[known]
     keys, ends = _features(t, at, hashes)
     lex = _lexical(hashes, lexicon, of_lexicon)
     # Pieces of texts, spliced in random order, cut into sequences of STEPS words.
@@ -171,29 +174,28 @@ def fit(texts: list[str], tags: list[str], epochs: int = 4, rate: float = 0.3, s
                 raw = (forward[:, s - 1] @ move) * ee[:, s]
                 forward[:, s] = raw / raw.sum(axis=1, keepdims=True)
                 later = g3[:, s] / np.maximum(forward[:, s], 1e-12)
-                pair = forward[:, s - 1, :, None] * move[None] * (ee[:, s] * later)[:, None, :]
-                expected += (pair / np.maximum(pair.sum(axis=(1, 2), keepdims=True), 1e-300)).sum(axis=0)
+                ahead = ee[:, s] * later
+                total = ((forward[:, s - 1] @ move) * ahead).sum(axis=1, keepdims=True)
+                expected += move * ((forward[:, s - 1] / np.maximum(total, 1e-300)).T @ ahead)
             count = len(batch)
             moves += rate * ((y3[:, :-1, :, None] * y3[:, 1:, None, :]).sum(axis=(0, 1)) - expected) / count
             first += rate * (y3[:, 0] - g3[:, 0]).mean(axis=0)
             grad = np.zeros((len(used), n_labels))
             np.add.at(grad, back, target - gamma)
-            step = np.zeros_like(squares)
-            for k in range(n_labels):
-                step[: 1 << BITS, k] = np.bincount(key, weights=grad[row, k], minlength=1 << BITS)
-                step[1 << BITS :, k] = np.bincount(lex[used][in_lex], weights=grad[in_lex, k], minlength=n_labels)
-            squares += step**2
-            weights += (rate * step / np.sqrt(squares)).astype(np.float32)
+            touched, place = np.unique(np.concatenate([key, (1 << BITS) + lex[used][in_lex]]), return_inverse=True)
+            source = np.concatenate([row, np.flatnonzero(in_lex)])
+            step = np.stack([np.bincount(place, weights=grad[source, k], minlength=len(touched)) for k in range(n_labels)], axis=1)
+            squares[touched] += step**2
+            weights[touched] += (rate * step / np.sqrt(squares[touched])).astype(np.float32)
     return Crf(labels, weights, moves, first, lexicon, of_lexicon)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_label: int = 250, max_labels: int = 64) -> Crf:
-    """Fits on at most per_label documents of each of the max_labels most frequent labels."""
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_label: int = 250) -> Crf:
+    """Fits on at most per_label documents of each label that is not null."""
     rows = docs.select(F.col("doc_id").alias("i"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).filter("l is not null and t is not null")
-    labels = [r[0] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_labels).collect()]
-    ranked = rows.filter(F.col("l").isin(labels)).select("i", "l").withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")))
-    chosen = ranked.filter(F.col("n") <= per_label).select("i", "l").distinct()  # per_label * max_labels ids at most
-    found = rows.join(F.broadcast(chosen), ["i", "l"], "left_semi").orderBy("i", "l", "t").collect() if labels else []
+    ranked = rows.select("i", "l").withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")))
+    chosen = ranked.filter(F.col("n") <= per_label).select("i", "l").distinct()  # per_label ids of each label at most
+    found = rows.join(F.broadcast(chosen), ["i", "l"], "left_semi").orderBy("i", "l", "t").collect()
     model = fit([r.t for r in found], [r.l for r in found])
     release_memory()
     return model
@@ -211,7 +213,7 @@ def label_words(docs: DataFrame, crf: Crf, text: str = "text", spans: bool = Fal
         crf = held.value
         n_labels = len(crf.labels)
         shares, tops, sizes = [], [], []
-        for piece in W.slices(batch.column(1)):
+        for piece in W.slices(batch.column(1), W.SLICE_BYTES * 8 // max(8, n_labels)):
             t = W.words(piece, W.ALNUM)
             n = np.diff(t.of)
             g = posteriors(_emissions(t, crf), t.of, crf.moves, crf.first)

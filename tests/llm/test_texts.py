@@ -65,6 +65,15 @@ def test_language_of_code_switched_text(spark):
     assert [r.label for r in got[1].runs] == ["en", "fr"] and abs(got[1].runs[0].n - 30) <= 3
 
 
+def test_language_learns_every_label(spark):
+    own = [[f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}{k}" for x in ("qu", "zor", "mel", "tiv", "bas")] for k in range(70)]
+    rows = [(i, sentences(i, 40, own[i % 70]), f"l{i % 70:02d}", "s") for i in range(350)]
+    rows += [(1000 + i, sentences(i, 40, own[i]), f"l{i:02d}", "s") for i in range(60)]
+    new = docs(spark, [(k, sentences(5000 + k, 60, own[k]), None, None) for k in range(70)])
+    crf = language.train(docs(spark, rows))
+    assert len(crf.labels) == 70 and {r.doc_id: r.lang_pred for r in language.identify(new, crf).collect()} == {k: f"l{k:02d}" for k in range(70)}
+
+
 def test_language_edges(spark):
     crf = language.train(messy(spark))
     got = [(r.doc_id, r.lang_pred, r.score) for r in language.identify(messy(spark), crf).collect()]
