@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writ
 again as the next one's docs. All but the last return the columns of documents.
 
 Defined results: rows without a letter go in the first stage, so null and empty texts do; rows that share a
-doc_id are one document and stay or go together; an empty table passes through every stage.
+doc_id are one document and stay or go together; rows without one are told apart by their text where benchmark
+text is looked for, and near copies among them all stay; an empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = benchmark.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.filter("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    text = F.when(docs["doc_id"].isNull(), F.sha2(docs["text"].cast("string"), 256))
+    found = benchmark.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=text)
+    gone = found.filter("contaminated").select("doc_id", "key").distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & text.eqNullSafe(gone["key"]), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,9 +122,10 @@ def _passes(table: np.ndarray, bits: int):
     return test
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", window: int = 10, gram: int = 5, filter_bits: int = 22) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", window: int = 10, gram: int = 5, filter_bits: int = 22, key: F.Column | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, item_ids (sorted strings), spans
-    (array of word ranges [start, end)), contaminated."""
+    (array of word ranges [start, end)), contaminated; and key, a string column made of docs' own columns, where
+    it is given."""
     spark = docs.sparkSession
     items_t = stored(_item_rows(items, item_text, window, gram), "items")
     own = items_t.select("k1", "k2", F.explode("windows").alias("w")).select("k1", "k2", "w.*").drop("start").distinct()
@@ -147,9 +148,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_te
         read.done = getattr(read, "done", 0)
         uid = base + read.done + np.arange(n_rows)
         read.done += n_rows
-        return pa.table({"uid": uid, "doc_id": batch.column(0), "n_words": np.concatenate(counts), "hits": pa.chunked_array(hits, kind)})
+        return pa.table({"uid": uid, "doc_id": batch.column(0), "key": batch.column(2), "n_words": np.concatenate(counts), "hits": pa.chunked_array(hits, kind)})
 
-    seen = stored(map_batches(docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")), read, f"uid long, doc_id long, n_words long, hits array<struct<{ROWS.replace(' ', ':').replace(',:', ',')}>>"), "read")
+    seen = stored(map_batches(docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text"), (F.lit(None) if key is None else key).cast("string").alias("key")), read, f"uid long, doc_id long, key string, n_words long, hits array<struct<{ROWS.replace(' ', ':').replace(',:', ',')}>>"), "read")
     hits = seen.filter(F.size("hits") > 0).select("uid", F.explode("hits").alias("h")).select("uid", "h.*")
     matched = hits.join(own, ["fp", "n", "w1", "w2"]).select("uid", "start", "n", "k1", "k2")
     # Spans: matches of a document that touch or overlap run on into one another.
@@ -161,9 +162,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_te
     spans = spans.groupBy("uid").agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     of_items = matched.select("uid", "k1", "k2").distinct().join(items_t.select("k1", "k2", "item_id").distinct(), ["k1", "k2"])
     of_items = of_items.groupBy("uid").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("item_ids"))
-    out = seen.select("uid", "doc_id", "n_words").join(spans, "uid", "left").join(of_items, "uid", "left")
+    out = seen.select("uid", "doc_id", "key", "n_words").join(spans, "uid", "left").join(of_items, "uid", "left")
     none = F.expr("cast(array() as array<string>)")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("spans"), F.col("n_hit").isNotNull().alias("contaminated"))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("spans"), F.col("n_hit").isNotNull().alias("contaminated"), *(["key"] if key is not None else []))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

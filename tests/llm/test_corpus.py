@@ -283,6 +283,16 @@ def test_pipeline_stages_take_messy_and_empty_tables(spark):
             assert now.columns == table.columns
 
 
+def test_pipeline_drops_contaminated_documents_without_an_id(spark):
+    import corpus_pipeline as pipe
+
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").filter("text is not null").orderBy("item_id").first().text
+    rows = [(None, "before " + item + " after", None, None), (None, "a clean text", None, None), (None, "a clean text", None, None), (None, None, None, None), (1, item, None, None), (1, "same id", None, None), (2, "clean", None, None), (2, None, None, None)]
+    got = pipe.drop_contaminated(spark, docs(spark, rows).withColumn("key", F.lit("x")), sf)
+    assert got.columns[-1] == "key" and sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, ""), (0, "a clean text"), (0, "a clean text"), (2, ""), (2, "clean")]
+
+
 def test_registered_queries_have_the_contracts_columns(spark):
     from talkloom.llm import queries
 
