@@ -3,168 +3,215 @@
 Words are the runs `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased. A window is `window`
 consecutive words of an item; an item of fewer words, but at least one, is one window of its own length.
 Of the k-grams in each window the smallest hash (the rightmost of equals) is the window's fingerprint, with
-k = gram and window - gram + 1 k-grams to a window, so a span of `window` shared words always shares one.
+k = gram and window - gram + 1 k-grams to a window, so a span of `window` shared words always shares one, at one
+place of the span.
 
-1. Items give fingerprints with the windows they stand for. A bit filter of fixed size is made of them.
-2. Documents are read once. Each selected fingerprint that passes the filter is extended to the windows it
-   was selected in; those that pass the filter too are written with the document's word count.
-3. Written windows meet item windows on (fingerprint, window length, 128-bit window hash). Matches that touch
-   or overlap are one span, as both run on; the words in spans are hit.
+1. Items and documents give one row for each fingerprint they select, with the window - gram words on either
+   side of it. A short item is a fingerprint as a whole.
+2. Fingerprints of documents and items are joined and each match is extended word by word to the left and to the
+   right. It counts when window words or more are equal. Such a match agrees on half of the extension at one side
+   at least: that is part of the join key, so a phrase that many texts share makes no row by itself.
+3. Matches of neighbouring fingerprints run on into one another: those that touch or overlap are one span; the
+   words in spans are hit.
 
-Work at any size is one pass over the texts and a join of candidate windows. The filter only saves rows: when
-it is full, everything passes and the join decides. Items of equal words are one class until the end.
+A bit set of the items' fingerprints and keys, of a size between 2**22 and 2**27 bits, spares the documents' other
+fingerprints the join. It only saves rows: when it is full, everything passes and the join decides. Items of equal
+words are one class until the end, and equal surroundings of fingerprints one row.
 
 Defined results: a null or empty text has no words, no hit and is not contaminated; null items and items
 without words match nothing; a null doc_id or item_id is kept (a null item_id is counted but not listed);
-repeated rows give one result row each, and equal item_ids count once; other columns are ignored.
+repeated rows give one result row each, and rows of one item_id count once, whatever their words; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkloom.llm import words as W
-from talkloom.llm.shared import map_batches, stored
+from talkloom.llm.shared import bit_table, bits_for, in_bits, map_batches, stored
 
 U64 = W.U64
-ROWS = "fp long, n int, w1 long, w2 long, start int"
-
-
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(U64).view(np.int64)
-
-
-def _windows(piece: W.Slice, window: int, gram: int, lengths: list[int], passes=None, flat_fp=None):
-    """(text index, start word, length, fingerprint, two window hashes) of the windows of a slice, and the word table.
-
-    passes(keys) says which keys may match; lengths: the lengths under `window` to look for as well."""
-    t = W.words(piece, W.ALNUM)
-    h1, h2 = W.FIRST.spans(t.data, t.starts, t.ends), W.SECOND.spans(t.data, t.starts, t.ends)
-    found = []
-    for n in [*lengths, window]:
-        g1 = W.grams(h1, n, 1)
-        at = np.flatnonzero(W.whole(t.of, n, len(g1)))
-        if n == window:
-            g = W.grams(h1, gram, 3)
-            best = W.minima(g, window - gram + 1)
-            fp = g[best[at]]
-        else:
-            fp = g1[at]
-        if passes is not None:
-            some = passes(fp)
-            at, fp = at[some], fp[some]
-            some = passes(g1[at] ^ U64(n))
-            at, fp = at[some], fp[some]
-        g2 = W.mix(_gather(h2, at, n))
-        found.append((np.searchsorted(t.of, at, side="right") - 1, at, np.full(len(at), n), fp, g1[at], g2))
-    return t, [np.concatenate(x) for x in zip(*found, strict=True)]
-
-
-def _gather(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    by = W.stream(77 + n, n) | U64(1)
-    total = np.zeros(len(at), dtype=U64)
-    for j in range(n):
-        total = total + hashes[at + j] * by[j]
-    return total
+PRINT = "struct<at:int,n:int,fp:long,left:array<long>,right:array<long>,kl:long,kr:long>"
+#: What stands for a word beyond the text's edge: never equal between items and documents.
+ITEM_EDGE, DOC_EDGE = 1, 2
+#: Fingerprints of items up to this number, about 250 bytes each, are broadcast; more are shuffled.
+BROADCAST_ROWS = 100_000
+
+
+def _longs(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x).astype(U64, copy=False).view(np.int64)
+
+
+def _weighed(values: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each row of values."""
+    return (values * (W.stream(seed, values.shape[1]) | U64(1))[None, :]).sum(axis=1, dtype=U64)
+
+
+def _window_prints(t: W.Words, h: np.ndarray, window: int, gram: int, edge: int, passes=None) -> dict:
+    """The fingerprints of the windows of a word table, with their surroundings and join keys."""
+    m, g = window - gram, W.grams(h, gram, 3)
+    best = W.minima(g, m + 1)
+    at = np.unique(best[W.whole(t.of, window, len(best))])
+    if passes is not None:
+        at = at[passes(g[at])]
+    doc = np.searchsorted(t.of, at, side="right") - 1
+    low, high, step = t.of[doc], t.of[doc + 1], np.arange(m)[None, :]
+    before, after = at[:, None] - 1 - step, at[:, None] + gram + step
+    left = np.where(before >= low[:, None], h[np.maximum(before, 0)], U64(edge))
+    right = np.where(after < high[:, None], h[np.minimum(after, len(h) - 1)], U64(edge))
+    half = (m + 1) // 2
+    keys = [W.mix(g[at] + _weighed(side[:, :half], seed)) for side, seed in ((left, 91), (right, 92))]
+    ok = [at - half >= low, at + gram + half <= high] if m else [np.ones(len(at), dtype=bool), np.zeros(len(at), dtype=bool)]
+    if passes is not None:
+        ok = [o & passes(k) for o, k in zip(ok, keys, strict=True)]
+    return {"doc": doc, "at": at, "n": np.zeros(len(at), dtype=np.int64), "fp": g[at], "left": left, "right": right, "keys": keys, "ok": ok}
+
+
+def _short_prints(t: W.Words, h: np.ndarray, n: int, m: int, passes=None) -> dict:
+    """Each run of n words as a fingerprint, with a second hash of it as the only word to compare."""
+    g = W.grams(h, n, 1)
+    at = np.flatnonzero(W.whole(t.of, n, len(g)))
+    keys = W.mix(g[at] ^ U64(n))
+    if passes is not None:
+        some = passes(keys)
+        at, keys = at[some], keys[some]
+    doc = np.searchsorted(t.of, at, side="right") - 1
+    second = W.SECOND.spans(t.data, t.starts, t.ends) if len(at) else h
+    left = np.zeros((len(at), m), dtype=U64)
+    left[:, 0] = _weighed(second[at[:, None] + np.arange(n)[None, :]], 77 + n) if len(at) else 0
+    none = np.zeros(len(at), dtype=bool)
+    return {"doc": doc, "at": at, "n": np.full(len(at), n), "fp": g[at], "left": left, "right": np.zeros_like(left), "keys": [keys, keys], "ok": [~none, none]}
+
+
+def _prints(t: W.Words, window: int, gram: int, short: list[int], edge: int, passes=None, keep=None) -> pa.ListArray:
+    """A list of PRINT for each text of a slice. keep(rows): which rows of a lane to keep."""
+    h, m = W.FIRST.spans(t.data, t.starts, t.ends), max(1, window - gram)
+    lanes = [_short_prints(t, h, n, m, passes) for n in short]
+    whole = _window_prints(t, h, window, gram, edge, passes)
+    if window == gram:
+        whole |= {k: np.zeros((len(whole["at"]), 1), dtype=U64) for k in ("left", "right")}
+    rows = []
+    for lane in [*lanes, whole]:
+        some = np.flatnonzero((lane["ok"][0] | lane["ok"][1]) & (keep(lane) if keep else True))
+        rows.append({k: [x[some] for x in v] if k in ("keys", "ok") else v[some] for k, v in lane.items()})
+    col = lambda k: np.concatenate([r[k] for r in rows])
+    doc = col("doc")
+    order = np.argsort(doc, kind="stable")
+    lists = [pa.ListArray.from_arrays(np.arange(0, m * len(doc) + 1, m, dtype=np.int32), _longs(col(k)[order]).ravel()) for k in ("left", "right")]
+    keys = []
+    for side in (0, 1):
+        value, ok = (np.concatenate([r[k][side] for r in rows])[order] for k in ("keys", "ok"))
+        keys.append(pa.array(_longs(value), pa.int64(), mask=~ok))
+    place = (col("at") - t.of[doc])[order].astype(np.int32)
+    made = [place, col("n")[order].astype(np.int32), _longs(col("fp")[order]), *lists, *keys]
+    made = pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in made], names=["at", "n", "fp", "left", "right", "kl", "kr"])
+    return pa.ListArray.from_arrays(np.searchsorted(doc[order], np.arange(len(t.of))).astype(np.int32), made)
 
 
 def _item_rows(items: DataFrame, text: str, window: int, gram: int) -> DataFrame:
-    """(item_id, n_words, rows of windows) of each item that has words; `key` is equal for items of equal words."""
+    """(item_id, k1, k2, n_words, prints) of each item; k1 and k2 are equal for items of equal words."""
 
     def rows(batch: pa.RecordBatch):
-        out = {"item_id": [], "k1": [], "k2": [], "n_words": [], "windows": []}
+        out = []
         for piece in W.slices(batch.column(1)):
             t = W.words(piece, W.ALNUM)
             sizes = np.diff(t.of)
+            place = np.arange(len(t.starts)) - np.repeat(t.of[:-1], sizes)
+            keys = []
+            for hasher in (W.FIRST, W.SECOND):
+                total = np.zeros(len(t.starts) + 1, dtype=U64)
+                np.cumsum(W.mix(hasher.spans(t.data, t.starts, t.ends) + U64(7)) * (place.astype(U64) * U64(2) + U64(1)), out=total[1:])
+                keys.append(_longs(W.mix(total[t.of[1:]] - total[t.of[:-1]] + sizes.astype(U64))))
             short = sorted({int(x) for x in sizes if 0 < x < window})
-            h1, h2 = W.FIRST.spans(t.data, t.starts, t.ends), W.SECOND.spans(t.data, t.starts, t.ends)
-            _, (doc, at, n, fp, w1, w2) = _windows(piece, window, gram, short)
-            own = (n == window) | (n == sizes[doc])
-            doc, at, n, fp, w1, w2 = (x[own] for x in (doc, at, n, fp, w1, w2))
-            for i in range(piece.hi - piece.lo):
-                if not sizes[i]:
-                    continue
-                mine, place = doc == i, np.arange(1, sizes[i] + 1, dtype=U64)
-                out["item_id"].append(batch.column(0)[piece.lo + i].as_py())
-                for k, h in (("k1", h1), ("k2", h2)):
-                    out[k].append(int(_signed(np.array([W.mix(h[t.of[i] : t.of[i + 1]] * (place * U64(2) + U64(1))).sum(dtype=U64)]))[0]))
-                out["n_words"].append(int(sizes[i]))
-                out["windows"].append([{"fp": a, "n": b, "w1": c, "w2": d, "start": e} for a, b, c, d, e in zip(_signed(fp[mine]).tolist(), n[mine].tolist(), _signed(w1[mine]).tolist(), _signed(w2[mine]).tolist(), (at[mine] - t.of[i]).tolist(), strict=True)])
-        kind = pa.list_(pa.struct([("fp", pa.int64()), ("n", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("start", pa.int32())]))
-        return pa.table({"item_id": pa.array(out["item_id"], pa.string()), "k1": pa.array(out["k1"], pa.int64()), "k2": pa.array(out["k2"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "windows": pa.array(out["windows"], kind)})
-
-    return map_batches(items.select(F.col("item_id").cast("string"), F.col(text).cast("string").alias("text")), rows, f"item_id string, k1 long, k2 long, n_words long, windows array<struct<{ROWS.replace(' ', ':').replace(',:', ',')}>>")
-
-
-def _filter(spark: SparkSession, windows: DataFrame, bits: int) -> np.ndarray:
-    """A bit set of 2**bits places with two places for each fingerprint and window; its size is fixed."""
-    keys = windows.select(F.explode(F.array("fp", F.expr("w1 ^ cast(n as bigint)"))).alias("k")).distinct()
-    low, high = F.col("k").bitwiseAND(F.lit((1 << bits) - 1)), F.shiftrightunsigned("k", 64 - bits)
-    places = keys.select(F.explode(F.array(low, high)).alias("p"))
-    rows = places.groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
-    table = np.zeros(1 << (bits - 6), dtype=np.int64)
-    got = rows.toArrow()
-    table[got["i"].to_numpy()] = got["b"].to_numpy()
-    return table.view(U64)
-
-
-def _passes(table: np.ndarray, bits: int):
-    def test(keys: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(keys), dtype=bool)
-        for p in (keys & U64((1 << bits) - 1), keys >> U64(64 - bits)):
-            ok &= (table[p >> U64(6)] >> (p & U64(63))) & U64(1) == 1
-        return ok
-
-    return test
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", window: int = 10, gram: int = 5, filter_bits: int = 22, key: F.Column | None = None) -> DataFrame:
+            own = lambda lane: (lane["n"] == 0) | (lane["n"] == sizes[lane["doc"]])  # noqa: B023, E731
+            out.append(pa.table({"item_id": batch.column(0).slice(piece.lo, piece.hi - piece.lo), "k1": keys[0], "k2": keys[1], "n_words": sizes.astype(np.int64), "prints": _prints(t, window, gram, short, ITEM_EDGE, keep=own)}))
+        return pa.concat_tables(out)
+
+    names = items.select(F.col("item_id").cast("string"), F.col(text).cast("string").alias("text"))
+    return map_batches(names, rows, f"item_id string, k1 long, k2 long, n_words long, prints array<{PRINT}>").filter("n_words > 0")
+
+
+def _equal_words(side: str, m: int) -> F.Column:
+    """How many words are equal, from the fingerprint on, between the document's side and the item's."""
+    out = F.lit(m)
+    for j in reversed(range(m)):
+        out = F.when(F.get(side, F.lit(j)) != F.get(f"i_{side}", F.lit(j)), j).otherwise(out)
+    return out
+
+
+def _matches(hits: DataFrame, surroundings: DataFrame, window: int, gram: int) -> DataFrame:
+    """uid, start, end, c1, c2: each fingerprint of a document extended along each item surrounding it meets."""
+    keyed = hits.select("uid", "at", "n", "fp", "left", "right", F.explode(F.array("kl", "kr")).alias("k")).filter("k is not null")
+    both = keyed.join(surroundings, ["k", "n", "fp"])
+    m = window - gram
+    left, right = (_equal_words(side, m).cast("int") for side in ("left", "right"))
+    ranges = both.select("uid", "at", "n", "c1", "c2", left.alias("l"), right.alias("r"), (F.get("left", F.lit(0)) == F.get("i_left", F.lit(0))).alias("same"))
+    short, wide = F.col("n") > 0, F.col("l") + F.col("r") >= m
+    start = F.when(short, F.col("at")).otherwise(F.col("at") - F.col("l"))
+    end = F.when(short, F.col("at") + F.col("n")).otherwise(F.col("at") + gram + F.col("r"))
+    return ranges.filter((short & F.col("same")) | (~short & wide)).select("uid", start.alias("start"), end.alias("end"), "c1", "c2").distinct()
+
+
+def decontaminate(
+    docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", window: int = 10, gram: int = 5, key: F.Column | None = None
+) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, item_ids (sorted strings), spans
     (array of word ranges [start, end)), contaminated; and key, a string column made of docs' own columns, where
     it is given."""
     spark = docs.sparkSession
-    items_t = stored(_item_rows(items, item_text, window, gram), "items")
-    own = items_t.select("k1", "k2", F.explode("windows").alias("w")).select("k1", "k2", "w.*").drop("start").distinct()
-    own = stored(own, "item-windows")
-    short = sorted(r[0] for r in own.filter(F.col("n") < window).select("n").distinct().collect())
-    held = spark.sparkContext.broadcast(_filter(spark, own, filter_bits))
+    of_items = stored(_item_rows(items, item_text, window, gram), "items")
+    prints = of_items.select("k1", "k2", F.explode("prints").alias("p")).select("k1", "k2", "p.*")
+    around = ("n", "fp", "left", "right")
+    named = prints.withColumn("c1", F.xxhash64(*around)).withColumn("c2", F.xxhash64(F.lit(1), *reversed(around)))
+    own = stored(named.select("c1", "c2", "k1", "k2", *around, F.explode(F.array("kl", "kr")).alias("k")).filter("k is not null").distinct(), "item-prints")
+    surroundings = own.select("k", "n", "fp", F.col("left").alias("i_left"), F.col("right").alias("i_right"), "c1", "c2").distinct()
+    classes = own.select("c1", "c2", "k1", "k2").distinct()
+    n_own = own.count()
+    short = sorted(r[0] for r in own.filter("n > 0").select("n").distinct().collect())  # below window
+    bits = bits_for(2 * n_own, 22, 27)
+    held = spark.sparkContext.broadcast(bit_table(own.select(F.explode(F.array("fp", "k")).alias("k")).distinct(), bits))
 
     def read(batch: pa.RecordBatch):
-        passes = _passes(held.value, filter_bits)
-        base, uid, counts, hits = TaskContext.get().partitionId() << 40, [], [], []
-        kind = pa.list_(pa.struct([("fp", pa.int64()), ("n", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("start", pa.int32())]))
-        for piece in W.slices(batch.column(1)):
-            t, (doc, at, n, fp, w1, w2) = _windows(piece, window, gram, short, passes)
-            order = np.argsort(doc, kind="stable")
-            doc, at, n, fp, w1, w2 = (x[order] for x in (doc, at, n, fp, w1, w2))
+        passes, counts, hits = lambda keys: in_bits(held.value, bits, keys), [], []
+        for piece in W.slices(batch.column(2)):
+            t = W.words(piece, W.ALNUM)
             counts.append(np.diff(t.of))
-            rows = pa.StructArray.from_arrays([_signed(fp), n.astype(np.int32), _signed(w1), _signed(w2), (at - t.of[doc]).astype(np.int32)], fields=list(kind.value_type))
-            hits.append(pa.ListArray.from_arrays(np.searchsorted(doc, np.arange(piece.hi - piece.lo + 1)).astype(np.int32), rows))
-        n_rows = batch.num_rows
-        read.done = getattr(read, "done", 0)
-        uid = base + read.done + np.arange(n_rows)
-        read.done += n_rows
-        return pa.table({"uid": uid, "doc_id": batch.column(0), "key": batch.column(2), "n_words": np.concatenate(counts), "hits": pa.chunked_array(hits, kind)})
-
-    seen = stored(map_batches(docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text"), (F.lit(None) if key is None else key).cast("string").alias("key")), read, f"uid long, doc_id long, key string, n_words long, hits array<struct<{ROWS.replace(' ', ':').replace(',:', ',')}>>"), "read")
+            hits.append(_prints(t, window, gram, short, DOC_EDGE, passes))
+        return pa.table({"uid": batch.column(0), "doc_id": batch.column(1), "key": batch.column(3), "n_words": np.concatenate(counts), "hits": pa.chunked_array(hits)})
+
+    name = (F.lit(None) if key is None else key).cast("string").alias("key")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), name)
+    seen = stored(map_batches(rows, read, f"uid long, doc_id long, key string, n_words long, hits array<{PRINT}>"), "read")
     hits = seen.filter(F.size("hits") > 0).select("uid", F.explode("hits").alias("h")).select("uid", "h.*")
-    matched = hits.join(own, ["fp", "n", "w1", "w2"]).select("uid", "start", "n", "k1", "k2")
+    matched = stored(_matches(hits, F.broadcast(surroundings) if n_own <= BROADCAST_ROWS else surroundings, window, gram), "matches")
     # Spans: matches of a document that touch or overlap run on into one another.
-    order = Window.partitionBy("uid").orderBy("start", "n")
-    runs = matched.select("uid", "start", (F.col("start") + F.col("n")).alias("end"), "n").distinct()
+    order = Window.partitionBy("uid").orderBy("start", "end")
+    runs = matched.select("uid", "start", "end").distinct()
     runs = runs.withColumn("reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     runs = runs.withColumn("run", F.sum(F.when(F.col("reach") >= F.col("start"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = runs.groupBy("uid", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    spans = spans.groupBy("uid").agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    of_items = matched.select("uid", "k1", "k2").distinct().join(items_t.select("k1", "k2", "item_id").distinct(), ["k1", "k2"])
-    of_items = of_items.groupBy("uid").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("item_ids"))
-    out = seen.select("uid", "doc_id", "key", "n_words").join(spans, "uid", "left").join(of_items, "uid", "left")
-    none = F.expr("cast(array() as array<string>)")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("spans"), F.col("n_hit").isNotNull().alias("contaminated"), *(["key"] if key is not None else []))
+    length = F.sum(F.col("end") - F.col("start")).cast("long")
+    spans = spans.groupBy("uid").agg(length.alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    met = matched.select("uid", "c1", "c2").distinct().join(classes, ["c1", "c2"]).select("uid", "k1", "k2").distinct()
+    met = met.join(of_items.select("k1", "k2", "item_id").distinct(), ["k1", "k2"]).select("uid", "item_id").distinct()
+    met = met.groupBy("uid").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("item_ids"))
+    out = seen.select("uid", "doc_id", "key", "n_words").join(spans, "uid", "left").join(met, "uid", "left")
+    none, no_span = F.expr("cast(array() as array<string>)"), F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    zero = F.lit(0).cast("long")
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_hit", zero).alias("n_hit"),
+        F.coalesce("n_items", zero).alias("n_items"),
+        F.coalesce("item_ids", none).alias("item_ids"),
+        F.coalesce("spans", no_span).alias("spans"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
+        *(["key"] if key is not None else []),
+    )
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
