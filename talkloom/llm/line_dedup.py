@@ -2,19 +2,23 @@
 
 A document is the sequence of its lines that hold more than ASCII white space; the other lines are kept and not
 looked at. A run is `min_run` consecutive lines of the sequence or, with `min_words`, fewer whole lines that hold
-that many words together (words are what ASCII white space parts). Of the `gram`-line hashes in a run of min_run
-lines the smallest one (the rightmost of equals) is its fingerprint, so equal runs always share one; a shorter run
-is a gram of its own. Runs whose fingerprint stands
-at one place in the corpus are dropped at once; the others are joined on the whole run's 128-bit hash with the
-run's first place, in the order of documents (doc_id, text hash) and lines. A run that has an earlier place is
-repeated; neighbouring repeated runs extend one another, and every line of them is deleted.
+that many words together (words are what ASCII white space parts). Every line of a run that has an earlier place,
+in the order of documents (doc_id, text hash) and lines, is deleted.
 
-Fingerprints and first places are aggregated before they are shuffled, so a run that a third of all documents
-hold is a row for each task; texts are joined once, by document, with the places to delete.
+1. Of the `gram`-line hashes in each run of min_run lines the smallest one (the rightmost of equals) is its
+   fingerprint. Equal runs select the same one at the same place of the run. A shorter run of many words is a
+   fingerprint as a whole.
+2. Each fingerprint is extended to the left and to the right by the lines of the run that selected it, and these
+   extended fingerprints are joined with their first place in the corpus.
+3. Matches of neighbouring fingerprints run on into one another, and their lines are deleted.
+
+First places are aggregated before they are shuffled. Lines that hold more than a ten-thousandth of the rows are
+few and are broadcast back to them, so no task gets a third of all rows. Texts are joined by document with what to
+delete; a bit set of the documents that lose lines, of at most 2**24 bits, lets most others pass by that join.
 
 Defined results: null and empty texts have no run and come back as they are; documents of fewer than min_run
-such lines lose nothing without min_words; rows of equal doc_id and text are one document and get the same result; a null doc_id
-comes last in the order; other columns are ignored.
+such lines lose nothing without min_words; rows of equal doc_id and text are one document and get the same result;
+a null doc_id comes last in the order; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkloom.llm import words as W
-from talkloom.llm.shared import map_batches, stored
+from talkloom.llm.shared import bit_filter, bits_for, drop_stored, join_hot, map_batches, stored
 
 U64 = W.U64
 _IN_LINE = np.arange(256) != 0x0A
-RUN = "struct<fp:long,w1:long,w2:long,start:int,n:int>"
+SPANS = "array<struct<start:int,end:int>>"
+#: An extended fingerprint: two hashes of it, and the lines it covers.
+MATCH = "struct<k1:long,k2:long,start:int,n:int>"
 
 
 def _word_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -39,82 +45,110 @@ def _word_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return begins[ends] - begins[starts] + (inside[starts] & (starts > 0) & inside[np.maximum(starts, 1) - 1])
 
 
-def _runs(docs: DataFrame, min_run: int, gram: int, min_words: int | None) -> DataFrame:
-    kind = pa.list_(pa.struct([("fp", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
+def _extended(h: tuple[np.ndarray, np.ndarray], prints: np.ndarray, start: np.ndarray, gram: int, n: int, seed: int) -> list[np.ndarray]:
+    """Two hashes of each fingerprint, how far it stands from the start, and the lines around it up to n."""
+    out = []
+    for k, lines in enumerate(h):
+        total = W.mix(W.grams(lines, gram, 43 + k)[prints] + (prints - start).astype(U64))
+        by = W.stream(seed + k, n) | U64(1)
+        for j in range(n):
+            at = start + j
+            outside = (at < prints) | (at >= prints + gram)
+            total = total + np.where(outside, lines[at] * by[j], U64(0))
+        out.append(W.mix(total))
+    return out
+
+
+def _fingerprints(t: W.Words, min_run: int, gram: int, min_words: int | None) -> tuple[np.ndarray, ...]:
+    """(text, start, lines, two hashes) of the extended fingerprints of a slice's texts, and each text's lines."""
+    solid = np.concatenate([[0], np.cumsum(W.SPACED[t.data])])
+    filled = solid[t.ends] > solid[t.starts]
+    of = np.concatenate([[0], np.cumsum(filled)])[t.of]
+    starts, ends = t.starts[filled], t.ends[filled]
+    h = W.FIRST.spans(t.data, starts, ends), W.SECOND.spans(t.data, starts, ends)
+    best = W.minima(W.grams(h[0], gram, 43), min_run - gram + 1)
+    at = np.flatnonzero(W.whole(of, min_run, len(best)))
+    found = [(at, np.full(len(at), min_run), *_extended(h, best[at], at, gram, min_run, 51))]
+    if min_words:
+        total = np.concatenate([[0], np.cumsum(_word_counts(t.data, starts, ends))])
+        for n in range(1, min_run):
+            ok = W.whole(of, n, max(0, len(starts) - n + 1))
+            at = np.flatnonzero(ok & (total[n:] - total[: len(ok)] >= min_words))
+            found.append((at, np.full(len(at), n), *(W.mix(W.grams(x, n, 45 + k)[at] + U64(n)) for k, x in enumerate(h))))
+    at, n, k1, k2 = (np.concatenate(x) for x in zip(*found, strict=True))
+    doc = np.searchsorted(of, at, side="right") - 1
+    order = np.argsort(doc, kind="stable")
+    return tuple(x[order] for x in (doc, at - of[doc], n, k1, k2))
+
+
+def _matches(docs: DataFrame, min_run: int, gram: int, min_words: int | None) -> DataFrame:
+    kind = pa.list_(pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
 
     def rows(batch: pa.RecordBatch):
         out = []
         for piece in W.slices(batch.column(2)):
-            t = W.words(piece, _IN_LINE, lower=False)
-            solid = np.concatenate([[0], np.cumsum(W.SPACED[t.data])])
-            filled = solid[t.ends] > solid[t.starts]
-            of = np.concatenate([[0], np.cumsum(filled)])[t.of]
-            starts, ends = t.starts[filled], t.ends[filled]
-            h1, h2 = W.FIRST.spans(t.data, starts, ends), W.SECOND.spans(t.data, starts, ends)
-            g = W.grams(h1, gram, 43)
-            best = W.minima(g, min_run - gram + 1)
-            if min_words:
-                total = np.concatenate([[0], np.cumsum(_word_counts(t.data, starts, ends))])
-            found = []
-            for n in range(1 if min_words else min_run, min_run + 1):
-                w1, w2 = W.grams(h1, n, 41), W.grams(h2, n, 42)
-                ok = W.whole(of, n, len(w1))
-                if n < min_run:
-                    ok &= total[n:] - total[: len(w1)] >= min_words
-                at = np.flatnonzero(ok)
-                found.append((at, g[best[at]] if n == min_run else w1[at], w1[at], w2[at], np.full(len(at), n, dtype=np.int32)))
-            at, fp, w1, w2, n = (np.concatenate(x) for x in zip(*found, strict=True))
-            if min_words:
-                order = np.argsort(at, kind="stable")
-                at, fp, w1, w2, n = (x[order] for x in (at, fp, w1, w2, n))
-            doc = np.searchsorted(of, at, side="right") - 1
-            made = pa.StructArray.from_arrays([fp.view(np.int64), w1.view(np.int64), w2.view(np.int64), (at - of[doc]).astype(np.int32), n], fields=list(kind.value_type))
-            out.append(pa.ListArray.from_arrays(np.searchsorted(doc, np.arange(piece.hi - piece.lo + 1)).astype(np.int32), made))
-        return pa.table({"doc_id": batch.column(0), "th": batch.column(1), "runs": pa.chunked_array(out, kind)})
-
-    found = map_batches(docs.filter("text is not null").select("doc_id", "th", "text"), rows, f"doc_id long, th long, runs array<{RUN}>")
-    return found.select("doc_id", "th", F.explode("runs").alias("r")).select("doc_id", "th", "r.*")
-
-
-def dedup_lines(docs: DataFrame, text: str = "text", min_run: int = 3, gram: int = 2, min_words: int | None = None) -> DataFrame:
+            doc, start, n, k1, k2 = _fingerprints(W.words(piece, _IN_LINE, lower=False), min_run, gram, min_words)
+            made = [k1.view(np.int64), k2.view(np.int64), start.astype(np.int32), n.astype(np.int32)]
+            ends = np.searchsorted(doc, np.arange(piece.hi - piece.lo + 1)).astype(np.int32)
+            out.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(made, fields=list(kind.value_type))))
+        return pa.table({"doc_id": batch.column(0), "th": batch.column(1), "found": pa.chunked_array(out, kind)})
+
+    found = map_batches(docs.filter("text is not null").select("doc_id", "th", "text"), rows, f"doc_id long, th long, found array<{MATCH}>")
+    return found.select("doc_id", "th", F.explode("found").alias("m")).select("doc_id", "th", "m.*")
+
+
+def _cut(batch: pa.RecordBatch) -> pa.Table:
+    texts, lines, removed, spans = batch.column(1).to_pylist(), [], [], []
+    for i, starts in enumerate(batch.column(2).to_pylist()):
+        if not starts:
+            lines.append(texts[i].count("\n") + 1)
+            removed.append(0)
+            spans.append([])
+            continue
+        own = texts[i].split("\n")
+        filled = [k for k, line in enumerate(own) if line.strip(" \t\n\v\f\r")]
+        gone: set[int] = set()
+        merged: list[list[int]] = []
+        for run in starts:
+            s, e = run["start"], run["start"] + run["n"]
+            gone.update(filled[s:e])
+            if merged and s <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e])
+        texts[i] = "\n".join(line for k, line in enumerate(own) if k not in gone)
+        lines.append(len(own))
+        removed.append(len(gone))
+        spans.append([{"start": a, "end": b} for a, b in merged])
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    made = {"text": pa.array(texts, pa.string()), "n_lines": pa.array(lines, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
+    return pa.table({"doc_id": batch.column(0), **made, "spans": pa.array(spans, kind)})
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", min_run: int = 3, gram: int = 2, min_words: int | None = 50) -> DataFrame:
     """One row per document: doc_id, text (without repeated runs), n_lines, n_removed, spans (the deleted runs,
     as ranges of places in the sequence of lines)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    runs = stored(_runs(docs, min_run, gram, min_words).distinct(), "runs")
-    places = runs.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1")
-    again = runs.join(places.select("fp"), "fp", "left_semi")
+    found = stored(_matches(docs, min_run, gram, min_words).distinct(), "line-prints")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "start")
-    firsts = again.groupBy("w1", "w2").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    late = again.join(firsts, ["w1", "w2"]).filter(order > F.col("first")).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("starts"))
-    late = late.withColumn("no_id", F.col("doc_id").isNull()).withColumn("id", F.coalesce("doc_id", F.lit(0))).drop("doc_id")
-    joined = docs.withColumn("no_id", F.col("doc_id").isNull()).withColumn("id", F.coalesce("doc_id", F.lit(0))).join(late, ["id", "no_id", "th"], "left")
-
-    def cut(batch: pa.RecordBatch):
-        texts, lines, removed, spans = batch.column(1).to_pylist(), [], [], []
-        for i, starts in enumerate(batch.column(2).to_pylist()):
-            if texts[i] is None:
-                lines.append(0), removed.append(0), spans.append([])
-                continue
-            if not starts:
-                lines.append(texts[i].count("\n") + 1), removed.append(0), spans.append([])
-                continue
-            own = texts[i].split("\n")
-            filled = [k for k, line in enumerate(own) if line.strip(" \t\n\v\f\r")]
-            gone: set[int] = set()
-            merged: list[list[int]] = []
-            for run in starts:
-                s, e = run["start"], run["start"] + run["n"]
-                gone.update(filled[s:e])
-                if merged and s <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], e)
-                else:
-                    merged.append([s, e])
-            texts[i] = "\n".join(line for k, line in enumerate(own) if k not in gone)
-            lines.append(len(own)), removed.append(len(gone)), spans.append([{"start": a, "end": b} for a, b in merged])
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.table({"doc_id": batch.column(0), "text": pa.array(texts, pa.string()), "n_lines": pa.array(lines, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, kind)})
-
-    return map_batches(joined.select("doc_id", "text", "starts"), cut, "doc_id long, text string, n_lines long, n_removed long, spans array<struct<start:int,end:int>>")
+    firsts = stored(found.groupBy("k1", "k2").agg(F.min(order).alias("first"), F.count("*").alias("places")).filter("places > 1"), "first-places")
+    late = join_hot(found, firsts, ["k1", "k2"], "places", found.count()).filter(order > F.col("first"))
+    late = late.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("starts"))
+    late = stored(late.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "th", "starts"), "late-runs")
+    drop_stored(found, firsts)
+    # Documents whose hash has no place in the set lose nothing; the set has 64 bits a document, up to its bound.
+    bits = bits_for(4 * late.count(), 16, 24)
+    words = F.broadcast(bit_filter(late.select("th").distinct(), bits))  # 2**18 rows at most
+    place = F.col("th").bitwiseAND(F.lit((1 << bits) - 1))
+    marked = docs.join(words, F.shiftright(place, 6) == F.col("i"), "left")
+    maybe = F.col("text").isNotNull() & F.coalesce(F.expr("shiftrightunsigned(b, cast(th & 63 as int)) & 1") == 1, F.lit(False))
+    keys = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "th"]
+    joined = marked.filter(maybe).select("doc_id", *keys, "text").join(late, ["id", "no_id", "th"], "left")
+    lost = map_batches(joined.select("doc_id", "text", "starts"), _cut, f"doc_id long, text string, n_lines long, n_removed long, spans {SPANS}")
+    feeds = F.char_length("text") - F.char_length(F.translate("text", "\n", ""))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(feeds + 1).cast("long").alias("n_lines")
+    passed = marked.filter(~maybe).select("doc_id", "text", n_lines, F.lit(0).cast("long").alias("n_removed"), F.expr(f"cast(array() as {SPANS})").alias("spans"))
+    return lost.unionByName(passed)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,12 +158,29 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS p, len(ls) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
-f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS s FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-r AS (SELECT doc_id, s, line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS run FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
-k AS (SELECT doc_id, s, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS n FROM r WHERE run IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, unnest([s, s + 1, s + 2]) AS s FROM k WHERE n > 1),
-x AS (SELECT l.doc_id, l.line, l.p, g.s IS NOT NULL AS gone FROM l LEFT JOIN f USING (doc_id, p) LEFT JOIN g ON g.doc_id = f.doc_id AND g.s = f.s),
-o AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '') AS kept FROM x GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CAST(length(coalesce(kept, '')) AS BIGINT) AS kept_chars, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN o USING (doc_id)
+WITH l AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS p, len(ls) AS n
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+f AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS s, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+-- Runs: one or two whole lines of 50 words together, and any three lines.
+x AS (
+  SELECT doc_id, s, line, words, lead(line, 1) OVER w AS line2, lead(words, 1) OVER w AS words2, lead(line, 2) OVER w AS line3
+  FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+r AS (
+  SELECT doc_id, s, 1 AS n, line AS run FROM x WHERE words >= 50
+  UNION ALL SELECT doc_id, s, 2, line || chr(10) || line2 FROM x WHERE words + words2 >= 50
+  UNION ALL SELECT doc_id, s, 3, line || chr(10) || line2 || chr(10) || line3 FROM x WHERE line3 IS NOT NULL),
+k AS (SELECT doc_id, s, n, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, s) AS place FROM r),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS s FROM k WHERE place > 1),
+y AS (
+  SELECT l.doc_id, l.line, l.p, g.s IS NOT NULL AS gone
+  FROM l LEFT JOIN f USING (doc_id, p) LEFT JOIN g ON g.doc_id = f.doc_id AND g.s = f.s),
+o AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '') AS kept
+  FROM y GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  CAST(length(coalesce(kept, '')) AS BIGINT) AS kept_chars, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN o USING (doc_id)
 """
