@@ -7,8 +7,9 @@ learned with them, on sequences spliced from pieces of texts of different labels
 text are seen. Words are labelled by forward-backward over the whole text, and the text's label is the one
 with the largest mean posterior.
 
-Fitting uses every label and at most `per_label` documents of each, those of the smallest hashed ids; the model
-and the sample grow with the number of labels. Everything else covers every word of every document; the weights
+Fitting uses every label and at most `per_label` documents of each, of `label_bytes` bytes together: those of the
+smallest hashed ids, an id once however many rows repeat it, and the shortest one where all are longer than an
+eighth of those bytes. The model and the sample grow with the number of labels alone. Everything else covers every word of every document; the weights
 (a fixed table) are the only thing that is broadcast.
 
 Defined results: null texts and texts without any letter get label `und` and score 0; texts whose words can
@@ -22,12 +23,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkloom.llm import words as W
-from talkloom.llm.shared import held_out, map_batches, release_memory
+from talkloom.llm.shared import held_out, map_batches, release_memory, sample
 
 U64 = W.U64
 BITS, STEPS = 17, 48
@@ -59,7 +60,10 @@ def _features(t: W.Words, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarra
     pair = code[:-3] << U64(8) | code[1:-2]
     triple = pair << U64(8) | code[2:-1]
     rows, keys = [np.arange(len(at), dtype=np.int32)], [hashes]
-    for kind, (ok, key) in enumerate(((left >= 2, pair), (left >= 3, triple), ((place == 0) & (left >= 2), pair), ((place == 0) & (left >= 3), triple), (left == 2, pair), (left == 3, triple), ((place == 0) & (left == 1), code[:-3])), 1):
+    begin = place == 0
+    kinds = [(left >= 2, pair), (left >= 3, triple), (begin & (left >= 2), pair), (begin & (left >= 3), triple)]
+    kinds += [(left == 2, pair), (left == 3, triple), (begin & (left == 1), code[:-3])]
+    for kind, (ok, key) in enumerate(kinds, 1):
         rows.append(row[ok])
         keys.append(W.mix(key[ok] | U64(kind << 40)))
     rows, keys = np.concatenate(rows), np.concatenate(keys)
@@ -190,13 +194,11 @@ def fit(texts: list[str], tags: list[str], epochs: int = 4, rate: float = 0.3, s
     return Crf(labels, weights, moves, first, lexicon, of_lexicon)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_label: int = 250) -> Crf:
-    """Fits on at most per_label documents of each label that is not null."""
-    rows = docs.select(F.col("doc_id").alias("i"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).filter("l is not null and t is not null")
-    ranked = rows.select("i", "l").withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")))
-    chosen = ranked.filter(F.col("n") <= per_label).select("i", "l").distinct()  # per_label ids of each label at most
-    found = rows.join(F.broadcast(chosen), ["i", "l"], "left_semi").orderBy("i", "l", "t").collect()
-    model = fit([r.t for r in found], [r.l for r in found])
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_label: int = 250, label_bytes: int = 1 << 20) -> Crf:
+    """Fits on at most per_label documents, of label_bytes bytes together, of each label that is not null."""
+    rows = docs.select(F.col("doc_id").alias("i"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("l"))
+    found = sample(rows.filter("l is not null and text is not null"), "l", per_label, label_bytes).orderBy("i", "l", "text").collect()
+    model = fit([r.text for r in found], [r.l for r in found])
     release_memory()
     return model
 
