@@ -2,8 +2,9 @@
 
 A log row is an event of a conversation: `open` starts message `message` with a role, `delta` appends text to
 it, `edit` replaces its text, and `regenerate` empties it so that the deltas after it make a new answer. Logs
-are dealt by conversation and sorted by sequence number, and folded in that order as a stream: a task holds one
-message at a time, so a conversation of any length needs no more memory than its longest message.
+are dealt by conversation and message, sorted by sequence number, and folded in that order as a stream: a task
+holds one message at a time, so a conversation of any length is spread over tasks and needs no more memory than its
+longest message. Only the digests of whole conversations read one from end to end, as a stream too.
 
 Template: `<s>[INST]` role `[/INST]` line feed, text, `</s>` line feed. A backslash in a text or role is
 doubled, and a control string (`<s>`, `</s>`, `[INST]`, `[/INST]`) gets a backslash after its first character;
@@ -77,8 +78,9 @@ def events_of(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", "message", F.posexplode(log).alias("k", "e")).select("conv_id", (F.col("message").cast("long") * (1 << 32) + F.col("k")).alias("seq"), "message", "e.kind", "e.body")
 
 
-def _by_conversation(df: DataFrame, *order: str | Column) -> DataFrame:
-    return df.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), *order)
+def _by_conversation(df: DataFrame, *order: str | Column, also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows dealt by conversation (and the columns `also`, where a task needs no more), in the order given."""
+    return df.repartition("conv_id", *also).sortWithinPartitions(F.col("conv_id").asc_nulls_first(), *order)
 
 
 class _Out:
@@ -125,7 +127,7 @@ def fold(log: DataFrame) -> DataFrame:
         yield out.take()
 
     # Events of a message may lie apart in the log: within a conversation they are sorted by message, then seq.
-    ordered = _by_conversation(rows, F.col("message").asc_nulls_first(), F.col("seq").asc_nulls_first(), "kind", "body")
+    ordered = _by_conversation(rows, F.col("message").asc_nulls_first(), F.col("seq").asc_nulls_first(), "kind", "body", also=("message",))
     return ordered.select("conv_id", "message", "kind", "body").mapInArrow(run, "conv_id long, message long, role string, text string")
 
 
