@@ -3,7 +3,7 @@
 Documents are ranged by doc_id over shards and encoded in that order, `end_id` after each. A shard is written as
 blocks of whole documents, of about BLOCK_IDS ids. Within a block the pairs of neighbouring symbols that occur
 at least `MIN_COUNT` times are replaced by new symbols, the most frequent ones of a round together, round after
-round until too little is gained; no pair crosses the end of a document.
+round until none is left; no pair crosses the end of a document.
 
 File format: Parquet files, a row per block, so that any reader finds its columns: shard, block, n_ids,
 doc_ids, `lengths` and `ends` (little-endian unsigned 32-bit: ids of each document, and the end of its symbols),
@@ -32,7 +32,7 @@ from talkloom.llm import words as W
 from talkloom.llm.shared import bound_batches, map_batches, new_path, release_memory
 from talkloom.llm.tokens import encoder as encoder_of
 
-BLOCK_IDS, ROUNDS, PAIRS, MIN_COUNT = 1 << 19, 10, 2048, 8
+BLOCK_IDS, PAIRS, MIN_COUNT = 1 << 19, 2048, 8
 SCHEMA = "shard int, block int, n_ids long, doc_ids array<long>, lengths binary, ends binary, base int, rules binary, rule_lengths binary, width int, symbols binary"
 
 
@@ -41,43 +41,42 @@ def _place(pair: np.ndarray) -> np.ndarray:
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, ends of the documents' symbols, rules, ids each rule expands to). ends: of the documents' ids."""
+    """(symbols, ends of the documents' symbols, rules, ids each rule expands to). ends: of the documents' ids.
+
+    Rounds go on until no pair is left that occurs MIN_COUNT times. A pair of old symbols never gains places, so after
+    the first round only pairs that were frequent then, or hold a new symbol, are counted again (`live`)."""
     seq, last = ids.astype(np.int64), np.zeros(len(ids), dtype=bool)
     last[ends - 1] = True
     rules, sizes, limit = [], [], 65536 - base if base < 65536 else 1 << 30
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        pair = np.where(last[:-1], -1, seq[:-1] << 32 | seq[1:])
+    live = np.flatnonzero(~last[:-1]) if len(seq) > 1 else np.zeros(0, dtype=np.int64)
+    while len(live) and len(rules) < limit:
+        pair = seq[live] << 32 | seq[live + 1]
         # Pairs are counted in a hashed table first: only those of full places are sorted.
         place = _place(pair)
-        full = (np.bincount(place, minlength=1 << 20) >= MIN_COUNT)[place] & (pair >= 0)
-        keys, count = np.unique(pair[full], return_counts=True)
-        room = min(PAIRS, limit - len(rules))
+        full = (np.bincount(place, minlength=1 << 20) >= MIN_COUNT)[place]
+        live, pair, place = live[full], pair[full], place[full]
+        keys, count = np.unique(pair, return_counts=True)
         some = np.flatnonzero(count >= MIN_COUNT)
-        some = some[np.argsort(-count[some], kind="stable")[:room]]
-        if not len(some):
+        # The most frequent ones of a round; the others wait for a later one.
+        keys = keys[some[np.argsort(-count[some], kind="stable")[: min(PAIRS, limit - len(rules))]]]
+        if not len(keys):
             break
-        keys = keys[some]
-        # Of keys that share a place, the first one has it; the others wait for a later round.
+        # Of keys that share a place, the first one has it; the others wait too.
         owner = np.full(1 << 20, -1, dtype=np.int32)
         owner[_place(keys)[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]
         found = owner[place]
-        at = np.flatnonzero(found >= 0)
-        found = found[at]
-        hit = keys[found] == pair[at]
-        at, found = at[hit], found[hit]
+        match = np.flatnonzero(found >= 0)
+        match = match[keys[found[match]] == pair[match]]
+        at, found = live[match], found[match]
         # Of matches in a row, every other one: they share symbols.
         run = np.flatnonzero(np.diff(at, prepend=-9) != 1)
         odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 1
-        at, found = at[~odd], found[~odd]
-        used = np.bincount(found, minlength=len(keys))
-        good = np.flatnonzero(used >= 3)
+        good = np.bincount(found[~odd], minlength=len(keys)) >= 3
+        # Pairs that overlap others in almost every place gain nothing and are given up.
+        live = np.delete(live, match[~good[found]])
         name = np.full(len(keys), -1)
-        name[good] = base + len(rules) + np.arange(len(good))
-        at, new = at[name[found] >= 0], name[found][name[found] >= 0]
-        if len(at) * 50 < len(seq):
-            break
+        name[good] = base + len(rules) + np.arange(good.sum())
+        at, new = at[~odd & good[found]], name[found[~odd & good[found]]]
         for key in keys[good].tolist():
             a, b = key >> 32, key & 0xFFFFFFFF
             rules.append((a, b))
@@ -85,7 +84,14 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
         seq[at], last[at] = new, last[at + 1]
         stay = np.ones(len(seq), dtype=bool)
         stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
+        alive = np.zeros(len(seq), dtype=bool)
+        alive[live] = True
+        alive[at] = True
+        before = at[at > 0] - 1
+        alive[before] = True
+        alive[before[~stay[before]] - 1] = True
+        seq, last, alive = seq[stay], last[stay], alive[stay]
+        live = np.flatnonzero(alive[:-1] & ~last[:-1])
     return seq.astype(np.uint32), np.flatnonzero(last) + 1, np.array(rules, dtype=np.uint32).reshape(-1, 2), np.array(sizes, dtype=np.uint32)
 
 
