@@ -11,24 +11,29 @@ The document closest in size to what is then missing is added.
 Targets: sources sorted by name (code points, null last) weigh weights[i % len(weights)], share `share` of all
 sizes, and stop at `most` times their size; what is cut off is shared again by weight until none is above.
 
-Only patterns and sources reach the driver; more than `max_patterns` of them is an error, not a cut.
+A pattern of one source has but one way to flow, and sources that no wider pattern touches are settled without a
+search. Of the wider patterns the `max_patterns` largest are routed by the flow. Any number of smaller ones is mixed
+as well: the documents of each go with one of their sources, drawn by a hash of the pattern with the odds of what
+the sources still want (target to size), so near the targets but not at the least cost. Names and sizes of
+the sources and the patterns of the flow are all that reaches the driver.
 
 Defined results: null texts have size 0 and are taken 0 words; an empty table gives no row; the null source is
-a source like any other, the last one; equal doc_ids (repeated rows) are one document for the choice and each
-row gets its own words; a null doc_id orders as the text 'null'; other columns are ignored.
+a source like any other, the last one; a null or empty list of sources is taken 0 words; equal doc_ids (repeated
+rows) are one document for the choice and each row gets its own words; a null doc_id orders as the text 'null';
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talkloom.llm.shared import stored
+from talkloom.llm.shared import join_hot, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 DIGITS = 3  # hex digits of the seeded hash to a refinement
+#: Tables of a row per group are broadcast up to this number of groups (about 200 bytes each), else shuffled.
+BROADCAST_GROUPS = 50_000
 
 
 def water_fill(sizes: list[int], weights: list[int], total: float, most: float) -> list[float]:
@@ -46,51 +51,88 @@ def water_fill(sizes: list[int], weights: list[int], total: float, most: float)
 
 def min_cost_flow(supply: list[int], members: list[tuple[int, ...]], quotas: list[int], repeats: int) -> list[list[int]]:
     """Words sent from each pattern to each of its sources: quotas are met as far as capacity allows, at the
-    least total cost when the r-th use of a pattern costs r a word. Successive shortest paths with potentials."""
-    n_p, n_s = len(supply), len(quotas)
-    source, sink = n_p + n_s, n_p + n_s + 1
-    graph: list[list[int]] = [[] for _ in range(n_p + n_s + 2)]
-    to, cap, cost = [], [], []
-
-    def arc(a: int, b: int, c: int, w: int) -> int:
-        for x, y, k, v in ((a, b, c, w), (b, a, 0, -w)):
-            graph[x].append(len(to))
-            to.append(y)
-            cap.append(k)
-            cost.append(v)
-        return len(to) - 2
-
-    for p, s in enumerate(supply):
-        for r in range(repeats):
-            arc(source, p, s, r)
-    sent = [[arc(p, n_p + m, repeats * supply[p], 0) for m in own] for p, own in enumerate(members)]
-    for m, q in enumerate(quotas):
-        arc(n_p + m, sink, q, 0)
-    high = [0] * len(graph)
-    while True:
-        best, via = [float("inf")] * len(graph), [-1] * len(graph)
-        best[source], queue = 0, [(0, source)]
-        while queue:
-            d, a = heapq.heappop(queue)
-            if d > best[a]:
+    least total cost when the r-th use of a pattern costs r a word.
+
+    Only the first arc of a path costs anything, so the least cost comes from sending all that first uses can, then
+    all that second uses can add, and so on. Each of these is a largest flow, found by blocking flows over shortest
+    paths: from a pattern to a source, and on from there over patterns that already send to it."""
+    sent = [dict.fromkeys(own, 0) for own in members]
+    left = list(quotas)
+    for _ in range(repeats):
+        spare = list(supply)
+        while _blocking_flow(spare, left, members, sent):
+            pass
+    return [[flow[m] for m in own] for flow, own in zip(sent, members, strict=True)]
+
+
+def _layers(spare: list[int], left: list[int], members: list[tuple[int, ...]], sent: list[dict]) -> tuple[list[int], list[int], list[list[int]], bool]:
+    """Distances of patterns and sources from the patterns with words to spare, and who sends to each source."""
+    senders: list[list[int]] = [[] for _ in left]
+    for p, flow in enumerate(sent):
+        for m, words in flow.items():
+            if words:
+                senders[m].append(p)
+    of_pattern, of_source = [0 if s else -1 for s in spare], [-1] * len(left)
+    now, reached, depth = [p for p, s in enumerate(spare) if s], False, 0
+    while now and not reached:
+        depth += 1
+        met = []
+        for p in now:
+            for m in members[p]:
+                if of_source[m] < 0:
+                    of_source[m] = depth
+                    met.append(m)
+                    reached |= left[m] > 0
+        depth += 1
+        now = []
+        for m in met if not reached else ():
+            for p in senders[m]:
+                if of_pattern[p] < 0:
+                    of_pattern[p] = depth
+                    now.append(p)
+    return of_pattern, of_source, senders, reached
+
+
+def _blocking_flow(spare: list[int], left: list[int], members: list[tuple[int, ...]], sent: list[dict]) -> bool:
+    """Sends words along shortest paths until none is open; whether there was one."""
+    of_pattern, of_source, senders, reached = _layers(spare, left, members, sent)
+    if not reached:
+        return False
+    next_m, next_p = [0] * len(spare), [0] * len(left)
+    for root in range(len(spare)):
+        path = [root]
+        while spare[root] and path:
+            node = path[-1]
+            if len(path) % 2:
+                own = members[node]
+                while next_m[node] < len(own) and of_source[own[next_m[node]]] != of_pattern[node] + 1:
+                    next_m[node] += 1
+                if next_m[node] < len(own):
+                    path.append(own[next_m[node]])
+                    continue
+            elif left[node]:
+                backs = list(zip(path[1::2], path[2::2], strict=False))
+                amount = min([spare[root], left[node], *(sent[p][m] for m, p in backs)])
+                for p, m in zip(path[::2], path[1::2], strict=True):
+                    sent[p][m] += amount
+                for m, p in backs:
+                    sent[p][m] -= amount
+                spare[root] -= amount
+                left[node] -= amount
+                path = [root]
                 continue
-            for e in graph[a]:
-                if cap[e] and (nd := d + cost[e] + high[a] - high[to[e]]) < best[to[e]]:
-                    best[to[e]], via[to[e]] = nd, e
-                    heapq.heappush(queue, (nd, to[e]))
-        if best[sink] == float("inf"):
-            break
-        high = [h + (b if b < float("inf") else 0) for h, b in zip(high, best, strict=True)]
-        node, amount = sink, None
-        while node != source:
-            amount = cap[via[node]] if amount is None else min(amount, cap[via[node]])
-            node = to[via[node] ^ 1]
-        node = sink
-        while node != source:
-            cap[via[node]] -= amount
-            cap[via[node] ^ 1] += amount
-            node = to[via[node] ^ 1]
-    return [[cap[e ^ 1] for e in own] for own in sent]
+            else:
+                own = senders[node]
+                while next_p[node] < len(own) and (of_pattern[own[next_p[node]]] != of_source[node] + 1 or not sent[own[next_p[node]]][node]):
+                    next_p[node] += 1
+                if next_p[node] < len(own):
+                    path.append(own[next_p[node]])
+                    continue
+            # A dead end: the node before goes on with its next neighbour.
+            path.pop()
+            if path:
+                (next_m if len(path) % 2 else next_p)[path[-1]] += 1
+    return True
 
 
 def _reached(docs: DataFrame, groups: list[str], upto: str) -> DataFrame:
@@ -113,39 +155,77 @@ def _reached(docs: DataFrame, groups: list[str], upto: str) -> DataFrame:
     return done[0].unionByName(done[1]).unionByName(done[2])
 
 
-def mix(docs: DataFrame, size: Column, sources: Column, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17, max_patterns: int = 20_000) -> DataFrame:
-    """One row per document: doc_id, members (its sources), size, taken. `sources` is an array of names."""
+def _route(homes: dict, quotas: dict, wide: list[tuple[list, int]], most: int) -> list[tuple[list, int, int]]:
+    """(sources, words to take, size) of each group: the sources' own documents, and those of the wide patterns.
+
+    homes: size of the documents that go with a source alone; wide: (sources, size)."""
+    sends, flows = {m: min(q, most * homes.get(m, 0)) for m, q in quotas.items()}, []
+    if wide:
+        met = sorted({m for p, _ in wide for m in p})
+        place = {m: i for i, m in enumerate(met)}
+        supply = [homes.get(m, 0) for m in met] + [size for _, size in wide]
+        ways = [(place[m],) for m in met] + [tuple(place[m] for m in p) for p, _ in wide]
+        sent = [sum(f) for f in min_cost_flow(supply, ways, [quotas[m] for m in met], most)]
+        sends |= dict(zip(met, sent[: len(met)], strict=True))
+        flows = sent[len(met) :]
+    return [([m], sends[m], homes[m]) for m in quotas if m in homes] + [(p, f, s) for (p, s), f in zip(wide, flows, strict=True)]
+
+
+def mix(
+    docs: DataFrame, size: Column, sources: Column, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17, max_patterns: int = 100_000
+) -> DataFrame:
+    """One row per document: doc_id, sources, size, taken, and its (first) source's source_size and target.
+    `sources` is an array of names."""
     spark = docs.sparkSession
     # Null names are written as a flag, so that they sort last by code point.
-    named = F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.struct(s.isNull().alias("last"), F.coalesce(s, F.lit("")).alias("name")))))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("size"), named.alias("members"))
-    base = stored(base.withColumn("hash", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))), "sizes")
-    patterns = base.groupBy("members").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
-    if len(patterns) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns; raise max_patterns or merge sources")
-    patterns.sort(key=lambda r: [tuple(m) for m in r.members])
-    names = sorted({tuple(m) for r in patterns for m in r.members}, key=lambda m: (m[0], m[1].encode("utf-8")))
-    own = [tuple(names.index(tuple(m)) for m in r.members) for r in patterns]
-    sizes = [sum(r.size for r, o in zip(patterns, own, strict=True) if i in o) for i in range(len(names))]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(names))], share * sum(r.size for r in patterns), most) if names else []
-    flow = min_cost_flow([r.size for r in patterns], own, [round(t) for t in targets], most)
-    kind = "pattern array<struct<last:boolean,name:string>>, words long, total long"
-    plan = spark.createDataFrame([(r.members, sum(f), r.size) for r, f in zip(patterns, flow, strict=True)], kind)
-    quota = spark.createDataFrame([(m[0], m[1], s, t) for m, s, t in zip(names, sizes, targets, strict=True)], "last boolean, name string, source_size long, target double")
-    # max_patterns rows at most.
-    docs2 = base.join(F.broadcast(plan), F.col("members") == F.col("pattern")).withColumn("full", F.when(F.col("total") > 0, F.floor(F.col("words") / F.col("total"))).otherwise(0).cast("long"))
-    docs2 = docs2.withColumn("upto", F.col("words") - F.col("full") * F.col("total")).withColumn("members", F.to_json("members")).select("doc_id", "members", "size", "hash", "full", "upto")
+    member = "struct<last:boolean,name:string>"
+    named = F.transform(sources, lambda s: F.struct(s.isNull().alias("last"), F.coalesce(s, F.lit("")).alias("name")))
+    named = F.coalesce(F.array_sort(F.array_distinct(named)), F.expr(f"cast(array() as array<{member}>)"))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    base = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("size"), named.alias("members"), F.md5(key).alias("hash")), "sizes")
+    patterns = stored(base.groupBy("members").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "patterns")
+    by_source = patterns.select(F.explode("members").alias("m"), "size").groupBy("m").agg(F.sum("size").alias("size"))
+    sizes = {tuple(r.m): r.size for r in by_source.collect()}
+    names = sorted(sizes, key=lambda m: (m[0], m[1].encode("utf-8")))
+    total, rows = patterns.agg(F.sum("size"), F.sum("n")).first()
+    of_name = [weights[i % len(weights)] for i in range(len(names))]
+    targets = water_fill([sizes[m] for m in names], of_name, share * (total or 0), most) if names else []
+    quota = spark.createDataFrame([(m, sizes[m], t) for m, t in zip(names, targets, strict=True)], f"first {member}, source_size long, target double")
+    with_quota = F.broadcast(quota) if len(names) <= BROADCAST_GROUPS else quota
+    # Each pattern's group: itself, where it is routed as a whole, or one of its sources.
+    wide = patterns.filter(F.size("members") > 1).orderBy(F.desc("size"), "members").limit(max_patterns)
+    wide = stored(wide.select("members", "size", F.lit(True).alias("wide")), "wide-patterns")
+    u = (F.pmod(F.xxhash64("members", "first"), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
+    odds = F.greatest(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)), F.lit(1e-9))
+    ways = patterns.select("members", "size", "n", F.explode("members").alias("first")).join(with_quota, "first")
+    drawn = ways.groupBy("members", "size", "n").agg(F.min_by("first", F.struct((-F.log(u) / odds).alias("t"), "first")).alias("home"))
+    drawn = drawn.join(wide.select("members", "wide"), "members", "left").withColumn("g", F.when(F.col("wide"), F.col("members")).otherwise(F.array("home")))
+    drawn = stored(drawn, "homes")
+    homes = {tuple(r.home): r.size for r in drawn.filter("wide is null").groupBy("home").agg(F.sum("size").alias("size")).collect()}
+    routed = [([tuple(m) for m in r.members], r.size) for r in wide.orderBy(F.desc("size"), "members").collect()]  # max_patterns rows at most
+    groups = _route(homes, {m: round(t) for m, t in zip(names, targets, strict=True)}, routed, most)
+    plan = spark.createDataFrame(groups, f"g array<{member}>, words long, total long")
+    full = F.when(F.col("total") > 0, F.floor(F.col("words") / F.col("total"))).otherwise(0).cast("long")
+    upto = F.col("words") - F.col("full") * F.col("total")
+    of_pattern = drawn.join(plan, "g").withColumn("full", full).select("members", "n", F.to_json("g").alias("g"), "full", upto.alias("upto"))
+    taking = join_hot(base, of_pattern, ["members"], "n", rows or 0).select("doc_id", "g", F.to_json("members").alias("members"), "size", "hash", "full", "upto")
     # Rows of one doc_id share a hash and so stay together or not in the order; doc_id breaks no other tie.
-    marked = stored(_reached(docs2, ["members"], "upto"), "chosen")
-    got = marked.groupBy("members").agg(F.coalesce(F.sum(F.when(F.col("below"), F.col("size"))), F.lit(0)).alias("got"), F.first("upto").alias("u"))
-    gap = marked.filter(~F.col("below") & (F.col("size") > 0)).join(F.broadcast(got), "members")
+    marked = stored(_reached(taking, ["g"], "upto"), "chosen")
+    small = F.broadcast if len(groups) <= BROADCAST_GROUPS else lambda df: df
+    below = F.sum(F.when(F.col("below"), F.col("size")))
+    got = marked.groupBy("g").agg(F.coalesce(below, F.lit(0)).alias("got"), F.first("upto").alias("u"))
+    gap = marked.filter(~F.col("below") & (F.col("size") > 0)).join(small(got), "g")
     # One more document: the one that leaves the least gap, if it leaves a smaller one than there is.
-    more = gap.groupBy("members").agg(F.min(F.struct(F.abs(F.col("u") - F.col("got") - F.col("size")).alias("off"), "hash", "doc_id")).alias("m"), F.first(F.col("u") - F.col("got")).alias("missing")).filter("m.off < missing").select("members", F.col("m.hash").alias("more_hash"), F.col("m.doc_id").alias("more_id"))
-    out = marked.join(F.broadcast(more), "members", "left")
+    off = F.struct(F.abs(F.col("u") - F.col("got") - F.col("size")).alias("off"), "hash", "doc_id")
+    more = gap.groupBy("g").agg(F.min(off).alias("m"), F.first(F.col("u") - F.col("got")).alias("missing")).filter("m.off < missing")
+    out = marked.join(small(more.select("g", F.col("m.hash").alias("more_hash"), F.col("m.doc_id").alias("more_id"))), "g", "left")
     extra = F.col("below") | (F.col("hash").eqNullSafe(F.col("more_hash")) & F.col("doc_id").eqNullSafe(F.col("more_id")))
-    taken = F.col("size") * (F.col("full") + F.when(extra, 1).otherwise(0))
-    out = out.select("doc_id", F.from_json("members", "array<struct<last:boolean,name:string>>").alias("members"), "size", taken.cast("long").alias("taken"))
-    return out.join(F.broadcast(quota), (F.get("members", F.lit(0))["last"] == F.col("last")) & (F.get("members", F.lit(0))["name"] == F.col("name")), "left").select("doc_id", F.transform("members", lambda m: F.when(~m["last"], m["name"])).alias("sources"), "size", "taken", "source_size", "target")
+    taken = (F.col("size") * (F.col("full") + F.when(extra, 1).otherwise(0))).cast("long")
+    out = out.select("doc_id", F.from_json("members", f"array<{member}>").alias("members"), "size", taken.alias("taken"))
+    without = base.filter(F.size("members") == 0).select("doc_id", "members", "size", F.lit(0).cast("long").alias("taken"))
+    out = out.unionByName(without).withColumn("first", F.get("members", F.lit(0))).join(with_quota, "first", "left")
+    listed = F.transform("members", lambda m: F.when(~m["last"], m["name"]))
+    return out.select("doc_id", listed.alias("sources"), "size", "taken", "source_size", "target")
 
 
 def words_in(text: str = "text") -> Column:
@@ -158,15 +238,37 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS w FROM d GROUP BY source),
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    [5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS w
+  FROM d GROUP BY source),
+-- Targets: sources fill up in the order of size to weight, until a level is reached that holds for all others.
 o AS (SELECT *, row_number() OVER (ORDER BY 2.0 * source_size / w, source IS NULL, source) AS k FROM s),
-l AS (SELECT *, 1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rw FROM o),
+l AS (
+  SELECT *,
+    1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rw
+  FROM o),
 v AS (SELECT min(k) FILTER (2.0 * source_size / w > CAST(rest AS DOUBLE) / rw) AS k0 FROM l),
-t AS (SELECT l.source, l.source_size, CASE WHEN k0 IS NULL OR l.k < k0 THEN CAST(2 * l.source_size AS DOUBLE) ELSE l.w * (SELECT CAST(rest AS DOUBLE) / rw FROM l WHERE k = k0) END AS target FROM l, v),
-q AS (SELECT *, CAST(round_even(target, 0) AS BIGINT) AS words, CASE WHEN source_size > 0 THEN CAST(round_even(target, 0) AS BIGINT) // source_size ELSE 0 END AS f FROM t),
-r AS (SELECT d.*, source_size, target, f, words - f * source_size AS u, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id) AS run FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+t AS (
+  SELECT l.source, l.source_size,
+    CASE WHEN k0 IS NULL OR l.k < k0 THEN CAST(2 * l.source_size AS DOUBLE) ELSE l.w * (SELECT CAST(rest AS DOUBLE) / rw FROM l WHERE k = k0) END AS target
+  FROM l, v),
+q AS (
+  SELECT *, CAST(round_even(target, 0) AS BIGINT) AS words,
+    CASE WHEN source_size > 0 THEN CAST(round_even(target, 0) AS BIGINT) // source_size ELSE 0 END AS f
+  FROM t),
+-- Documents in seeded order, up to the words that full repetitions leave; then the one that fits the gap best.
+r AS (
+  SELECT d.*, source_size, target, f, words - f * source_size AS u, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id) AS run
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
 g AS (SELECT *, run <= u AS below, u - coalesce(sum(size) FILTER (run <= u) OVER (PARTITION BY source), 0) AS missing FROM r),
 m AS (SELECT *, row_number() OVER (PARTITION BY source, below OR size = 0 ORDER BY abs(missing - size), h, doc_id) AS rn FROM g)
-SELECT doc_id, size, source_size, target, CAST(size * (f + CASE WHEN below OR (rn = 1 AND size > 0 AND abs(missing - size) < missing) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM m
+SELECT doc_id, size, source_size, target,
+  CAST(size * (f + CASE WHEN below OR (rn = 1 AND size > 0 AND abs(missing - size) < missing) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM m
 """
