@@ -3,13 +3,16 @@
 import hashlib
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from talkloom.llm import components, decontaminate, line_dedup, mixing, near_duplicates, neighbours
+from talkloom.llm import words as W
 from tests.llm.helpers import docs, empty, messy, sentences
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -57,6 +60,27 @@ def test_near_duplicates_equal_all_pairs(spark, k, monkeypatch):
     assert got == want and 3 < len({c for _, c in want.values()}) < len(want)
 
 
+def test_a_bucket_of_unlike_and_very_long_members(spark, monkeypatch):
+    """600 texts that share half of their words, three texts of 200,000 words, and few links."""
+    sizes, stored = {}, near_duplicates.stored
+
+    def seen(df, name):
+        out = stored(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_duplicates, "stored", seen)
+    common = sentences(7, 300).split()
+    rows = [(i, " ".join(common + sentences(5000 + i, 280).split()), None, None) for i in range(600)]
+    long_text = sentences(8, 200_000)
+    rows += [(10_000, long_text, None, None), (10_001, long_text + " more", None, None), (10_002, " ".join(common) + " " + long_text, None, None)]
+    rows += [(20_000 + i, rows[i][1] + " tail" * i, None, None) for i in range(3)]
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs(spark, rows)).collect()}
+    linked = {i: c for i, c in got.items() if i != c}
+    assert linked == {10_001: 10_000, 10_002: 10_000, 20_000: 0, 20_001: 1, 20_002: 2}
+    assert sizes["left-pairs"] <= len(rows) and sizes["candidates"] <= 32 * len(rows)
+
+
 def test_near_duplicate_edges(spark):
     got = near_duplicates.near_duplicates(messy(spark)).collect()
     by = {}
@@ -117,6 +141,31 @@ def test_decontamination_equals_all_windows(spark):
         assert sum(s.end - s.start for s in got[i].spans) == hit
 
 
+@pytest.mark.parametrize("window,gram", [(6, 6), (7, 3), (4, 1)])
+def test_decontamination_at_other_window_sizes(spark, window, gram):
+    rng, pool = random.Random(window), "a b c d e f g h".split()
+    items = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(1, 30)))) for i in range(12)]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(0, 80))) for _ in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)]), bench, window=window, gram=gram).collect()}
+    for i, (n, hit, ids) in enumerate(brute_hits(texts, items, window)):
+        assert (got[i].n_words, got[i].n_hit, list(got[i].item_ids)) == (n, hit, sorted(ids))
+
+
+def test_rows_of_one_item_count_once(spark):
+    one, two = sentences(31, 20), sentences(32, 20)
+    bench = spark.createDataFrame([("q", one), ("q", two), ("p", one), (None, two), (None, one)], "item_id string, text string")
+    got = decontaminate.decontaminate(docs(spark, [(1, one + " " + two, None, None), (2, two, None, None)]), bench).orderBy("doc_id").collect()
+    assert [(r.n_items, list(r.item_ids)) for r in got] == [(3, ["p", "q"]), (2, ["q"])]
+
+
+def test_windows_are_found_by_their_fingerprints_alone(monkeypatch):
+    piece = next(W.slices(pa.array([sentences(33, 30)])))
+    assert 5 < len(decontaminate._prints(W.words(piece, W.ALNUM), 10, 5, [], 1)[0]) < 21
+    monkeypatch.setattr(W, "minima", lambda values, width: np.zeros(0, dtype=np.int64))
+    assert len(decontaminate._prints(W.words(piece, W.ALNUM), 10, 5, [], 1)[0]) == 0
+
+
 def test_every_long_shared_span_shares_a_fingerprint():
     rng = np.random.default_rng(0)
     g = rng.integers(0, 50, 400).astype(np.uint64)
@@ -196,6 +245,64 @@ def test_flow_meets_quotas_of_overlapping_sources_at_least_cost():
     assert sum(max(0, u - c) for u, c in zip(used, [100, 50, 80])) == 20 and all(u <= 2 * c for u, c in zip(used, [100, 50, 80]))
 
 
+def plain_least_cost(supply, members, quotas, repeats):
+    """Largest flow at least cost, a word at a time along cheapest paths (Bellman-Ford)."""
+    sent, used, left = [[0] * len(m) for m in members], [0] * len(supply), list(quotas)
+    while True:
+        cost, via = {("p", p): used[p] // s + 1 for p, s in enumerate(supply) if used[p] < repeats * s}, {}
+        for _ in range(2 * (len(supply) + len(quotas))):
+            for p, own in enumerate(members):
+                for k, m in enumerate(own):
+                    if cost.get(("p", p), 99) < cost.get(("m", m), 99):
+                        cost["m", m], via["m", m] = cost["p", p], (p, k)
+                    if sent[p][k] and cost.get(("m", m), 99) < cost.get(("p", p), 99):
+                        cost["p", p], via["p", p] = cost["m", m], (m, k)
+        ends = [(cost["m", m], m) for m in range(len(quotas)) if left[m] and ("m", m) in cost]
+        if not ends:
+            return sent
+        m = min(ends)[1]
+        left[m] -= 1
+        while True:
+            p, k = via["m", m]
+            sent[p][k] += 1
+            if ("p", p) not in via:
+                used[p] += 1
+                break
+            m, k = via["p", p]
+            sent[p][k] -= 1
+
+
+def test_flow_costs_no_more_than_cheapest_paths():
+    rng = random.Random(3)
+    for _ in range(40):
+        n_s, n_p = rng.randrange(1, 5), rng.randrange(1, 7)
+        members = [tuple(sorted(rng.sample(range(n_s), rng.randrange(1, n_s + 1)))) for _ in range(n_p)]
+        supply, quotas = [rng.randrange(1, 9) for _ in range(n_p)], [rng.randrange(0, 20) for _ in range(n_s)]
+        flows = [f(supply, members, quotas, 2) for f in (mixing.min_cost_flow, plain_least_cost)]
+        used = [[sum(x) for x in f] for f in flows]
+        cost = [sum(max(0, u - c) for u, c in zip(x, supply)) for x in used]
+        assert sum(used[0]) == sum(used[1]) and cost[0] == cost[1] and all(0 <= u <= 2 * c for u, c in zip(used[0], supply))
+        into = [sum(f for x, own in zip(flows[0], members) for f, k in zip(x, own) if k == m) for m in range(n_s)]
+        assert all(i <= q for i, q in zip(into, quotas)) and all(f >= 0 for x in flows[0] for f in x)
+
+
+def test_flow_of_many_patterns_is_quick():
+    rng, began = random.Random(6), time.time()
+    members = [tuple(sorted(rng.sample(range(60), 3))) for _ in range(20_000)]
+    supply = [rng.randrange(1, 2000) for _ in members]
+    sent = mixing.min_cost_flow(supply, members, [sum(supply) // 50] * 60, 2)
+    assert sum(map(sum, sent)) == sum(supply) // 50 * 60 and time.time() - began < 30
+
+
+def test_mix_takes_any_number_of_patterns(spark):
+    """50,000 patterns of two of 400 sources, most of them beyond the flow."""
+    pair = F.array(F.concat(F.lit("s"), F.col("id") % 400), F.concat(F.lit("s"), (F.col("id") * 7 + F.floor(F.col("id") / 400)) % 400))
+    d = spark.range(50_000).select(F.col("id").alias("doc_id"), pair.alias("both"), (F.col("id") % 13 + 5).alias("size"))
+    for limit, near in ((100_000, 0.01), (500, 0.1)):
+        got = mixing.mix(d, F.col("size"), F.col("both"), max_patterns=limit).agg(F.count("*"), F.sum("taken"), F.sum("size"), F.max(F.col("taken") / F.col("size"))).first()
+        assert got[0] == 50_000 and abs(got[1] - 1.5 * got[2]) < near * got[2] and got[3] <= 2
+
+
 def test_targets_are_capped_and_shared_again():
     assert mixing.water_fill([10, 100, 100], [5, 2, 1], 315, 2) == [20.0, 2 * (295 / 3), 295 / 3]
     assert mixing.water_fill([], [], 0, 2) == [] and mixing.water_fill([0, 4], [1, 1], 6, 2) == [0.0, 6.0]
@@ -217,8 +324,8 @@ def test_mix_takes_overlapping_documents_near_the_targets(spark):
 def test_mix_edges(spark):
     got = mixing.mix(messy(spark), mixing.words_in(), F.array("source")).collect()
     assert len(got) == 11 and all(r.taken <= 2 * r.size for r in got) and mixing.mix(empty(spark), mixing.words_in(), F.array("source")).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix(messy(spark), mixing.words_in(), F.array("source"), max_patterns=1)
+    none = mixing.mix(messy(spark), mixing.words_in(), F.when(F.col("doc_id") == 1, F.array("source")).when(F.col("doc_id") == 2, F.array())).collect()
+    assert len(none) == 11 and {r.doc_id for r in none if r.taken} <= {1}
 
 
 def test_neighbours_reach_the_recall_and_are_exact_on_small_tables(spark):
@@ -281,6 +388,26 @@ def test_pipeline_stages_take_messy_and_empty_tables(spark):
         for _, stage in pipe.STAGES[:-1]:
             now = pipe.stored(stage(spark, now, "/root/testdata/sf0.001"), "test")
             assert now.columns == table.columns
+        last = pipe.write_token_files(spark, now, "/root/testdata/sf0.001")
+        assert last.count() == now.count() and last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_pipeline_run_leaves_its_result_alone(spark, tmp_path):
+    import corpus_pipeline as pipe
+    from talkloom.llm import shared
+
+    before = list(shared._WRITTEN)
+    sf = str(tmp_path)
+    messy(spark).write.parquet(f"{sf}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{sf}/benchmark.parquet")
+    got = pipe.run(spark, sf)
+    assert got.count() > 0 and got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and before == shared._WRITTEN
+
+
+def test_languages_are_rejected_under_nearly_even_shares():
+    import corpus_pipeline as pipe
+
+    assert pipe.least_share(1) == 1 and round(pipe.least_share(4), 9) == 0.3 and pipe.least_share(0) == 1 and 0.01 < pipe.least_share(100) < 0.08
 
 
 def test_pipeline_drops_contaminated_documents_without_an_id(spark):

@@ -74,6 +74,83 @@ def test_language_learns_every_label(spark):
     assert len(crf.labels) == 70 and {r.doc_id: r.lang_pred for r in language.identify(new, crf).collect()} == {k: f"l{k:02d}" for k in range(70)}
 
 
+def test_training_rows_are_bounded_in_rows_and_bytes(spark):
+    from talkloom.llm.shared import sample
+
+    rows = [(1, "often repeated", "en", "s")] * 3000 + [(2, f"row {i} of one id", "en", "s") for i in range(500)]
+    rows += [(100 + i, "x" * (1000 + i), "fr", "s") for i in range(50)] + [(900, "y" * 50_000, "de", "s"), (901, "z" * 40_000, "de", "s")]
+    d = docs(spark, rows).select(F.col("doc_id").alias("i"), "text", F.col("lang").alias("l"))
+    got = sample(d, "l", 250, 20_000).collect()
+    by = {k: [r for r in got if r.l == k] for k in ("en", "fr", "de")}
+    assert sorted(r.i for r in by["en"]) == [1, 2] and [r.i for r in by["de"]] == [901]
+    assert 15 < len(by["fr"]) < 20 and sum(len(r.text) for r in by["fr"]) <= 20_000
+    assert len(sample(d, "l", 3, 1 << 30).collect()) == 2 + 3 + 2
+    labels = spark.createDataFrame([(1, 1), (2, 0), (105, 0)], "i long, y int")
+    assert sorted((r.i, r.y) for r in sample(d.drop("l"), "y", 2, 1 << 30, labels).collect()) == [(1, 1), (2, 0), (105, 0)]
+    assert language.train(docs(spark, rows)).labels == ["de", "en", "fr"]
+
+
+def test_cnn_logits_equal_a_plain_convolution():
+    rng = np.random.default_rng(4)
+    n = len(toxicity.WIDTHS) * toxicity.FILTERS
+    table = rng.normal(size=((1 << toxicity.BITS) + 1, toxicity.SIZE)).astype(np.float32)
+    table[-1] = 0
+    filters = [rng.normal(size=(w, toxicity.SIZE, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    m = toxicity.Cnn(table, filters, rng.normal(size=n).astype(np.float32), rng.normal(size=n), 0.3, 1.0, 0.0, {})
+    texts = ["one", None, "some more words, and Words again", "", "é ß two words", sentences(3, 200)]
+    piece = next(W.slices(pa.array(texts)))
+    ids, of = toxicity.word_ids(piece)
+    got = toxicity.logits(m, ids, of)
+    for i in range(len(texts)):
+        x = [sum(table[k].astype(float) for k in row) for row in ids[of[i] : of[i + 1]]]
+        x += [np.zeros(toxicity.SIZE)] * (max(toxicity.WIDTHS) - 1)
+        pooled = np.zeros(n)
+        for k, (w, f) in enumerate(zip(toxicity.WIDTHS, filters)):
+            for c in range(toxicity.FILTERS):
+                made = [sum(float(x[p + j] @ f[j, :, c]) for j in range(w)) + float(m.bias[k * toxicity.FILTERS + c]) for p in range(of[i + 1] - of[i])]
+                pooled[k * toxicity.FILTERS + c] = max([0.0, *made])
+        assert abs(got[i] - (pooled @ m.out + 0.3)) < 1e-3
+
+
+def test_crf_features_and_predictions_equal_a_plain_version(spark):
+    rows = [(i, sentences(i, 60, EN if i % 2 else FR), "en" if i % 2 else "fr", "s") for i in range(20)]
+    crf = language.train(docs(spark, rows))
+    texts = [sentences(50, 25, EN) + " le la " + sentences(51, 10, FR), "the", "x", "unseen wörds nowhere"]
+
+    def plain_emissions(text):
+        out = []
+        for word in text.split():
+            b = word.encode()
+            h = W.FIRST.spans(np.frombuffer(b, dtype=np.uint8), np.array([0]), np.array([len(b)]))[0]
+            keys = [int(h)]
+            grams = lambda k: [int.from_bytes(b[i : i + k], "big") for i in range(len(b) - k + 1)]  # noqa: B023, E731
+            pairs, triples = grams(2), grams(3)
+            for kind, values in ((1, pairs), (2, triples), (3, pairs[:1]), (4, triples[:1]), (5, pairs[-1:]), (6, triples[-1:]), (7, grams(1) if len(b) == 1 else [])):
+                keys += [int(W.mix(np.array([v | kind << 40], dtype=np.uint64))[0]) for v in values]
+            score = sum(crf.weights[k >> (64 - language.BITS)].astype(float) for k in keys)
+            at = np.flatnonzero(crf.lexicon == h)
+            out.append(score + (crf.weights[(1 << language.BITS) + crf.of_lexicon[at[0]]] if len(at) else 0))
+        return np.array(out)
+
+    got = {r.doc_id: r for r in language.identify(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)]), crf).collect()}
+    for i, text in enumerate(texts):
+        share = brute_posteriors(plain_emissions(text), crf.moves, crf.first).mean(axis=0)
+        assert got[i].lang_pred == crf.labels[share.argmax()] and abs(got[i].score - share.max()) < 1e-3
+
+
+def test_rounds_of_grammar_go_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(8)
+    phrase = rng.integers(0, 500, 64)
+    ids = np.concatenate([x for _ in range(60) for x in (phrase[: rng.integers(2, 64)], rng.integers(0, 500, 5))] + [np.full(400, 7)]).astype(np.uint32)
+    ends = np.sort(np.append(rng.choice(np.arange(1, len(ids)), 30, replace=False), len(ids)))
+    symbols, stops, rules, sizes = grammar.compress(ids, ends, 500)
+    assert (grammar.expand(symbols, 500, rules) == ids).all() and sizes.sum() > 0
+    last = np.zeros(len(symbols), dtype=bool)
+    last[stops - 1] = True
+    left = [tuple(x) for x, end in zip(zip(symbols[:-1].tolist(), symbols[1:].tolist()), last[:-1]) if not end]
+    assert max(left.count(x) for x in set(left)) < grammar.MIN_COUNT + 3
+
+
 def test_language_edges(spark):
     crf = language.train(messy(spark))
     got = [(r.doc_id, r.lang_pred, r.score) for r in language.identify(messy(spark), crf).collect()]
