@@ -5,7 +5,9 @@ again as the next one's docs. All but the last return the columns of documents.
 
 Defined results: rows without a letter go in the first stage, so null and empty texts do; rows that share a
 doc_id are one document and stay or go together; rows without one are told apart by their text where benchmark
-text is looked for, and near copies among them all stay; an empty table passes through every stage.
+text is looked for, and near copies among them all stay; in the mix, rows of one doc_id are all taken as often as
+the one taken most; null labels teach nothing, and without any label every row goes; the null source is a source; an
+empty table passes through every stage; columns of the table's own are carried whatever their names.
 """
 
 from __future__ import annotations
@@ -15,16 +17,20 @@ from pyspark.sql import functions as F
 
 from talkloom.llm import decontaminate as benchmark
 from talkloom.llm import grammar, language, mixing, near_duplicates
-from talkloom.llm.shared import new_path, stored
+from talkloom.llm.shared import delete, new_path, scratch, stored
 
-#: Texts whose likeliest language has a smaller share of their words than this are rejected.
-MIN_LANGUAGE_SHARE = 0.3
+
+def least_share(n_labels: int) -> float:
+    """Texts whose likeliest language has a smaller share of their words are rejected: nearly even shares, a
+    fifteenth of the way from those to certainty (0.3 for four languages)."""
+    return 1 / n_labels + (1 - 1 / n_labels) / 15 if n_labels else 1.0
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the field knows; those without letters or of no clear language go."""
-    found = language.identify(docs, language.train(docs), carry=True)
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE))
+    crf = language.train(docs)
+    found = language.identify(docs, crf, carry=True)
+    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_share(len(crf.labels))))
     return kept.select("row.*")
 
 
@@ -71,7 +77,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over the documents. Only the last stage's result and the token files stay in the shared folder."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if last:
+            delete(spark, last)
+        last = path
     return docs
