@@ -54,18 +54,26 @@ def interpolate_words(rows: DataFrame, least_ms: int = 250) -> DataFrame:
 
 
 def spread_micro_runs(rows: DataFrame, tiny_ms: int = 50, least_ms: int = 120, run_of: int = 3) -> DataFrame:
-    """Runs of three or more words under tiny_ms are spread up to the next word's start (the turn's end for the
-    last run), least_ms a word at the least."""
+    """Runs of three or more words under tiny_ms are spread up to the next word's start, least_ms a word at the least.
+    A run at a turn's end has 80 % of the way to the first word of the next turn, if that starts later than the run,
+    else the time to the turn's end."""
     tiny = F.col("end_ms") - F.col("start_ms") < tiny_ms
     order = _turn()
-    rows = islands(rows.withColumn("tiny", tiny), TURN, ["pos"], tiny != F.coalesce(F.lag(tiny).over(order), ~tiny), "run")
-    after = F.coalesce(F.first(F.when(~F.col("tiny"), F.col("start_ms")), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)), F.col("turn_end"))
+    firsts = rows.groupBy(*TURN).agg(F.min_by("start_ms", "pos").alias("first"))
+    following = firsts.select(*TURN, F.lead("first").over(Window.partitionBy("video_id").orderBy("turn_no")).alias("next_turn"))
+    rows = islands(rows.withColumn("tiny", tiny), TURN, ["pos"], tiny != F.coalesce(F.lag(tiny).over(order), ~tiny), "run").join(following, TURN)
     run = Window.partitionBy(*TURN, "run")
-    n, a, k = F.count("*").over(run), F.min("start_ms").over(run), F.row_number().over(run.orderBy("pos")) - 1
-    rows = rows.withColumn("after", after).withColumn("n", n).withColumn("a", a).withColumn("k", k)
-    each = F.greatest(F.lit(least_ms), F.floor((F.col("after") - F.col("a")) / F.col("n")))
+    after = F.first(F.when(~F.col("tiny"), F.col("start_ms")), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    n, k = F.count("*").over(run), F.row_number().over(run.orderBy("pos")) - 1
+    rows = rows.withColumns({"after": after, "n": n, "a": F.min("start_ms").over(run), "k": k})
+    gap = F.col("next_turn") - F.col("a")
+    at_end = F.when(gap > 0, F.col("a") + F.floor(gap * 4 / 5)).otherwise(F.col("turn_end"))
+    each = F.greatest(F.lit(least_ms), F.floor((F.coalesce("after", at_end) - F.col("a")) / F.col("n")))
     hit = F.col("tiny") & (F.col("n") >= run_of)
-    return rows.withColumn("start_ms", F.when(hit, F.col("a") + F.col("k") * each).otherwise(F.col("start_ms"))).withColumn("end_ms", F.when(hit, F.col("a") + (F.col("k") + 1) * each).otherwise(F.col("end_ms"))).drop("tiny", "run", "after", "n", "a", "k")
+    start = F.when(hit, F.col("a") + F.col("k") * each).otherwise(F.col("start_ms"))
+    end = F.when(hit, F.col("a") + (F.col("k") + 1) * each).otherwise(F.col("end_ms"))
+    made = rows.withColumn("_s", start).withColumn("_e", end).withColumn("start_ms", F.col("_s")).withColumn("end_ms", F.col("_e"))
+    return made.drop("tiny", "run", "next_turn", "after", "n", "a", "k", "_s", "_e")
 
 
 def cap_long_words(rows: DataFrame) -> DataFrame:
@@ -101,12 +109,48 @@ def proportional_timing(turns: DataFrame) -> DataFrame:
     return w.select("video_id", "turn_no", "k", "word", at(run - F.col("c")).alias("start_ms"), at(run).alias("end_ms"))
 
 
+def proportional_lines(lines: DataFrame) -> DataFrame:
+    """Lines of turns (line_no, text, turn_start, turn_end) over the turn's time in proportion to their words, a word at
+    the least. Whole milliseconds, rounded down."""
+    rows = lines.withColumn("c", F.greatest(F.lit(1), F.size(words(strip_tags(F.col("text"))))))
+    run, all_ = F.sum("c").over(_turn("line_no")), F.sum("c").over(Window.partitionBy(*TURN))
+    at = lambda c: F.col("turn_start") + F.floor((F.col("turn_end") - F.col("turn_start")) * c / all_)
+    return rows.withColumn("start_ms", at(run - F.col("c"))).withColumn("end_ms", at(run)).drop("c")
+
+
+def proportional_turns(turns: DataFrame) -> DataFrame:
+    """Turns over a recording's audio (duration_ms) in proportion to the characters of their text without tags, one at
+    the least: tts_start, tts_end. Whole milliseconds, rounded down."""
+    w = Window.partitionBy("video_id")
+    rows = turns.withColumn("c", F.greatest(F.lit(1), F.char_length(F.trim(strip_tags(F.coalesce("text", F.lit("")))))))
+    run, all_ = F.sum("c").over(w.orderBy("turn_no")), F.sum("c").over(w)
+    at = lambda c: F.floor(F.col("duration_ms") * c / all_)
+    return rows.withColumn("tts_start", at(run - F.col("c"))).withColumn("tts_end", at(run)).drop("c")
+
+
 def tempo_plan(current_ms: Column, target_ms: Column) -> Column:
     """Tempo that fits audio into its slot: none within 2 %, else cut to 0.9..1.25; null without times."""
     t = current_ms / target_ms
     return F.when((current_ms > 0) & (target_ms > 0), F.round(F.when((t >= 0.98) & (t <= 1.02), 1.0).otherwise(F.greatest(F.lit(0.9), F.least(F.lit(1.25), t))), 6))
 
 
+def tempo_chain(tempo: Column) -> Column:
+    """A tempo as factors within 0.5 to 2 that are applied one after another; none for no change."""
+    fast = F.greatest(F.lit(0), F.ceil(F.log2(tempo)) - 1).cast("int")
+    slow = F.greatest(F.lit(0), F.ceil(-F.log2(tempo)) - 1).cast("int")
+    chain = lambda factor, n: F.concat(F.array_repeat(F.lit(factor), n), F.array(F.round(tempo / F.pow(F.lit(factor), n), 6)))
+    return F.when((tempo == 1) | tempo.isNull(), F.array().cast("array<double>")).when(tempo > 1, chain(2.0, fast)).otherwise(chain(0.5, slow))
+
+
+def fit_audio(clips: DataFrame, least_ms: int = 200) -> DataFrame:
+    """Audio of clips (audio_ms) against the original (original_ms): adds tempo (1 where they differ by least_ms or
+    less), its factors, fitted_ms after it, and padded_ms, the longer of that and the original."""
+    off = F.abs(F.col("audio_ms") - F.col("original_ms")) > least_ms
+    rows = clips.withColumn("tempo", F.when(off, F.coalesce(tempo_plan(F.col("audio_ms"), F.col("original_ms")), F.lit(1.0))).otherwise(1.0))
+    rows = rows.withColumn("factors", tempo_chain(F.col("tempo"))).withColumn("fitted_ms", F.bround(F.col("audio_ms") / F.col("tempo"), 0).cast("long"))
+    return rows.withColumn("padded_ms", F.greatest("fitted_ms", "original_ms"))
+
+
 def scale_offsets(rows: DataFrame, scale: Column, columns: list[str]) -> DataFrame:
     """Offsets times a factor, to whole milliseconds; factors within 0.001 of one change nothing."""
     live = F.abs(scale - 1.0) >= 0.001
@@ -121,6 +165,13 @@ def clip_turns(timing: DataFrame, slack_ms: int = 120) -> DataFrame:
     return timing.withColumn("audio_ms", F.when(several & (F.col("audio_ms") > slot + slack_ms), slot + slack_ms).otherwise(F.col("audio_ms")))
 
 
+def clip_turn_words(words_: DataFrame, clipped: DataFrame) -> DataFrame:
+    """Words after clip_turns(): none starts or ends after its turn's audio (from the turn's start_ms on)."""
+    ends = clipped.select(*TURN, (F.col("start_ms") + F.col("audio_ms")).alias("stop"))
+    rows = words_.join(ends, TURN)
+    return rows.withColumn("start_ms", F.least("start_ms", "stop")).withColumn("end_ms", F.least("end_ms", "stop")).drop("stop")
+
+
 def linear_timeline(turns: DataFrame, pause_ms: int = 250) -> DataFrame:
     """Turns one after another: each starts after the audio and pauses before it."""
     w = Window.partitionBy("video_id").orderBy("turn_no")
@@ -128,6 +179,22 @@ def linear_timeline(turns: DataFrame, pause_ms: int = 250) -> DataFrame:
     return turns.withColumn("tts_start", start).withColumn("tts_end", F.col("tts_start") + F.col("audio_ms"))
 
 
+def chunk_words(words_: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Words timed within their chunk (turn_no, chunk_no) to times within their turn: later by the audio and the pauses
+    of the chunks before (chunks: turn_no, chunk_no, audio_ms, pause_ms)."""
+    before = F.sum(F.col("audio_ms") + F.col("pause_ms")).over(_turn("chunk_no").rowsBetween(Window.unboundedPreceding, -1))
+    return _later(words_, chunks.select(*TURN, "chunk_no", F.coalesce(before, F.lit(0)).alias("by")), [*TURN, "chunk_no"])
+
+
+def timeline_words(words_: DataFrame, timeline: DataFrame) -> DataFrame:
+    """Words timed within their turn to times within the recording, after linear_timeline()."""
+    return _later(words_, timeline.select(*TURN, F.col("tts_start").alias("by")), TURN)
+
+
+def _later(words_: DataFrame, by: DataFrame, keys: list[str]) -> DataFrame:
+    return words_.join(by, keys).withColumn("start_ms", F.col("start_ms") + F.col("by")).withColumn("end_ms", F.col("end_ms") + F.col("by")).drop("by")
+
+
 def tail_trim(clips: DataFrame, keep_ms: int = 1500, gain_ms: int = 500) -> DataFrame:
     """Audio up to keep_ms after the last word, where that saves more than gain_ms."""
     to = F.col("last_word_ms") + keep_ms
@@ -145,16 +212,20 @@ def translation_fit(turns: DataFrame) -> DataFrame:
 
 def speaking_plan(chunks: DataFrame) -> DataFrame:
     """Chunk times of turns (n_words, turn_ms): pauses by length (none after the last), together at most a quarter
-    of the turn; the rest in proportion to words, 120 ms at least."""
+    of the turn; the rest in proportion to words, 120 ms at least, but the last chunk takes what the others left."""
     w = Window.partitionBy(*TURN)
     n = F.col("n_words")
     pause = F.when(n >= 18, 180).when(n >= 12, 140).when(n >= 7, 100).when(n >= 4, 70).otherwise(50)
     last = F.lead("chunk_no").over(w.orderBy("chunk_no")).isNull()
-    rows = chunks.withColumn("pause_ms", F.when(last, 0).otherwise(pause))
+    rows = chunks.withColumn("last", last).withColumn("pause_ms", F.when(F.col("last"), 0).otherwise(pause))
     budget, all_ = F.floor(F.col("turn_ms") / 4), F.sum("pause_ms").over(w)
     rows = rows.withColumn("pause_ms", F.when(all_ > budget, F.floor(F.col("pause_ms") * budget / all_)).otherwise(F.col("pause_ms")))
     speech = F.col("turn_ms") - F.sum("pause_ms").over(w)
-    return rows.withColumn("speech_ms", F.greatest(F.lit(120), F.floor(speech * n / F.sum("n_words").over(w))))
+    rows = rows.withColumn("speech", speech).withColumn("speech_ms", F.greatest(F.lit(120), F.floor(F.col("speech") * n / F.sum("n_words").over(w))))
+    before = F.coalesce(F.sum("speech_ms").over(w.orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("before", before)
+    left = F.greatest(F.lit(120), F.col("speech") - F.col("before"))
+    return rows.withColumn("speech_ms", F.when(F.col("last"), left).otherwise(F.col("speech_ms"))).drop("last", "speech", "before")
 
 
 def rescale_words(rows: DataFrame) -> DataFrame:
