@@ -1,30 +1,86 @@
-"""A user's batch function over rows, with the failures of a remote model in mind."""
+"""A user's batch function over rows, with the failures of a remote model in mind, and scores of candidates."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from talkloom.functions.text import norm_word, words
+from talkloom.operators.ranking import CRITERIA, highlight_score, parse_scores, tier
 
-def infer(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int = 12, tasks: int | None = None) -> DataFrame:
-    """fn over batches of `rows` rows; it gets and gives a pandas frame and may fail. A failing batch is halved down
-    to single rows; a single row that fails gives no row, so that a left join with the input shows what is missing.
-    `tasks` is the number of calls at a time."""
+KEYS = ["video_id", "cand_no"]
 
-    def attempt(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+
+def infer(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int = 12, tasks: int | None = None, errors: tuple[type[Exception], ...] = (TimeoutError, ConnectionError), text: str | None = None, chars: int = 4000) -> DataFrame:
+    """fn over batches of `rows` rows and, where `text` names a column, of `chars` characters of it at most (a row at
+    least); it gets and gives a pandas frame. A batch that fails by one of `errors` is halved down to single rows,
+    which are tried once more; a row that fails again gives no row, so that missing_ids() names it. Other exceptions
+    end the job. `tasks` is the number of calls at a time."""
+
+    def attempt(batch: pd.DataFrame, again: bool = True) -> Iterator[pd.DataFrame]:
         try:
             yield fn(batch)
-        except Exception:
+        except errors:
             if len(batch) > 1:
                 half = len(batch) // 2
                 yield from attempt(batch.iloc[:half].reset_index(drop=True))
                 yield from attempt(batch.iloc[half:].reset_index(drop=True))
+            elif again:
+                yield from attempt(batch, False)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for lo in range(0, len(frame), rows):
-                yield from attempt(frame.iloc[lo : lo + rows].reset_index(drop=True))
+            lo = 0
+            sizes = frame[text].fillna("").str.len().tolist() if text else [0] * len(frame)
+            while lo < len(frame):
+                hi, total = lo + 1, sizes[lo]
+                while hi < len(frame) and hi - lo < rows and total + sizes[hi] <= chars:
+                    total += sizes[hi]
+                    hi += 1
+                yield from attempt(frame.iloc[lo:hi].reset_index(drop=True))
+                lo = hi
 
     return (df.repartition(tasks) if tasks else df).mapInPandas(run, schema)
+
+
+def lexical_scores(text: Column) -> dict[str, Column]:
+    """Criteria from the look of a text alone: a stand-in where no model is at hand, with no claim to be like one."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    n = F.size(words(t))
+    share = lambda c, of: F.least(F.lit(1.0), c / F.greatest(F.lit(1), of))
+    marks = lambda p: F.regexp_count(t, F.lit(p))
+    count = lambda *listed: F.size(F.filter(words(t), lambda w: norm_word(w).isin(*listed)))
+    return {
+        "completeness_arc": F.when(t.rlike("[.!?]$"), 0.5).otherwise(0.0) + 0.5 * share(n, F.lit(60)),
+        "surprise_novelty": share(marks("!") * 10, n),
+        "hook_quality": share(marks(r"\?") * 10, n),
+        "personal_connection": share(count("i", "you", "we", "my", "your", "our") * 5, n),
+        "specificity_score": share(marks("[0-9]+") * 5, n),
+        "actionability_score": share(count("do", "make", "try", "use", "start", "stop") * 10, n),
+        "clarity_simplicity": 1.0 - share(F.greatest(F.lit(0), F.char_length(t) - 6 * n), F.lit(600)),
+    }
+
+
+def score_candidates(cands: DataFrame, scorer: Callable[[Column], dict[str, Column]] = lexical_scores) -> DataFrame:
+    """Adds the criteria, needs_previous_context, needs_next_context, score and tier. `scorer` makes the criteria from
+    the text as columns; a candidate that begins in lower case needs what is before it, one without a mark at its
+    end what follows."""
+    made = scorer(F.col("text"))
+    t = F.trim(F.coalesce("text", F.lit("")))
+    rows = cands.withColumns({c: F.round(made[c].cast("double"), 6) for c in CRITERIA})
+    rows = rows.withColumns({"needs_previous_context": t.rlike("^[a-zа-яё]"), "needs_next_context": ~t.rlike("[.!?]$")})
+    score = highlight_score({c: F.col(c) for c in CRITERIA}, F.col("needs_previous_context"), F.col("needs_next_context"))
+    return rows.withColumn("score", score).withColumn("tier", tier(F.col("score")))
+
+
+def score_with_model(cands: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], **how) -> DataFrame:
+    """Scores from a model's JSON replies: model gets batches (video_id, cand_no, text) and gives video_id, cand_no and
+    raw. Replies are read by parse_scores(), which has a default for whatever is missing; so have candidates without
+    a reply. `how` goes to infer()."""
+    replies = infer(cands.select(*KEYS, "text"), model, "video_id long, cand_no long, raw string", text="text", **how)
+    rows = cands.join(replies, KEYS, "left").withColumn("s", parse_scores(F.coalesce("raw", F.lit("")))).drop("raw")
+    score = highlight_score({c: F.col(f"s.{c}") for c in CRITERIA}, F.col("s.needs_previous_context"), F.col("s.needs_next_context"))
+    return rows.select(*cands.columns, "s.*", score.alias("score")).withColumn("tier", tier(F.col("score")))
