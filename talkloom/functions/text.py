@@ -60,11 +60,14 @@ def replace_phrases(text: Column) -> Column:
     return replace_all(text, FALSE_FRIENDS)
 
 
-def emotion_tag(text: Column) -> Column:
-    """A leading tag from the text's ending or laughter; texts that begin with a tag, and empty ones, stay."""
+def emotion_tag(text: Column, emotion: Column | None = None) -> Column:
+    """A leading tag: the given emotion, else from the text's ending or laughter; texts that begin with a tag, and
+    empty ones, stay."""
     t = F.trim(text)
+    given = F.coalesce(F.lower(F.trim(emotion)), F.lit("")) if emotion is not None else F.lit("")
     tag = (
         F.when((t == "") | t.rlike(r"^\["), "")
+        .when(given != "", F.concat(F.lit("["), given, F.lit("] ")))
         .when(t.endswith("?!") | t.endswith("!?"), "[surprised] ")
         .when(t.endswith("!"), "[enthusiastically] ")
         .when(t.endswith("..."), "[thoughtfully] ")
