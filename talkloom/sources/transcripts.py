@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from talkloom.functions.text import fmt_ass, strip_tags, words
+from talkloom.operators.alignment import input_of_chars
+from talkloom.operators.turns import joined
+
 TRANSCRIPT = "segments array<struct<start:double,end:double,text:string,speaker:string,words:array<struct<word:string,start:double,end:double,speaker:string>>>>, language string, diarization_enabled boolean"
 ALIGNMENT = "alignment struct<characters:array<string>,character_start_times_seconds:array<double>,character_end_times_seconds:array<double>>, voice_segments array<struct<dialogue_input_index:int,start_time_seconds:double,end_time_seconds:double,character_start_index:int,character_end_index:int>>"
 #: Fixed values.
@@ -12,7 +16,9 @@ VIDEO_EXTENSIONS = ("mp4", "mkv", "avi", "mov", "webm", "flv", "wmv", "m4v")
 
 
 def _video_id() -> F.Column:
-    return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+    """The recording of a file: named by a folder video_id=..., else by the file."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/video_id=([^/]+)/", 1)
+    return F.coalesce(F.nullif(folder, F.lit("")), F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1))
 
 
 def _ms(seconds: F.Column) -> F.Column:
@@ -32,8 +38,6 @@ def parse_rttm(lines: DataFrame) -> DataFrame:
     start within a recording."""
     t = F.split(F.trim("value"), r"\s+")
     rows = lines.filter((F.size(t) >= 8) & (F.get(t, F.lit(0)) == "SPEAKER")).select("video_id", F.get(t, F.lit(3)).try_cast("double").alias("s"), F.get(t, F.lit(4)).try_cast("double").alias("d"), F.get(t, F.lit(7)).alias("speaker"))
-    from pyspark.sql import Window
-
     order = Window.partitionBy("video_id").orderBy("s", "d", "speaker")
     return rows.filter("s is not null and d is not null").select("video_id", (F.row_number().over(order) - 1).cast("long").alias("iv_no"), _ms(F.col("s")).alias("start_ms"), _ms(F.col("s") + F.col("d")).alias("end_ms"), "speaker")
 
@@ -47,37 +51,68 @@ def read_alignment(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ALIGNMENT).option("multiLine", True).json(path).select(_video_id().alias("video_id"), "alignment", "voice_segments")
 
 
+def alignment_chars(files: DataFrame) -> DataFrame:
+    """Characters of read_alignment(), a row each (i, ch, start_ms, end_ms), with input_no, the first voice segment that
+    holds them: the input of chars_to_words()."""
+    a = F.col("alignment")
+    chars = F.arrays_zip(a["characters"], a["character_start_times_seconds"], a["character_end_times_seconds"])
+    at_ms = lambda edge: _ms(F.col(f"c.character_{edge}_times_seconds"))
+    rows = files.select("video_id", F.posexplode(chars).alias("i", "c"))
+    rows = rows.select("video_id", F.col("i").cast("long").alias("i"), F.col("c.characters").alias("ch"), at_ms("start").alias("start_ms"), at_ms("end").alias("end_ms"))
+    s = files.select("video_id", F.explode("voice_segments").alias("s"))
+    at = lambda name: F.col(f"s.{name}").cast("long")
+    ranges = s.select("video_id", at("dialogue_input_index").alias("input_no"), at("character_start_index").alias("first"), at("character_end_index").alias("stop"))
+    return input_of_chars(rows, ranges)
+
+
 def save_analysis(df: DataFrame, path: str, buckets: int = 64) -> None:
     """Results by recording, in folders by a hash of video_id, so that loading some ids reads few of them."""
     df.withColumn("bucket", F.pmod(F.xxhash64("video_id"), F.lit(buckets)).cast("int")).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
 
-def load_analysis(spark: SparkSession, path: str, ids: list[int], buckets: int = 64) -> DataFrame:
-    """Results of some recordings; only their folders are read."""
-    wanted = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").select(F.pmod(F.xxhash64("i"), F.lit(buckets)).cast("int")).distinct().collect()]
-    return spark.read.parquet(path).filter(F.col("bucket").isin(wanted) & F.col("video_id").isin(ids)).drop("bucket")
-
-
-def export_transcripts(turns: DataFrame) -> DataFrame:
-    """One row per recording and candidate with any word: joined text without tags, duration, word count; turns
-    marked merged are left out. Write it with .write.json."""
-    from talkloom.functions.text import strip_tags, words
-
-    rows = turns.filter(~F.coalesce("merged", F.lit(False))).withColumn("clean", F.trim(strip_tags(F.col("text"))))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("clean") != "", F.struct("turn_no", "clean")))), lambda r: r["clean"]), " ")
-    out = rows.groupBy("video_id", "cand_no").agg(text.alias("text"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
-    return out.withColumn("n_words", F.size(words(F.col("text")))).filter("n_words > 0").withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
-
-
-def subtitle_lines(subs: DataFrame) -> DataFrame:
-    """Event lines of subtitle files; write them with .partitionBy("video_id").text."""
-    from talkloom.functions.text import fmt_ass
-
-    return subs.select("video_id", "seg_no", F.format_string("Dialogue: 0,%s,%s,Default,,105,105,0,,%s", fmt_ass(F.col("start_ms")), fmt_ass(F.col("end_ms")), F.coalesce("text", F.lit(""))).alias("line"))
-
-
-def media_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Video files under a folder with size in MB and time of change; file contents are not read."""
+def load_analysis(spark: SparkSession, path: str, ids: DataFrame | list[int], buckets: int = 64) -> DataFrame:
+    """Results of the recordings listed in ids (a table with video_id, or a list); only their folders are read, where
+    ids are few."""
+    ids = ids if isinstance(ids, DataFrame) else spark.createDataFrame([(i,) for i in ids], "video_id long")
+    wanted = ids.select("video_id").distinct().withColumn("bucket", F.pmod(F.xxhash64("video_id"), F.lit(buckets)).cast("int"))
+    return spark.read.parquet(path).join(wanted, ["bucket", "video_id"], "left_semi").drop("bucket")
+
+
+def export_transcripts(cands: DataFrame, turns: DataFrame, words_: DataFrame, language: str = "ru") -> DataFrame:
+    """One row per candidate with any word, to be written as JSON: segment_id, text (of text_tr) and text_en (of text;
+    the candidate's own where no turn has any), without tags; words in order; duration_ms from the first word's
+    start to the last one's end and original_duration_ms; the times of the candidate, and word counts. Turns marked
+    merged are left out, with their words.
+
+    cands: video_id, cand_no, start_ms, end_ms, text; turns: turn_no, text, text_tr, merged; words_: cand_no, turn_no,
+    pos, word, start_ms, end_ms."""
+    keys = ["video_id", "cand_no"]
+    live = turns.filter(~F.coalesce("merged", F.lit(False)))
+    clean = lambda c: strip_tags(F.coalesce(F.col(c), F.lit("")))
+    texts = live.withColumn("tr", clean("text_tr")).withColumn("en", clean("text")).groupBy(*keys).agg(joined("turn_no", "tr").alias("tr"), joined("turn_no", "en").alias("en"))
+    spoken = words_.join(live.select(*keys, "turn_no"), [*keys, "turn_no"])
+    rows = F.array_sort(F.collect_list(F.struct("turn_no", "pos", "word", "start_ms", "end_ms")))
+    listed = spoken.groupBy(*keys).agg(rows.alias("w"))
+    own = F.transform("w", lambda x: F.struct(x["word"].alias("word"), x["start_ms"].alias("start"), x["end_ms"].alias("end")))
+    out = cands.select(*keys, "start_ms", "end_ms", F.col("text").alias("own")).join(listed, keys).join(texts, keys, "left")
+    out = out.withColumn("text_en", F.coalesce(F.nullif("en", F.lit("")), "own", F.lit(""))).withColumn("words", own)
+    return out.select(
+        "video_id", F.col("cand_no").alias("segment_id"), F.coalesce("tr", F.lit("")).alias("text"), "text_en", "words",
+        (F.element_at("words", -1)["end"] - F.element_at("words", 1)["start"]).alias("duration_ms"), (F.col("end_ms") - F.col("start_ms")).alias("original_duration_ms"),
+        F.lit(language).alias("language"), "start_ms", "end_ms", F.size(words(F.col("tr"))).alias("n_words_tr"), F.size(words(F.col("text_en"))).alias("n_words_en"),
+    )
+
+
+def subtitle_lines(subs: DataFrame, color: F.Column | None = None) -> DataFrame:
+    """Event lines of subtitle files, with a colour tag where a colour (BGR hex digits) is given; write them with
+    .partitionBy("video_id").text."""
+    tag = F.lit("") if color is None else F.coalesce(F.concat(F.lit("{\\1c&H"), color, F.lit("&}")), F.lit(""))
+    line = F.format_string("Dialogue: 0,%s,%s,Default,,105,105,0,,%s%s", fmt_ass(F.col("start_ms")), fmt_ass(F.col("end_ms")), tag, F.coalesce("text", F.lit("")))
+    return subs.select("video_id", "seg_no", line.alias("line"))
+
+
+def media_catalog(spark: SparkSession, path: str, extensions: tuple[str, ...] = VIDEO_EXTENSIONS) -> DataFrame:
+    """Files of these extensions under a folder with size in MB and time of change; their contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return files.filter(ext.isin(*VIDEO_EXTENSIONS) & ~F.contains(F.col("path"), F.lit(".tmp."))).select("path", F.bround(F.col("length") / 1048576, 2).alias("size_mb"), "modificationTime")
+    return files.filter(ext.isin(*extensions) & ~F.contains(F.col("path"), F.lit(".tmp."))).select("path", F.bround(F.col("length") / 1048576, 2).alias("size_mb"), "modificationTime")
