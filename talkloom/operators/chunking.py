@@ -67,14 +67,17 @@ def large_chunks(segs: DataFrame, size_ms: int = 600_000, overlap_ms: int = 60_0
 
 def boundary_times(chunks: DataFrame, words_: DataFrame, numbers: DataFrame) -> DataFrame:
     """Start time of sentence number n of a chunk: the share of the chunk's words before it, taken of its timed
-    words, rounded down and kept inside. chunks: chunk_no, text; words_: chunk_no, at (from 1), start_ms."""
+    words, rounded down and kept inside. chunks: chunk_no, text; words_: chunk_no, word_no, start_ms (null: untimed);
+    numbers: chunk_no, n (from 1). Numbers without a sentence, and chunks without a timed word, give no row."""
     sents = chunks.select("video_id", "chunk_no", F.posexplode(split_sentences(F.col("text"))).alias("i", "s")).withColumn("n_w", F.size(words(F.col("s"))))
     w = Window.partitionBy("video_id", "chunk_no")
-    sents = sents.withColumn("before", F.coalesce(F.sum("n_w").over(w.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n_w").over(w))
-    timed = words_.groupBy("video_id", "chunk_no").agg(F.count("*").alias("timed"))
-    at = sents.join(numbers.withColumn("i", F.col("n") - 1), ["video_id", "chunk_no", "i"]).join(timed, ["video_id", "chunk_no"])
+    before = F.coalesce(F.sum("n_w").over(w.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sents = sents.withColumn("before", before).withColumn("all", F.sum("n_w").over(w))
+    live = words_.filter("start_ms is not null").select("video_id", "chunk_no", "start_ms", F.row_number().over(w.orderBy("word_no")).alias("at"), F.count("*").over(w).alias("timed"))
+    counts = live.filter("at = 1").select("video_id", "chunk_no", "timed")
+    at = sents.join(numbers.withColumn("i", F.col("n") - 1), ["video_id", "chunk_no", "i"]).join(counts, ["video_id", "chunk_no"])
     at = at.withColumn("at", F.least(F.floor(F.col("before") / F.col("all") * F.col("timed")), F.col("timed") - 1) + 1)
-    return at.join(words_.select("video_id", "chunk_no", "at", "start_ms"), ["video_id", "chunk_no", "at"]).select("video_id", "chunk_no", "n", "start_ms")
+    return at.join(live.drop("timed"), ["video_id", "chunk_no", "at"]).select("video_id", "chunk_no", "n", "start_ms")
 
 
 def thin_boundaries(bounds: DataFrame, min_ms: int = 30_000) -> DataFrame:
@@ -129,11 +132,23 @@ def dedup_chunks(chunks: DataFrame, tolerance_ms: int = 1000) -> DataFrame:
     return _fold(chunks.select("video_id", "chunk_no", "start_ms", "end_ms"), ["start_ms", "chunk_no"], run, "video_id long, chunk_no long, start_ms long, end_ms long")
 
 
-def merge_short(chunks: DataFrame, min_ms: int = 20_000) -> DataFrame:
-    """Chunks shorter than min_ms join the one before; the first one stays. A short chunk never begins a run, so
-    runs are counted, not folded."""
+def short_runs(chunks: DataFrame, min_ms: int = 20_000) -> DataFrame:
+    """Adds `into`: the chunk that a chunk is part of once those shorter than min_ms have joined the one before; the
+    first one stays. A short chunk never begins a run, so runs are counted, not folded."""
     runs = islands(chunks, ["video_id"], ["chunk_no"], F.col("end_ms") - F.col("start_ms") >= min_ms)
-    return runs.groupBy("video_id", "island").agg(F.min("chunk_no").alias("chunk_no"), F.min_by("start_ms", "chunk_no").alias("start_ms"), F.max_by("end_ms", "chunk_no").alias("end_ms"), joined("chunk_no", "text").alias("text"), F.count("*").alias("n_chunks")).drop("island")
+    return runs.withColumn("into", F.min("chunk_no").over(Window.partitionBy("video_id", "island"))).drop("island")
+
+
+def merge_short(chunks: DataFrame, min_ms: int = 20_000) -> DataFrame:
+    """Chunks (chunk_no, start_ms, end_ms, text, speakers) shorter than min_ms join the one before: texts joined,
+    speakers in the order they are first met. Their turns follow by join_turns() with short_runs()."""
+    rows = short_runs(chunks, min_ms)
+    met = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "speakers"))), lambda r: r["speakers"])))
+    made = rows.groupBy("video_id", F.col("into").alias("chunk_no")).agg(
+        F.min_by("start_ms", "chunk_no").alias("start_ms"), F.max_by("end_ms", "chunk_no").alias("end_ms"), joined("chunk_no", "text").alias("text"),
+        met.alias("speakers"), F.count("*").alias("n_chunks"),
+    )
+    return made
 
 
 def plan_parts(durations: DataFrame, part_ms: int = 5_400_000) -> DataFrame:

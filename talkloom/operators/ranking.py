@@ -114,11 +114,16 @@ def merge_pairs(cands: DataFrame, max_ms: int = 180_000, limit_ms: int = 200_000
     return rows.withColumn("merge", F.col("may") & (at % 2 == 1)).drop("may", "run")
 
 
-def apply_merges(pairs: DataFrame, values: list[str]) -> DataFrame:
-    """Merged candidates of merge_pairs(): criteria averaged by duration, the outer context flags, joined text."""
+def merged_into(pairs: DataFrame) -> DataFrame:
+    """Adds `into` to the candidates of merge_pairs(): the one that each becomes part of."""
     w = Window.partitionBy("video_id").orderBy("cand_no")
-    into = F.when(F.coalesce(F.lag("merge").over(w), F.lit(False)), F.lag("cand_no").over(w)).otherwise(F.col("cand_no"))
-    rows = pairs.withColumn("into", into).withColumn("d", F.col("end_ms") - F.col("start_ms"))
+    return pairs.withColumn("into", F.when(F.coalesce(F.lag("merge").over(w), F.lit(False)), F.lag("cand_no").over(w)).otherwise(F.col("cand_no")))
+
+
+def apply_merges(pairs: DataFrame, values: list[str]) -> DataFrame:
+    """Merged candidates of merge_pairs(): criteria averaged by duration, the outer context flags, joined text. Their
+    turns follow by join_turns() with merged_into()."""
+    rows = merged_into(pairs).withColumn("d", F.col("end_ms") - F.col("start_ms"))
     mean = [F.round(F.sum(F.coalesce(v, F.lit(0.25)) * F.col("d")) / F.sum("d"), 9).alias(v) for v in values]
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cand_no", "text"))), lambda r: r["text"]), " ")
     return rows.groupBy("video_id", "into").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), *mean, F.min_by("needs_prev", "cand_no").alias("needs_prev"), F.max_by("needs_next", "cand_no").alias("needs_next"), text.alias("text"), F.count("*").alias("n_merged")).withColumnRenamed("into", "cand_no")

@@ -22,8 +22,8 @@ def chars_to_words(chars: DataFrame) -> DataFrame:
 
 def dedup_words(words_: DataFrame, back: int = 10, near_ms: int = 500) -> DataFrame:
     """Words of a recording in order; one with the same lower-cased, trimmed text as one of the last `back` kept
-    words, starting less than near_ms apart, is dropped or, if it lasts longer, takes that one's place. What is
-    kept depends on earlier choices, so a recording is folded."""
+    words, starting less than near_ms apart, is dropped or, if it lasts longer, stays in that one's stead, as the last
+    word kept. What is kept depends on earlier choices, so a recording is folded."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
@@ -33,7 +33,8 @@ def dedup_words(words_: DataFrame, back: int = 10, near_ms: int = 500) -> DataFr
                 other = kept[k]
                 if (other["word"] or "").lower().strip() == text and abs(other["start_ms"] - r["start_ms"]) < near_ms:
                     if r["end_ms"] - r["start_ms"] > other["end_ms"] - other["start_ms"]:
-                        kept[k] = r
+                        del kept[k]
+                        kept.append(r)
                     break
             else:
                 kept.append(r)
@@ -92,19 +93,25 @@ def speaker_colors(turns: DataFrame, palette: tuple[str, ...] = ("white", "yello
     return speakers_in_order(turns).select("video_id", "speaker", F.get(F.array(*[F.lit(c) for c in palette]), F.col("rank") % len(palette)).alias("color"))
 
 
-def match_by_start(sentences: DataFrame, segs: DataFrame) -> DataFrame:
-    """For each sentence (sent_no, start_ms) the segment of equal start in 10 ms steps (the last such one), else
-    the segment of nearest start (the first of equals)."""
+def match_by_start(sentences: DataFrame, segs: DataFrame, exact: bool = True) -> DataFrame:
+    """For each sentence (sent_no, start_ms) the segment of equal start in 10 ms steps (the last such one; not
+    without `exact`), else the segment of nearest start (the first of equals)."""
     key = lambda c: F.bround(F.col(c) / 10, 0)
     side = segs.select("video_id", "seg_no", F.col("start_ms").alias("at"))
-    exact = side.withColumn("k", key("at")).groupBy("video_id", "k").agg(F.max("seg_no").alias("hit"))
-    rows = sentences.select("video_id", "sent_no", "start_ms").withColumn("k", key("start_ms")).join(exact, ["video_id", "k"], "left")
+    same = side.withColumn("k", key("at")).groupBy("video_id", "k").agg(F.max("seg_no").alias("hit"))
+    rows = sentences.select("video_id", "sent_no", "start_ms").withColumn("k", key("start_ms"))
+    rows = rows.join(same, ["video_id", "k"], "left") if exact else rows.withColumn("hit", F.lit(None).cast("long"))
     # The nearest start on either side of a sentence: both kinds of rows on one sorted line.
-    line = rows.filter("hit is null").select("video_id", F.col("start_ms").alias("t"), "sent_no", F.lit(None).cast("long").alias("seg_no")).unionByName(side.groupBy("video_id", F.col("at").alias("t")).agg(F.min("seg_no").alias("seg_no")).select("video_id", "t", F.lit(None).cast("long").alias("sent_no"), "seg_no"))
+    asked = rows.filter("hit is null").select("video_id", F.col("start_ms").alias("t"), "sent_no", F.lit(None).cast("long").alias("seg_no"))
+    starts = side.groupBy("video_id", F.col("at").alias("t")).agg(F.min("seg_no").alias("seg_no"))
+    line = asked.unionByName(starts.select("video_id", "t", F.lit(None).cast("long").alias("sent_no"), "seg_no"))
     w, seg = Window.partitionBy("video_id").orderBy("t"), F.when(F.col("seg_no").isNotNull(), F.struct("t", "seg_no"))
-    line = line.withColumn("b", F.last(seg, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("a", F.first(seg, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))).filter("sent_no is not null")
+    before = F.last(seg, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.first(seg, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    line = line.withColumn("b", before).withColumn("a", after).filter("sent_no is not null")
     option = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("t") - F.col(c)["t"]).alias("d"), F.col(c)["seg_no"].alias("n")))
-    near = line.select("video_id", "sent_no", F.array_min(F.filter(F.array(option("b"), option("a")), lambda x: x.isNotNull()))["n"].alias("near"))
+    best = F.array_min(F.filter(F.array(option("b"), option("a")), lambda x: x.isNotNull()))["n"]
+    near = line.select("video_id", "sent_no", best.alias("near"))
     return rows.join(near, ["video_id", "sent_no"], "left").select("video_id", "sent_no", F.coalesce("hit", "near").alias("seg_no"))
 
 
@@ -118,9 +125,27 @@ def crop_plan(focus_x: DataFrame, focus_y: DataFrame, width: int, height: int, c
     return xs.join(hits, ["video_id", "iv_no"], "left").select("video_id", "iv_no", at(F.col("focus"), width, crop_w).alias("x"), at(F.coalesce("fy", F.lit(0.5)), height, crop_h).alias("y"))
 
 
-def find_phrase(turns: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Start of a phrase in a candidate, relative to the candidate: that of the first turn that holds it, letter
-    case aside; 0 where none does. phrases: video_id, cand_no, phrase."""
-    hits = turns.join(phrases, ["video_id", "cand_no"]).filter(F.contains(F.lower("text"), F.lower("phrase"))).groupBy("video_id", "cand_no", "phrase").agg(F.min_by("start_ms", "turn_no").alias("at"))
-    first = turns.groupBy("video_id", "cand_no").agg(F.min("start_ms").alias("c0"))
-    return phrases.join(hits, ["video_id", "cand_no", "phrase"], "left").join(first, ["video_id", "cand_no"]).select("video_id", "cand_no", "phrase", F.coalesce(F.greatest(F.lit(0), F.col("at") - F.col("c0")), F.lit(0)).alias("offset_ms"))
+def find_phrase(cands: DataFrame, turns: DataFrame, words_: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Where a phrase is said in a candidate, from the candidate's start_ms on (0 at the least): letter case aside, in
+    the first turn whose text or text_tr holds it; else at the word that completes it in the candidate's words,
+    joined by spaces; else 0 if the candidate's whole text holds it; else null.
+
+    phrases: video_id, cand_no, phrase (one a candidate); cands: start_ms, text; turns: turn_no, text, text_tr,
+    start_ms; words: pos, word, start_ms."""
+    keys = ["video_id", "cand_no"]
+    said = phrases.select(*keys, "phrase", F.lower(F.trim("phrase")).alias("p")).filter("p <> ''")
+    holds = lambda c: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.col("p"))
+    in_turn = turns.join(said, keys).filter(holds("text") | holds("text_tr")).groupBy(*keys).agg(F.min_by("start_ms", "turn_no").alias("t_at"))
+    # Each word's end in the joined text; the hit ends where the text up to there first holds the phrase.
+    spoken = words_.join(said, keys).withColumn("w", F.lower(F.coalesce("word", F.lit(""))))
+    full = spoken.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ").alias("full"), F.first("p").alias("p"))
+    hit = full.select(*keys, (F.instr(F.col("full"), F.col("p")) + F.length("p") - 1).alias("stop"), F.instr(F.col("full"), F.col("p")).alias("at")).filter("at > 0")
+    order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    ends = spoken.withColumn("upto", F.sum(F.length("w") + 1).over(order)).join(hit, keys).filter(F.col("upto") >= F.col("stop"))
+    in_words = ends.groupBy(*keys).agg(F.min_by("start_ms", "pos").alias("w_at"))
+    rows = phrases.join(said.select(*keys, "p"), keys, "left").join(cands.select(*keys, F.col("start_ms").alias("c0"), F.lower("text").alias("c_text")), keys)
+    rows = rows.join(in_turn, keys, "left").join(in_words, keys, "left")
+    away = lambda c: F.greatest(F.lit(0), F.col(c) - F.col("c0"))
+    whole = F.when(F.contains(F.coalesce("c_text", F.lit("")), F.col("p")), 0)
+    at = F.when(F.col("t_at").isNotNull(), away("t_at")).when(F.col("w_at").isNotNull(), away("w_at")).otherwise(whole)
+    return rows.select(*keys, "phrase", at.cast("long").alias("offset_ms"))

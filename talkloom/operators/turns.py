@@ -25,11 +25,40 @@ def islands(df: DataFrame, partition: list[str], order: list[str], starts: Colum
     return df.withColumn("_new", (first | F.coalesce(starts, F.lit(False))).cast("int")).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def _runs_of_speakers(turns: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return islands(turns, keys, order, ~F.col("speaker").eqNullSafe(F.lag("speaker").over(w)))
+
+
 def merge_turns(turns: DataFrame) -> DataFrame:
-    """Neighbouring turns of one speaker as one: turn_no of the first, text joined, end of the last."""
-    w = Window.partitionBy("video_id").orderBy("turn_no")
-    runs = islands(turns, ["video_id"], ["turn_no"], ~F.col("speaker").eqNullSafe(F.lag("speaker").over(w)))
-    return runs.groupBy("video_id", "island").agg(F.min("turn_no").alias("turn_no"), F.min_by("speaker", "turn_no").alias("speaker"), joined("turn_no", "text").alias("text"), F.min_by("start_ms", "turn_no").alias("start_ms"), F.max_by("end_ms", "turn_no").alias("end_ms"), F.count("*").alias("n_turns")).drop("island")
+    """Neighbouring turns of one speaker as one: turn_no of the first, text joined, end of the last. Their words are
+    those of merged_words()."""
+    runs = _runs_of_speakers(turns, ["video_id"], ["turn_no"])
+    return runs.groupBy("video_id", "island").agg(
+        F.min("turn_no").alias("turn_no"), F.min_by("speaker", "turn_no").alias("speaker"), joined("turn_no", "text").alias("text"),
+        F.min_by("start_ms", "turn_no").alias("start_ms"), F.max_by("end_ms", "turn_no").alias("end_ms"), F.count("*").alias("n_turns"),
+    ).drop("island")
+
+
+def merged_words(words: DataFrame, turns: DataFrame) -> DataFrame:
+    """Words (turn_no, pos) under the turns that merge_turns() makes of `turns`: turn_no of the merged turn, pos counted
+    on from turn to turn."""
+    runs = _runs_of_speakers(turns, ["video_id"], ["turn_no"])
+    into = runs.select("video_id", "turn_no", F.min("turn_no").over(Window.partitionBy("video_id", "island")).alias("into"))
+    order = Window.partitionBy("video_id", "into").orderBy("turn_no", "pos")
+    rows = words.join(into, ["video_id", "turn_no"]).withColumn("new_pos", F.row_number().over(order).cast("long"))
+    return rows.withColumn("turn_no", F.col("into")).withColumn("pos", F.col("new_pos")).drop("into", "new_pos")
+
+
+def join_turns(turns: DataFrame, into: DataFrame, key: str) -> DataFrame:
+    """Turns (key, turn_no) of chunks or candidates that were merged (into: key, into): key of the merged one, neighbours of
+    one speaker joined as in merge_turns(), numbered from 1."""
+    rows = turns.join(into.select("video_id", key, "into"), ["video_id", key])
+    runs = _runs_of_speakers(rows, ["video_id", "into"], [key, "turn_no"]).withColumn("place", F.struct(key, "turn_no"))
+    return runs.groupBy("video_id", F.col("into").alias(key), F.col("island").cast("long").alias("turn_no")).agg(
+        F.min_by("speaker", "place").alias("speaker"), joined("place", "text").alias("text"),
+        F.min_by("start_ms", "place").alias("start_ms"), F.max_by("end_ms", "place").alias("end_ms"),
+    )
 
 
 def split_turns_by_word_speaker(words: DataFrame, word_speaker: str) -> DataFrame:
@@ -92,11 +121,32 @@ def attach_context(cands: DataFrame, durations: DataFrame) -> DataFrame:
     return cands.join(durations, "video_id").select("video_id", "cand_no", cut(F.lag("text").over(w), 100).alias("previous_text"), cut(F.lead("text").over(w), 80).alias("next_text"), (first & (F.col("start_ms") < 5000)).alias("is_start"), (last & (F.col("duration_ms") - F.col("end_ms") < 5000)).alias("is_end"), F.coalesce("speaker", F.lit("Unknown")).alias("primary_speaker"))
 
 
-def build_chunks(segs: DataFrame, chunk: str) -> DataFrame:
-    """One row per chunk: edges, joined text, and distinct speakers in the order they first speak."""
+def build_chunks(segs: DataFrame, chunk: str, words: DataFrame | None = None) -> DataFrame:
+    """One row per chunk: edges, joined text, distinct speakers (an array) in the order they first speak and, with the
+    words of segments (seg_no, pos, word, start_ms, end_ms), these in order as an array. Its turns: chunk_turns()."""
     order = F.struct("seg_no", "speaker")
     speakers = F.array_distinct(F.transform(F.array_sort(F.collect_list(order)), lambda r: r["speaker"]))
-    return segs.groupBy("video_id", chunk).agg(F.min_by("start_ms", "seg_no").alias("start_ms"), F.max_by("end_ms", "seg_no").alias("end_ms"), joined("seg_no", "text").alias("text"), F.array_join(speakers, ",").alias("speakers"))
+    made = segs.groupBy("video_id", chunk).agg(
+        F.min_by("start_ms", "seg_no").alias("start_ms"), F.max_by("end_ms", "seg_no").alias("end_ms"), joined("seg_no", "text").alias("text"), speakers.alias("speakers")
+    )
+    if words is None:
+        return made
+    own = words.join(segs.select("video_id", "seg_no", chunk), ["video_id", "seg_no"])
+    listed = F.array_sort(F.collect_list(F.struct("seg_no", "pos", "word", "start_ms", "end_ms")))
+    return made.join(own.groupBy("video_id", chunk).agg(listed.alias("words")), ["video_id", chunk], "left")
+
+
+def chunk_turns(segs: DataFrame, chunk: str, words: DataFrame) -> DataFrame:
+    """The dialogue of each chunk: neighbouring segments of one speaker as one turn (turn_no is the first seg_no), with
+    the edges of its words, where it has timed ones."""
+    runs = _runs_of_speakers(segs, ["video_id", chunk], ["seg_no"])
+    runs = runs.withColumn("turn_no", F.min("seg_no").over(Window.partitionBy("video_id", chunk, "island")))
+    made = runs.groupBy("video_id", chunk, "turn_no").agg(
+        F.min_by("speaker", "seg_no").alias("speaker"), joined("seg_no", "text").alias("text"),
+        F.min_by("start_ms", "seg_no").alias("start_ms"), F.max_by("end_ms", "seg_no").alias("end_ms"),
+    )
+    own = words.join(runs.select("video_id", "seg_no", "turn_no"), ["video_id", "seg_no"])
+    return refine_turn_edges(made, own.select("video_id", "turn_no", "start_ms", "end_ms"))
 
 
 def speaker_stats(segs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from talkloom.functions import text as X
@@ -96,11 +97,27 @@ def test_inference_halves_failing_batches(spark):
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         if (pdf.i == 7).any():
-            raise RuntimeError
+            raise TimeoutError
         return pdf
 
     assert sorted(r.i for r in I.infer(df, fn, "i long").collect()) == [i for i in range(20) if i != 7]
 
+    def broken(pdf: pd.DataFrame) -> pd.DataFrame:
+        raise KeyError("a programming error")
+
+    with pytest.raises(Exception, match="programming error"):
+        I.infer(df, broken, "i long").collect()
+
+
+def test_inference_batches_by_characters_and_tries_single_rows_again(spark):
+    df = spark.createDataFrame([(i, "x" * (i * 10)) for i in range(8)], "i long, t string").coalesce(1)
+
+    def sizes(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [len(pdf)], "chars": [pdf.t.str.len().sum()]})
+
+    got = [(r.n, r.chars) for r in I.infer(df, sizes, "n long, chars long", rows=4, text="t", chars=100).collect()]
+    assert got == [(4, 60), (2, 90), (1, 60), (1, 70)]
+
 
 def test_text_edges(spark):
     row = spark.createDataFrame([("Ann Lee_ x.mp4", None, "")], "a string, b string, c string").select(X.guest_name(F.col("a")), X.clean_text(F.col("b")), X.emotion_tag(F.col("c")), F.size(X.words(F.col("b")))).first()
