@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkloom.llm import words as W
-from talkloom.llm.shared import bit_filter, bits_for, drop_stored, join_hot, map_batches, stored
+from talkloom.llm.shared import drop_stored, join_hot, map_batches, mark_possible, stored
 
 U64 = W.U64
 _IN_LINE = np.arange(256) != 0x0A
@@ -136,12 +136,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_run: int = 3, gram: int
     late = late.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("starts"))
     late = stored(late.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "th", "starts"), "late-runs")
     drop_stored(found, firsts)
-    # Documents whose hash has no place in the set lose nothing; the set has 64 bits a document, up to its bound.
-    bits = bits_for(4 * late.count(), 16, 24)
-    words = F.broadcast(bit_filter(late.select("th").distinct(), bits))  # 2**18 rows at most
-    place = F.col("th").bitwiseAND(F.lit((1 << bits) - 1))
-    marked = docs.join(words, F.shiftright(place, 6) == F.col("i"), "left")
-    maybe = F.col("text").isNotNull() & F.coalesce(F.expr("shiftrightunsigned(b, cast(th & 63 as int)) & 1") == 1, F.lit(False))
+    # Documents whose hash has no place in the set lose nothing.
+    marked = mark_possible(docs, F.col("th"), late.select("th").distinct())
+    maybe = F.col("text").isNotNull() & F.col("possible")
     keys = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "th"]
     joined = marked.filter(maybe).select("doc_id", *keys, "text").join(late, ["id", "no_id", "th"], "left")
     lost = map_batches(joined.select("doc_id", "text", "starts"), _cut, f"doc_id long, text string, n_lines long, n_removed long, spans {SPANS}")

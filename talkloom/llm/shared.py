@@ -88,6 +88,17 @@ def bit_filter(keys: DataFrame, bits: int) -> DataFrame:
     return places.groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
 
 
+def mark_possible(rows: DataFrame, hashed: F.Column, keys: DataFrame) -> DataFrame:
+    """Adds `possible`: whether the row's hash may be one of keys (one column of hashes); false is sure. The keys' bit
+    set has 64 bits a key, up to 2**24 bits, and is broadcast as 2**18 rows at most, whatever the number of keys."""
+    bits = bits_for(4 * keys.count(), 16, 24)
+    words = F.broadcast(bit_filter(keys, bits))
+    place = F.col("_hash").bitwiseAND(F.lit((1 << bits) - 1))
+    joined = rows.withColumn("_hash", hashed).join(words, F.shiftright(place, 6) == F.col("i"), "left")
+    bit = F.expr("shiftrightunsigned(b, cast(_hash & 63 as int)) & 1")
+    return joined.withColumn("possible", F.coalesce(bit == 1, F.lit(False))).drop("i", "b", "_hash")
+
+
 def bit_table(keys: DataFrame, bits: int) -> np.ndarray:
     """The set of bit_filter() as an array of 2**bits bits, whatever the number of keys."""
     got = bit_filter(keys, bits).toArrow()
