@@ -54,6 +54,7 @@ def near_copies():
 @pytest.mark.parametrize("k", [4, 5])
 def test_near_duplicates_equal_all_pairs(spark, k, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 8)
+    monkeypatch.setattr(near_duplicates, "BLOCK_BYTES", 6000)
     rows = near_copies()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs(spark, [(i, t, None, None) for i, t in rows]), shingle=k).collect()}
     want = brute_components(rows, k)
@@ -78,7 +79,7 @@ def test_a_bucket_of_unlike_and_very_long_members(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs(spark, rows)).collect()}
     linked = {i: c for i, c in got.items() if i != c}
     assert linked == {10_001: 10_000, 10_002: 10_000, 20_000: 0, 20_001: 1, 20_002: 2}
-    assert sizes["left-pairs"] <= len(rows) and sizes["candidates"] <= 32 * len(rows)
+    assert sizes["left-members"] <= len(rows) and sizes["candidates"] <= 32 * len(rows)
 
 
 def test_near_duplicate_edges(spark):
