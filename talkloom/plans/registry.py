@@ -24,12 +24,11 @@ def oracle_sql() -> dict:
     return _found("ORACLES")
 
 
-def entry(spark: SparkSession) -> DataFrame:
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Talk time and share of each speaker of each recording, speakers assigned by largest summed overlap."""
     from talkloom.operators import turns
     from talkloom.operators.intervals import assign_speaker_dominant
     from talkloom.plans.fixtures import view
 
-    d = "/root/testdata/sf0.001"
-    segs = assign_speaker_dominant(view(spark, d, "fx_segs"), view(spark, d, "fx_diar"), ["seg_no"])
+    segs = assign_speaker_dominant(view(spark, sf_dir, "fx_segs"), view(spark, sf_dir, "fx_diar"), ["seg_no"])
     return turns.speaker_stats(segs.withColumn("speaker", segs["assigned"]))

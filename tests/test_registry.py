@@ -36,4 +36,4 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_entry(spark):
-    assert {"video_id", "speaker", "total_ms", "share_pct"} <= set(registry.entry(spark).columns)
+    assert {"video_id", "speaker", "total_ms", "share_pct"} <= set(registry.entry(spark, DATA).columns)
