@@ -1,15 +1,15 @@
 """Nearest neighbours by a permutation index.
 
-A vector is represented by the order of its nearest pivots (all `n_pivots`, by cosine) and posted in the
-inverted files of its first `posted` pivots. A query reads the files of its first `probed` pivots; in each block
-of a file it keeps the `keep` share (at least `least`) of smallest footrule distance between orders, and reranks
-those by cosine in double precision on the original vectors. Equal vectors are one entry with its smallest ids.
+A vector is represented by the order of its `prefix` nearest pivots, by cosine. Vectors are dealt to blocks of bounded
+bytes. In a block, each vector is posted in the inverted files of its first `posted` pivots; a query reads the
+files of its first `probed` pivots, ranks what it finds by the footrule distance of the orders (a pivot beyond a
+prefix counts as the place after it) and reranks the `keep` share of it (at least `least`) by cosine in double
+precision on the original vectors. Equal vectors are one entry with its smallest ids.
 
-Pivots are the n_pivots distinct vectors of smallest hash: the bounded sample the index is fitted on. Every
-vector is posted and every block of a probed file is read: nothing is dropped by size. Files are cut into
-blocks of about BLOCK postings and queries into blocks of about BLOCK queries, so a pivot that many vectors
-share is spread over tasks; a vector found in several probed files is taken at the first of its own pivots
-that the query probes.
+Pivots are distinct vectors of smallest hash, the bounded sample the index is fitted on: a sixth of the vectors, up to
+`most_pivots` and 16 MB. So a query finds about as many entries however large the table is, until that bound is met;
+from there on what it finds grows with the table. Every vector is posted and every probed file is read whole:
+nothing is dropped by size. Queries are sent, in groups, to every block; only the nearest of each block come back.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor
 do rows of null id or vectors of another length than the most frequent one (ties: the smaller length); rows
@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talkloom.llm.shared import map_batches, stored
+from talkloom.llm.shared import drop_stored, map_batches, stored
 
-BLOCK = 1024
+#: Bytes of vectors and orders to a block, queries to a group, and bytes of pivots (single precision) to be broadcast.
+BLOCK_BYTES, GROUP, PIVOT_BYTES = 4 << 20, 256, 16 << 20
 
 
 def usable(vector: str) -> Column:
@@ -44,32 +45,62 @@ def _norm(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x * x).sum(axis=1))
 
 
-def _ranked(df: DataFrame, pivots, first: int) -> DataFrame:
-    """Adds `ranks` (each pivot's place, a byte each) and `near`, the first pivots in order."""
+def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
+    """The numbers of each vector's `prefix` nearest pivots, nearest first (equals: the smaller number)."""
+    out = np.empty((len(x), prefix), dtype=np.uint16)
+    for lo in range(0, len(x), 1024):
+        part = x[lo : lo + 1024]
+        far = -((part / _norm(part)[:, None]).astype(np.float32) @ pivots.T)
+        first = np.sort(np.argpartition(far, prefix - 1, axis=1)[:, :prefix], axis=1)
+        rank = np.argsort(np.take_along_axis(far, first, axis=1), axis=1, kind="stable")
+        out[lo : lo + 1024] = np.take_along_axis(first, rank, axis=1)
+    return out
+
+
+def _ordered(df: DataFrame, pivots, prefix: int) -> DataFrame:
+    """Adds `order`, the bytes of orders()."""
 
     def rows(batch: pa.RecordBatch):
-        x, p = _rows(batch.column(1)), pivots.value
-        order = np.argsort(-(x / _norm(x)[:, None]) @ p.T, axis=1, kind="stable")
-        ranks = np.empty_like(order)
-        np.put_along_axis(ranks, order, np.arange(len(p))[None, :].repeat(len(x), axis=0), axis=1)
-        near = order[:, :first].astype(np.int32)
-        return pa.table({"ids": batch.column(0), "v": batch.column(1), "ranks": pa.array([r.tobytes() for r in ranks.astype(np.uint8)], pa.binary()), "near": pa.ListArray.from_arrays(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32), near.ravel())})
+        made = orders(_rows(batch.column(1)), pivots.value, prefix)
+        return pa.table({"ids": batch.column(0), "v": batch.column(1), "order": pa.array([r.tobytes() for r in made], pa.binary())})
+
+    return map_batches(df.select("ids", "v"), rows, "ids array<long>, v array<double>, order binary")
+
+
+class Block:
+    """The inverted files of one block's entries."""
+
+    def __init__(self, order: np.ndarray, posted: int, n_pivots: int) -> None:
+        near = order[:, :posted].astype(np.int64)
+        by_pivot = np.argsort(near.ravel(), kind="stable")
+        self.order, self.entries = order, by_pivot // near.shape[1]
+        self.files = np.searchsorted(near.ravel()[by_pivot], np.arange(n_pivots + 1))
+
+    def found(self, probed: np.ndarray) -> np.ndarray:
+        """The entries posted in any of the probed pivots' files."""
+        return np.unique(np.concatenate([self.entries[self.files[p] : self.files[p + 1]] for p in probed.astype(np.int64)]))
 
-    return map_batches(df.select("ids", "v"), rows, "ids array<long>, v array<double>, ranks binary, near array<int>")
+    def footrule(self, asked: np.ndarray, some: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Distance of the asked order to those of some entries; place: scratch, `prefix` everywhere."""
+        n = len(asked)
+        place[asked] = np.arange(n)
+        own = place[self.order[some]]
+        # Pivots that both hold, or the entry alone; then those that the query alone holds.
+        gap = np.abs(own - np.arange(n)).sum(axis=1) + (n * (n + 1) // 2 - np.where(own < n, n - own, 0).sum(axis=1))
+        place[asked] = n
+        return gap
 
 
-def _blocks(ranked: DataFrame, name: str) -> DataFrame:
-    """(pivot, block, name): the entries of each pivot's file in blocks of about BLOCK."""
-    posted = ranked.select(F.explode("near").alias("pivot"), "ids", "v", "ranks")
-    sizes = posted.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
-    entry = F.struct("ids", "v", "ranks")
-    return posted.join(F.broadcast(sizes), "pivot").groupBy("pivot", F.pmod(F.xxhash64("ids"), "n").alias("block")).agg(F.collect_list(entry).alias(name))
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, width)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int = 256, posted: int = 5, probed: int = 64, keep: float = 0.25, least: int = 64) -> DataFrame:
+def nearest(
+    vectors: DataFrame, is_query: Column, k: int = 5, most_pivots: int = 16_384, posted: int = 16, probed: int = 96, prefix: int = 128, keep: float = 0.15, least: int = 256
+) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query row, itself left out.
 
-    `vectors` has vec_id and embedding; n_pivots is at most 256, so that a place fits a byte."""
+    `vectors` has vec_id and embedding; most_pivots is at most 65536, so that a pivot's number fits two bytes."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = rows.filter(usable("v") & F.col("vec_id").isNotNull())
@@ -78,45 +109,45 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int = 25
     # k + 1 ids of each distinct vector are enough: a query leaves out one of them, its own.
     smallest = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
     base = stored(smallest.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
-    found = base.orderBy(F.xxhash64("v"), F.col("ids")[0]).limit(n_pivots).select("v").collect()
-    if not found:
+    n, width = base.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    p = np.array([r.v for r in found])
-    pivots = spark.sparkContext.broadcast(p / _norm(p)[:, None])
-    files = _blocks(_ranked(base, pivots, min(posted, len(p))), "entries")
-    asked = rows.filter("q").select(F.array("vec_id").alias("ids"), "v")
-    asks = _blocks(_ranked(asked, pivots, min(probed, len(p))), "asks")
+    n_pivots = max(min(n, 16), min(n // 6, most_pivots, PIVOT_BYTES // (4 * width)))
+    sample = base.orderBy(F.xxhash64("v"), F.col("ids")[0]).limit(n_pivots).select(F.col("v").cast("array<float>").alias("v")).toArrow()
+    p = np.stack([np.asarray(v, dtype=np.float64) for v in sample["v"].to_pylist()])
+    pivots = spark.sparkContext.broadcast((p / _norm(p)[:, None]).astype(np.float32))
+    prefix, n_posted, n_probed = min(prefix, n_pivots), min(posted, n_pivots), min(probed, n_pivots)
+    n_blocks = max(1, -(-n * (8 * width + 2 * prefix + 64) // BLOCK_BYTES))
+    entry = F.collect_list(F.struct("ids", "v", "order"))
+    place = F.pmod(F.xxhash64("v"), F.lit(n_blocks)).alias("block")
+    blocks = stored(_ordered(base, pivots, prefix).groupBy(place).agg(entry.alias("entries")), "blocks")
+    asked = _ordered(rows.filter("q").select(F.array("vec_id").alias("ids"), "v"), pivots, prefix)
+    groups = stored(asked.groupBy(F.pmod(F.xxhash64("ids"), F.lit(max(1, asked.count() // GROUP))).alias("group")).agg(entry.alias("asks")), "queries")
+    sent = groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
 
     def search(batch: pa.RecordBatch):
         out_q, out_ids, out_s = [], [], []
-        for pivot, asks, entries in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            (qi, qv, qr), (xi, xv, xr) = ((y.values.field("ids"), _rows(y.values.field("v")), np.frombuffer(b"".join(y.values.field("ranks").to_pylist()), dtype=np.uint8).reshape(len(y.values), -1)) for y in (asks, entries))
-            qn, xn, ids = _norm(qv), _norm(xv), xi.to_pylist()
-            low = np.array([i[0] for i in ids])
-            n_mine, n_asked = min(posted, qr.shape[1]), min(probed, qr.shape[1])
-            mine = np.sort(np.argpartition(xr, n_mine - 1, axis=1)[:, :n_mine], axis=1)
-            place = np.take_along_axis(xr, mine, axis=1)
-            here = xr[:, pivot][:, None]
-            for a in range(len(qv)):
-                # Taken here unless a better-placed pivot of the entry is probed too.
-                earlier = ((place < here) & (qr[a][mine] < n_asked)).any(axis=1)
-                some = np.flatnonzero(~earlier)
+        for asks, entries in zip(batch.column(0), batch.column(1), strict=True):
+            (qi, qv, qo), (xi, xv, xo) = ((y.values.field("ids"), _rows(y.values.field("v")), _matrix(y.values.field("order"), prefix)) for y in (asks, entries))
+            block, qn, xn, ids = Block(xo, n_posted, n_pivots), _norm(qv), _norm(xv), xi.to_pylist()
+            low, free = np.array([i[0] for i in ids]), np.full(n_pivots, prefix, dtype=np.int32)
+            for a, query in enumerate(qi.to_pylist()):
+                some = block.found(qo[a, :n_probed])
                 if not len(some):
                     continue
-                r = xr[some]
-                gap = (np.maximum(r, qr[a]) - np.minimum(r, qr[a])).sum(axis=1, dtype=np.int32)
-                n = max(least, int(keep * len(some)))
-                if n < len(some):
-                    some = some[gap <= np.partition(gap, n - 1)[n - 1]]
+                most = max(least, int(keep * len(some)))
+                if most < len(some):
+                    gap = block.footrule(qo[a], some, free)
+                    some = some[gap <= np.partition(gap, most - 1)[most - 1]]
                 score = (xv[some] * qv[a]).sum(axis=1) / (xn[some] * qn[a])
                 best = np.lexsort((low[some], -score))[: k + 1]
-                q = qi[a].as_py()[0]
-                out_q += [q] * len(best)
+                out_q += query * len(best)
                 out_ids += [ids[i] for i in some[best]]
                 out_s += score[best].tolist()
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "ids": pa.array(out_ids, pa.list_(pa.int64())), "score": pa.array(out_s, pa.float64())})
 
-    hits = map_batches(asks.join(files, "pivot").select("pivot", "asks", "entries"), search, "query_id long, ids array<long>, score double")
+    hits = stored(map_batches(sent.join(blocks, "block").select("asks", "entries"), search, "query_id long, ids array<long>, score double"), "hits")
+    drop_stored(base, blocks, groups)
     hits = hits.select("query_id", F.explode("ids").alias("vec_id"), "score").filter("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -349,6 +349,27 @@ def test_neighbours_reach_the_recall_and_are_exact_on_small_tables(spark):
     assert hits / (30 * 5) >= 0.9
 
 
+def test_the_index_reads_few_entries_of_a_large_block():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 24))
+    p = x[:1000] / np.sqrt((x[:1000] ** 2).sum(axis=1))[:, None]
+    order = neighbours.orders(x, p.astype(np.float32), 64)
+    block, free, read = neighbours.Block(order, 8, 1000), np.full(1000, 64, dtype=np.int32), []
+    near = (x @ p.T) / np.sqrt((x * x).sum(axis=1))[:, None]
+    assert (np.take_along_axis(near, order.astype(int), axis=1)[:, :-1] >= np.take_along_axis(near, order.astype(int), axis=1)[:, 1:] - 1e-6).all()
+    for q in range(0, 6000, 600):
+        some = block.found(order[q, :24])
+        want = [i for i in range(6000) if set(order[i, :8].tolist()) & set(order[q, :24].tolist())]
+        assert some.tolist() == want and q in want
+        place = {int(v): k for k, v in enumerate(order[q])}
+        for i, gap in zip(some[:20], block.footrule(order[q], some, free)[:20]):
+            other = {int(v): k for k, v in enumerate(order[i])}
+            assert gap == sum(abs(place.get(v, 64) - other.get(v, 64)) for v in place | other)
+        assert (free == 64).all()
+        read.append(len(some))
+    assert np.mean(read) < 0.25 * 6000
+
+
 def test_neighbour_edges(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (50, [2.0, 0.0]), (7, [0.0, 1.0]), (None, [1.0, 1.0]), (8, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("ids", F.lit(1)).withColumn("v", F.lit(2))
