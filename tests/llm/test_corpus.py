@@ -51,8 +51,9 @@ def near_copies():
     return rows
 
 
-@pytest.mark.parametrize("k", [4, 5])
-def test_near_duplicates_equal_all_pairs(spark, k, monkeypatch):
+@pytest.mark.parametrize("k,coarse", [(4, 8192), (5, 12)])
+def test_near_duplicates_equal_all_pairs(spark, k, coarse, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "COARSE", coarse)
     monkeypatch.setattr(near_duplicates, "BLOCK", 8)
     monkeypatch.setattr(near_duplicates, "BLOCK_BYTES", 6000)
     rows = near_copies()
