@@ -49,8 +49,13 @@ QUERIES = {
 }
 
 
+def _digits(column: str) -> int:
+    """Places are parts of a frame, areas are thousands of pixels."""
+    return 6 if "area" in column or column in ("ratio", "late_left", "late_right") else 12
+
+
 def _rounded(df):
-    return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(c, _digits(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 #: Scene statistics step by step, over boxes `bx`.
@@ -98,12 +103,12 @@ c AS (
       WHEN left_area > 1.2::DOUBLE * right_area THEN left_at ELSE right_at END AS place
   FROM {fx_scenes} s LEFT JOIN stats USING (video_id, scene_no))
 SELECT video_id, scene_no, round(coalesce(last_value(CASE WHEN most IS NOT NULL THEN greatest(0.2::DOUBLE, least(0.8::DOUBLE, place)) END IGNORE NULLS)
-  OVER (PARTITION BY video_id ORDER BY scene_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.5::DOUBLE), 9) AS focus
+  OVER (PARTITION BY video_id ORDER BY scene_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.5::DOUBLE), 12) AS focus
 FROM c"""
 _SPEAKER = "CASE (video_id + scene_no) % 3 WHEN 0 THEN 'SPEAKER_00' WHEN 1 THEN 'SPEAKER_01' END"
 _FIT = "bx AS (SELECT * FROM {fx_boxes} WHERE w >= 16 AND area >= 0.0005::DOUBLE * 1920 * 1080 AND score >= 0.5::DOUBLE)"
 ORACLES = {k: oracle(v) for k, v in {
-    "a14_scene_stats": f"WITH bx AS (SELECT * FROM {{fx_boxes}}),{_STATS} SELECT * REPLACE ({', '.join(f'round("{c}", 9) AS "{c}"' for c in _ROUNDED)}) FROM stats",
+    "a14_scene_stats": f"WITH bx AS (SELECT * FROM {{fx_boxes}}),{_STATS} SELECT * REPLACE ({', '.join(f'round("{c}", {_digits(c)}) AS "{c}"' for c in _ROUNDED)}) FROM stats",
     "a15_scene_focus": f"WITH {_FIT},{_STATS},{_FOCUS}".replace("SPEAKER AS speaker", f"{_SPEAKER} AS speaker").replace("SPEAKER IS", f"{_SPEAKER} IS")
     .replace("contains(SPEAKER,", f"contains({_SPEAKER},").replace("suffix(SPEAKER,", f"suffix({_SPEAKER},").replace("SCALED", "3413.0::DOUBLE"),
     "a15_scene_focus_unheard": f"WITH bx AS (SELECT * FROM {{fx_boxes}}),{_STATS},{_FOCUS}".replace("SPEAKER", "CAST(NULL AS VARCHAR)").replace("SCALED", "1900.0::DOUBLE"),
@@ -139,7 +144,7 @@ x AS (
   SELECT *, CASE WHEN two AND prim IS NOT NULL THEN (1 - pull) * near + pull * coalesce(mean, 0) WHEN two THEN coalesce(0.5::DOUBLE * (l + r) / 2 + 0.5::DOUBLE * mean, (l + r) / 2)
     WHEN mean < 0.15::DOUBLE OR mean > 0.85::DOUBLE THEN 0.5::DOUBLE ELSE mean END AS f
   FROM u)
-SELECT video_id, clip_no, round(CASE WHEN f IS NOT NULL THEN greatest(0.2::DOUBLE, least(0.8::DOUBLE, f)) END, 9) AS focus,
-  round(CASE WHEN two THEN l END, 9) AS left_at, round(CASE WHEN two THEN r END, 9) AS right_at
+SELECT video_id, clip_no, round(CASE WHEN f IS NOT NULL THEN greatest(0.2::DOUBLE, least(0.8::DOUBLE, f)) END, 12) AS focus,
+  round(CASE WHEN two THEN l END, 12) AS left_at, round(CASE WHEN two THEN r END, 12) AS right_at
 FROM x""",
 }.items()}
