@@ -157,21 +157,27 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def sample(rows: DataFrame, group: str, most_rows: int, most_bytes: int, groups: DataFrame | None = None) -> DataFrame:
-    """A bounded part of rows (i, text, ...): of each group, the first rows in the order of hashed ids, at most
-    most_rows of them, and only while their texts add up to most_bytes at most; ids whose texts hold more than an
-    eighth of that come last, the shorter first, and a group's first row is always taken.
+    """A bounded part of rows (i, text, ...): of each group, the first ids in the order of their hashes, at most
+    most_rows of them, and only while their texts add up to most_bytes at most. Texts of more than an eighth of that
+    are passed over, but a group that has no other gives its shortest one.
 
     `group` is a column of rows or, where it is given, of groups (i, group). An id counts once in a group, with one
-    of its texts, however many rows repeat it. Sizes and ids are ranked; only the texts of the chosen ids move."""
+    of its texts, however many rows repeat it. Ids are cut by their hash before they are ranked, so that a ranking
+    sees about four times most_rows of a group however large it is; only the texts of the chosen ids move."""
     rows = rows.withColumn("th", F.xxhash64("text"))
     keys = [group, "i", "th"] if groups is None else ["i", "th"]
     ids = rows.select(*keys, F.octet_length("text").cast("long").alias("size"))
     ids = ids if groups is None else ids.join(groups, "i")
-    ids = ids.groupBy(group, "i").agg(F.min(F.struct("size", "th")).alias("s")).select(group, "i", "s.size", "s.th")
-    ids = ids.withColumn("late", F.greatest("size", F.lit(most_bytes // 8)))
-    order = Window.partitionBy(group).orderBy("late", F.xxhash64("i"), "i")
-    ranked = ids.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most_rows)
+    ids = ids.groupBy(group, "i").agg(F.min(F.struct("size", "th")).alias("s")).select(group, "i", "s.size", "s.th", F.xxhash64("i").alias("h"))
+    short = ids.filter(F.col("size") <= most_bytes // 8)
+    counts = short.groupBy(group).agg(F.count("*").alias("n"))  # a row for each group
+    share = (4 * most_rows + 64) / F.col("n")
+    first = short.join(F.broadcast(counts), group).filter((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= share)
+    order = Window.partitionBy(group).orderBy("h", "i")
+    ranked = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most_rows)
     ranked = ranked.withColumn("total", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    chosen = ranked.filter((F.col("rank") == 1) | (F.col("total") <= most_bytes)).select(group, "i", "th")
+    long = ids.filter(F.col("size") > most_bytes // 8).groupBy(group).agg(F.min(F.struct("size", "h", "i", "th")).alias("s"))
+    long = long.join(F.broadcast(counts), group, "left_anti").select(group, "s.i", "s.th")
+    chosen = ranked.filter(F.col("total") <= most_bytes).select(group, "i", "th").unionByName(long)
     # At most most_rows rows of two numbers and a name for each group.
     return rows.join(F.broadcast(chosen), keys).dropDuplicates([group, "i", "th"]).drop("th")
