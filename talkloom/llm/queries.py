@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and the SQL that gives the same rows where there is one."""
 
-from talkloom.llm import attribution, chat, decontaminate, grammar, language, line_dedup, manifest, mixing, near_duplicates, neighbours, toxicity
+from talkloom.llm import attribution, chat, decontaminate, grammar, language, line_dedup, manifest, mixing, near_duplicates, negatives, neighbours, piecewise, toxicity
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_fingerprints": piecewise.op12_fingerprints,
     "op13_manifest": manifest.op13_manifest,
 }
 ORACLES = {
@@ -21,5 +23,6 @@ ORACLES = {
     "op6_near_duplicates": near_duplicates.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
+    "op11_hard_negatives": negatives.ORACLE,
     "op13_manifest": manifest.ORACLE,
 }

@@ -18,6 +18,8 @@ COLUMNS = {
     "op8_mixing": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
     "op9_neighbours": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
     "op10_decontaminate": {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"},
+    "op11_hard_negatives": {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint", "positive_score": "bigint", "negative_score": "bigint"},
+    "op12_fingerprints": {"doc_id": "bigint", "n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"},
     "op13_manifest": {"doc_id": "bigint", "leaf": "string", "subroot": "string", "root": "string", "proof_sha256": "string", "folded_root": "string", "verified": "boolean"},
 }
 
@@ -36,7 +38,7 @@ def test_columns_rows_and_sql(spark, name):
         assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
     if name in queries.ORACLES:
         con = duckdb.connect()
-        for table in ("documents", "benchmark", "conversations"):
+        for table in ("documents", "benchmark", "conversations", "embeddings"):
             con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
         got = con.sql(queries.ORACLES[name])
         order = sorted(range(len(got.columns)), key=lambda i: got.columns[i])
