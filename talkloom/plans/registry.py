@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_intervals", "q_turns", "q_text", "q_ranking", "q_chunking", "q_timing", "q_repair", "q_signals", "q_focus", "q_subtitles", "q_relabel", "q_io")
+MODULES = ("q_intervals", "q_turns", "q_text", "q_ranking", "q_chunking", "q_timing", "q_repair", "q_signals", "q_focus", "q_subtitles", "q_relabel", "q_io", "q_streams")
 
 
 def _found(what: str) -> dict:
