@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from talkloom.operators import focus as C
 from talkloom.operators import selection as L
+from talkloom.operators.tracks import track_boxes
 from talkloom.plans.fixtures import oracle, view
 
 
@@ -37,7 +38,7 @@ def _tracks(v):
     """Boxes in four lanes of a frame, so that those of neighbouring frames overlap."""
     boxes = v("fx_boxes").withColumn("x", (F.col("box_no") % 4) * 480 + (F.col("box_no") % 7) * 4).withColumn("y", F.lit(100.0))
     boxes = boxes.withColumn("w", F.lit(60.0)).withColumn("h", F.lit(70.0)).withColumn("center_x", F.col("x") + 30).withColumn("x", F.col("x").cast("double"))
-    return C.track_boxes(v("fx_boxes").select("video_id", "ts_ms"), boxes)
+    return track_boxes(v("fx_boxes").select("video_id", "ts_ms"), boxes).withColumn("center_x", F.round("center_x", 6))
 
 
 QUERIES = {
@@ -147,4 +148,31 @@ x AS (
 SELECT video_id, clip_no, round(CASE WHEN f IS NOT NULL THEN greatest(0.2::DOUBLE, least(0.8::DOUBLE, f)) END, 12) AS focus,
   round(CASE WHEN two THEN l END, 12) AS left_at, round(CASE WHEN two THEN r END, 12) AS right_at
 FROM x""",
+    "w17_track_boxes": """
+WITH RECURSIVE b AS (
+  SELECT video_id, ts_ms, box_no, CAST(box_no % 4 * 480 + box_no % 7 * 4 AS DOUBLE) AS x, row_number() OVER w AS k,
+    ts_ms IS DISTINCT FROM lag(ts_ms) OVER w AS first, ts_ms IS DISTINCT FROM lead(ts_ms) OVER w AS last
+  FROM {fx_boxes} WINDOW w AS (PARTITION BY video_id ORDER BY ts_ms, box_no)),
+-- A box a step. tracks: those not forgotten after it; taken: by a box of its frame; gone: what a frame's end predicts.
+r(video_id, k, ts_ms, box_no, made, tracks, track_id, center_x, gone) AS (
+  SELECT video_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, list_filter([{'n': 0::BIGINT, 'x': 0::DOUBLE, 'c': 0::DOUBLE, 'hits': 0, 'unseen': 0, 'no': 0::BIGINT, 'taken': false}], lambda t: false),
+    0::BIGINT, 0::DOUBLE, list_filter([{'n': 0::BIGINT, 'c': 0::DOUBLE, 'no': 0::BIGINT}], lambda t: false)
+  FROM (SELECT DISTINCT video_id FROM b)
+  UNION ALL
+  SELECT b.video_id, b.k, b.ts_ms, b.box_no, made + CASE WHEN own IS NULL THEN 1 ELSE 0 END,
+    CASE WHEN b.last THEN list_filter(upd, lambda t: t.unseen <= 15) ELSE upd END,
+    coalesce(own, made + 1), list_filter(upd, lambda t: t.n = coalesce(own, made + 1))[1].c,
+    CASE WHEN b.last THEN list_transform(list_filter(upd, lambda t: t.unseen BETWEEN 1 AND 5 AND t.hits >= 3), lambda t: {'n': t.n, 'c': t.c, 'no': t.no})
+      ELSE list_filter(gone, lambda t: false) END
+  FROM r JOIN b ON b.video_id = r.video_id AND b.k = r.k + 1,
+    LATERAL (SELECT CASE WHEN b.first THEN list_transform(r.tracks, lambda t: {'n': t.n, 'x': t.x, 'c': t.c, 'hits': t.hits, 'unseen': t.unseen + 1, 'no': t.no, 'taken': false})
+      ELSE r.tracks END AS now) n,
+    LATERAL (SELECT -list_max(list_filter(list_transform(list_filter(now, lambda t: NOT t.taken),
+      lambda t: {'fit': greatest(0::DOUBLE, 60 - abs(t.x - b.x)) * 70 / (8400 - greatest(0::DOUBLE, 60 - abs(t.x - b.x)) * 70), 'm': -t.n}), lambda t: t.fit > 0.25::DOUBLE)).m AS own) o,
+    LATERAL (SELECT CASE WHEN own IS NULL THEN list_append(now, {'n': made + 1, 'x': b.x, 'c': b.x + 30, 'hits': 1, 'unseen': 0, 'no': b.box_no, 'taken': true})
+      ELSE list_transform(now, lambda t: CASE WHEN t.n = own
+        THEN {'n': t.n, 'x': b.x, 'c': 0.3::DOUBLE * t.c + 0.7::DOUBLE * (b.x + 30), 'hits': t.hits + 1, 'unseen': 0, 'no': b.box_no, 'taken': true} ELSE t END) END AS upd) u)
+SELECT video_id, ts_ms, box_no, track_id, round(center_x, 6) AS center_x, false AS predicted FROM r WHERE k > 0
+UNION ALL
+SELECT video_id, ts_ms, g.no, g.n, round(g.c, 6), true FROM (SELECT video_id, ts_ms, unnest(gone) AS g FROM r WHERE k > 0) y""",
 }.items()}

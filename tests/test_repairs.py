@@ -4,6 +4,7 @@ import pytest
 
 from talkloom.operators import alignment as A
 from talkloom.operators import focus as C
+from talkloom.operators.tracks import track_boxes
 from talkloom.operators import relabel as R
 from talkloom.operators import repair as P
 from talkloom.operators import selection as L
@@ -139,7 +140,7 @@ def test_tracks_survive_missed_frames_and_are_predicted(spark):
     at = lambda ts, x: (1, ts, 0, float(x), 0.0, 100.0, 100.0, x + 50.0, 1e4, 0.9)
     boxes = spark.createDataFrame([at(0, 0), at(1, 10), at(2, 20), at(4, 20), at(5, 900)], BOXES)
     frames = spark.createDataFrame([(1, t) for t in range(12)], "video_id long, ts_ms long")
-    got = {(r.ts_ms, r.track_id): (round(r.center_x, 3), r.predicted) for r in C.track_boxes(frames, boxes).collect()}
+    got = {(r.ts_ms, r.track_id): (round(r.center_x, 3), r.predicted) for r in track_boxes(frames, boxes).collect()}
     assert got[0, 1] == (50.0, False) and got[1, 1] == (57.0, False) and got[2, 1] == (66.1, False)
     assert got[3, 1] == (66.1, True) and got[4, 1] == (68.83, False) and got[5, 1] == (68.83, True) and got[5, 2] == (950.0, False)
     assert (9, 1) in got and (10, 1) not in got and (6, 2) not in got
