@@ -25,6 +25,7 @@ OTHER_SYMBOLS = r"""[^0-9A-Za-zА-Яа-яЁё.,!?;:'"()\- ]+"""
 DEFAULT_DESCRIPTION = "Смотрите до конца! 🔥"
 DEFAULT_TAGS = ["#другое", "#подкаст", "#мудрость"]
 BARE_TAG = r'([,\[])\s*(#[A-Za-z0-9_\u0400-\u04FF]+)"?\s*([,\]])'
+EPISODE_MARKS = ["ep", "e", "#", "episode"]
 GENERIC_TAGS = ["#shorts", "#viral", "#рекомендации", "#интересное", "#факты", "#trending", "#fyp"]
 
 _WHITE = r"[ \t\n\r\f]+"
@@ -148,41 +149,61 @@ def two_lines(text: Column) -> Column:
     return F.when(F.size(w) < 6, F.array_join(w, " ")).otherwise(F.concat(F.array_join(F.slice(w, F.lit(1), half), " "), F.lit("\\N"), F.array_join(F.slice(w, half + 1, F.size(w) - half), " ")))
 
 
-def partial_fields(text: Column) -> Column:
-    """title, description and hashtags of a reply that was cut off, with defaults; null without a title."""
-    title = F.nullif(F.regexp_extract(text, r'"title"\s*:\s*"([^"]+)"', 1), F.lit(""))
-    has = text.rlike(r'"description"\s*:\s*"')
-    desc = F.concat(F.regexp_replace(F.regexp_extract(text, r'"description"\s*:\s*"([^"]*)', 1), r"[ \t\n\r\f]+$", ""), F.lit("..."))
-    inside = F.regexp_extract(text, r'(?s)"hashtags"\s*:\s*\[(.*?)\]', 1)
-    quoted = F.regexp_extract_all(inside, F.lit(r'"(#[^"]+)"'), 1)
-    bare = F.regexp_extract_all(inside, F.lit(r"(#[A-Za-z0-9_\u0400-\u04FF]+)"), 1)
-    tags = F.when(F.size(quoted) > 0, quoted).when(F.size(bare) > 0, bare).otherwise(F.array(*[F.lit(x) for x in DEFAULT_TAGS]))
-    return F.when(title.isNotNull(), F.struct(title.alias("title"), F.when(has, desc).otherwise(DEFAULT_DESCRIPTION).alias("description"), tags.alias("hashtags")))
+def _after(text: Column, name: str) -> Column:
+    """What follows a field's name and colon; empty without the field."""
+    return F.coalesce(F.get(F.split(text, rf'"{name}"\s*:\s*', 2), F.lit(1)), F.lit(""))
 
 
-def _is_name(text: Column) -> Column:
-    return text.rlike(r"^[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÿ\-'.]*( [A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÿ\-'.]*){1,2}$")
+def _between(rest: Column, opens: str, closes: str) -> tuple[Column, Column]:
+    """What lies between two marks at the begin of a text, or from the first one to the end; whether it is closed."""
+    inner = F.when(F.startswith(rest, F.lit(opens)), F.substring(rest, F.lit(2), F.length(rest)))
+    return F.substring_index(inner, closes, 1), F.contains(inner, F.lit(closes))
 
 
-def _last_name(text: Column) -> Column:
+def partial_fields(text: Column) -> Column:
+    """title, description and hashtags of a reply that was cut off, with defaults; null without a title. A title must
+    be closed; a description gets three dots; where tags are quoted, those that are not don't count."""
+    title, closed = _between(_after(text, "title"), '"', '"')
+    desc, _ = _between(_after(text, "description"), '"', '"')
+    inside, ended = _between(_after(text, "hashtags"), "[", "]")
+    items = F.transform(F.split(F.when(ended, inside).otherwise(F.lit("")), ","), lambda x: F.trim(x))
+    quoted = F.filter(items, lambda x: x.rlike('^"#[^"]+"$'))
+    bare = F.filter(items, lambda x: F.startswith(x, F.lit("#")) & (F.length(x) > 1))
+    unquoted = lambda xs: F.transform(xs, lambda x: F.replace(x, F.lit('"'), F.lit("")))
+    tags = F.when(F.size(quoted) > 0, unquoted(quoted)).when(F.size(bare) > 0, unquoted(bare)).otherwise(F.array(*[F.lit(x) for x in DEFAULT_TAGS]))
+    described = F.coalesce(F.concat(F.regexp_replace(desc, r"\s+$", ""), F.lit("...")), F.lit(DEFAULT_DESCRIPTION))
+    return F.when(closed & (title != ""), F.struct(title.alias("title"), described.alias("description"), tags.alias("hashtags")))
+
+
+def _name(w: Column) -> Column:
+    """Words that look like a name, joined: two or three, each of letters and . - ' with a capital first; else null."""
+    fits = F.size(w).between(2, 3) & F.forall(w, lambda x: x.rlike(r"^\p{Lu}") & x.rlike(r"^[\p{IsLatin}.'-]+$"))
+    return F.when(fits, F.array_join(w, " "))
+
+
+def _name_at_end(w: Column) -> Column:
     """The last two, else three, words where they look like a name."""
-    w = words(text)
-    tail = lambda n: F.when(F.size(w) >= n, F.array_join(F.slice(w, F.size(w) - n + 1, F.lit(n)), " "))
-    return F.when(_is_name(tail(2)), tail(2)).when(_is_name(tail(3)), tail(3))
+    tail = lambda n: F.slice(w, F.greatest(F.size(w) - (n - 1), F.lit(1)), F.lit(n))
+    return F.coalesce(_name(tail(2)), _name(tail(3)))
 
 
 def guest_name(title: Column) -> Column:
-    """A guest's name in a recording's title: two or three capitalised words before an underscore, else the
-    right-most part that is a name, else the last words; empty without one."""
-    base = F.trim(F.regexp_replace(F.regexp_replace(F.trim(title), r"\.[a-zA-Z0-9]+$", ""), r"\s*[(\[][^)\]]{1,30}[)\]]\s*$", ""))
-    ahead = squeeze(F.regexp_extract(base, r"^([A-Z][a-zA-Z\s\-.']{3,35})_", 1))
-    parts = F.reverse(F.transform(F.split(F.regexp_replace(base, r"\s*[_|]\s*|\s+[-–—]\s+", "\u0001"), "\u0001"), F.trim))
+    """A guest's name in a recording's title, whose file type and trailing bracket don't count; empty without one.
+
+    In this order: the part before the first underscore; the right-most of the parts (between underscores, bars and
+    dashes set in spaces) that gives one, where parts that name an episode give none and parts with numbers or marks
+    give their last words; the title's last words."""
+    base = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(title), r"\.\w{1,5}$", "")), r"[(\[][^()\[\]]*[)\]]$", ""))
+    parts = F.transform(F.reverse(F.split(base, r"[_|]| [-–—] ")), words)
 
-    def of_part(p: Column) -> Column:
-        return F.when(p.rlike(r"(?i)^(EP|E|#|episode)\s*\d+"), None).when(p.rlike(r"[$\d!?]"), _last_name(p)).when(_is_name(squeeze(p)), p)
+    def of_part(w: Column) -> Column:
+        mark = F.regexp_replace(F.lower(F.coalesce(F.get(w, F.lit(0)), F.lit(""))), "[0-9].*", "")
+        told = F.exists(w, lambda x: x.rlike("[0-9$!?]"))
+        return F.when(told & mark.isin(EPISODE_MARKS), None).when(told, _name_at_end(w)).otherwise(_name(w))
 
     found = F.get(F.filter(F.transform(parts, of_part), lambda x: x.isNotNull()), F.lit(0))
-    return F.when(_is_name(ahead), ahead).otherwise(F.coalesce(found, _last_name(base), F.lit("")))
+    first = F.when(F.contains(base, F.lit("_")), _name(words(F.substring_index(base, "_", 1))))
+    return F.when(title.isNotNull(), F.coalesce(first, found, _name_at_end(words(base)), F.lit("")))
 
 
 def pick_hashtags(tags: Column, category: Column, defaults: Column, brand: str = "#") -> Column:

@@ -1,7 +1,7 @@
 """Cutting recordings and texts into chunks.
 
-Rules in which each cut depends on the one before are folds over one recording (bounded: two hours), dealt by
-video_id with applyInPandas; the others are window functions.
+Rules in which each cut depends on the one before are folds over one recording (bounded: two hours): where the fold
+keeps cuts alone, aggregate() over its sorted rows, in the JVM; else applyInPandas. The others are window functions.
 """
 
 from __future__ import annotations
@@ -44,25 +44,24 @@ def time_windows(segs: DataFrame, min_s: int, max_s: int, sizes: tuple[int, ...]
     return made.withColumn("n", first).filter("n = 1").select("video_id", "size", F.col("w_start").alias("start_ms"), F.col("w_end").alias("end_ms"), "text")
 
 
+def _rows_in_order(df: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """(video_id, rows): the rows of each recording in order, as an array for the folds below, which run in the JVM."""
+    row = F.struct(*order, *[c for c in columns if c not in order])
+    return df.groupBy("video_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+
 def large_chunks(segs: DataFrame, size_ms: int = 600_000, overlap_ms: int = 60_000) -> DataFrame:
     """Chunks of size_ms from a segment's start, at least one segment each; the next one begins at the first
     segment that starts size_ms - overlap_ms after this one's start or later."""
-
-    def run(rows: list[dict]) -> list[dict]:
-        out, i = [], 0
-        while i < len(rows):
-            start, j = rows[i]["start_ms"], i
-            while j < len(rows) and rows[j]["end_ms"] <= start + size_ms:
-                j += 1
-            j = max(j, i + 1)
-            out.append({"video_id": rows[0]["video_id"], "chunk_no": len(out), "start_ms": start, "end_ms": rows[j - 1]["end_ms"], "first_seg": rows[i]["seg_no"], "last_seg": rows[j - 1]["seg_no"]})
-            k = i
-            while k < len(rows) and rows[k]["start_ms"] < start + size_ms - overlap_ms:
-                k += 1
-            i = max(k, i + 1)
-        return out
-
-    return _fold(segs.select("video_id", "seg_no", "start_ms", "end_ms"), ["seg_no"], run, "video_id long, chunk_no long, start_ms long, end_ms long, first_seg long, last_seg long")
+    step = size_ms - overlap_ms
+    cuts = f"""aggregate(sequence(2, size(rows)), named_struct('cuts', array(1), 'start', rows[0].start_ms),
+      (a, i) -> IF(rows[i - 1].start_ms >= a.start + {step}, named_struct('cuts', array_append(a.cuts, i), 'start', rows[i - 1].start_ms), a), a -> a.cuts)"""
+    listed = _rows_in_order(segs, ["seg_no"], ["start_ms", "end_ms"])
+    chunks = listed.select("video_id", "rows", F.posexplode(F.expr(f"IF(size(rows) < 2, array(1), {cuts})")).alias("chunk_no", "at"))
+    # The first segment from the chunk's own one on that ends too late for it; a chunk has one segment at least.
+    late = f"array_position(transform(slice(rows, at, size(rows)), r -> r.end_ms > rows[at - 1].start_ms + {size_ms}), true)"
+    chunks = chunks.withColumn("late", F.expr(late)).withColumn("to", F.expr("cast(IF(late = 0, size(rows), at + greatest(late, 2) - 2) AS int)"))
+    return chunks.selectExpr("video_id", "cast(chunk_no AS long) AS chunk_no", "rows[at - 1].start_ms AS start_ms", "rows[to - 1].end_ms AS end_ms", "rows[at - 1].seg_no AS first_seg", "rows[to - 1].seg_no AS last_seg")
 
 
 def boundary_times(chunks: DataFrame, words_: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -83,36 +82,24 @@ def boundary_times(chunks: DataFrame, words_: DataFrame, numbers: DataFrame) ->
 def thin_boundaries(bounds: DataFrame, min_ms: int = 30_000) -> DataFrame:
     """Bounds of a recording (first and last are its edges) at least min_ms apart; the last edge always stays and
     takes the place of one that is too near."""
-
-    def run(rows: list[dict]) -> list[dict]:
-        times = [r["at_ms"] for r in rows]
-        kept = times[:1]
-        for t in times[1:]:
-            if t - kept[-1] >= min_ms:
-                kept.append(t)
-        if kept[-1] != times[-1]:
-            if len(kept) > 1 and times[-1] - kept[-1] < min_ms:
-                kept[-1] = times[-1]
-            else:
-                kept.append(times[-1])
-        return [{"video_id": rows[0]["video_id"], "n": i, "at_ms": t} for i, t in enumerate(kept)]
-
-    return _fold(bounds.select("video_id", "at_ms"), ["at_ms"], run, "video_id long, n long, at_ms long")
+    listed = bounds.groupBy("video_id").agg(F.array_sort(F.collect_list("at_ms")).alias("ts")).withColumn("stop", F.element_at("ts", -1))
+    kept = F.aggregate(F.slice("ts", 2, F.size("ts")), F.slice("ts", 1, 1), lambda k, t: F.when(t - F.element_at(k, -1) >= min_ms, F.array_append(k, t)).otherwise(k))
+    end, stop = F.element_at("kept", -1), F.col("stop")
+    replaced = F.concat(F.slice("kept", F.lit(1), F.size("kept") - 1), F.array(stop))
+    whole = F.when(end == stop, F.col("kept")).when((F.size("kept") > 1) & (stop - end < min_ms), replaced).otherwise(F.array_append("kept", stop))
+    made = listed.withColumn("kept", kept).select("video_id", F.posexplode(whole).alias("n", "at_ms"))
+    return made.select("video_id", F.col("n").cast("long").alias("n"), "at_ms")
 
 
 def split_by_span(segs: DataFrame, span_ms: int = 180_000) -> DataFrame:
     """Adds chunk_no: a chunk ends with the segment at which it spans span_ms or more."""
-
-    def run(rows: list[dict]) -> list[dict]:
-        n, start, out = 0, None, []
-        for r in rows:
-            start = r["start_ms"] if start is None else start
-            out.append({"video_id": r["video_id"], "seg_no": r["seg_no"], "chunk_no": n})
-            if r["end_ms"] - start >= span_ms:
-                n, start = n + 1, None
-        return out
-
-    return _fold(segs.select("video_id", "seg_no", "start_ms", "end_ms"), ["seg_no"], run, "video_id long, seg_no long, chunk_no long")
+    # The places at which chunks begin; start is null until the next chunk's first segment is met.
+    cuts = f"""aggregate(sequence(1, size(rows)), named_struct('cuts', array(1), 'start', cast(null AS bigint)), (a, i) ->
+      IF(rows[i - 1].end_ms - coalesce(a.start, rows[i - 1].start_ms) >= {span_ms}, named_struct('cuts', array_append(a.cuts, i + 1), 'start', cast(null AS bigint)),
+        named_struct('cuts', a.cuts, 'start', coalesce(a.start, rows[i - 1].start_ms))), a -> a.cuts)"""
+    listed = _rows_in_order(segs, ["seg_no"], ["start_ms", "end_ms"]).withColumn("cuts", F.expr(cuts))
+    at = listed.select("video_id", "cuts", F.posexplode("rows").alias("i", "r"))
+    return at.selectExpr("video_id", "r.seg_no AS seg_no", "cast(size(filter(cuts, c -> c <= i + 1)) - 1 AS long) AS chunk_no")
 
 
 def dedup_chunks(chunks: DataFrame, tolerance_ms: int = 1000) -> DataFrame:

@@ -65,18 +65,18 @@ def subtitle_rows(words_: DataFrame, max_chars: int = 40, gap_ms: int = 300) ->
 
 def merge_short_turns(turns: DataFrame, short_ms: int = 500) -> DataFrame:
     """From the last turn back, a turn that lasts under short_ms (but not nothing) joins the one before, which may
-    then be judged by its new length: a fold from the right."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("turn_no").to_dict("records")
-        for i in range(len(rows) - 1, 0, -1):
-            if 0 < rows[i]["end_ms"] - rows[i]["start_ms"] < short_ms:
-                rows[i - 1]["end_ms"] = max(rows[i - 1]["end_ms"], rows[i]["end_ms"])
-                rows[i - 1]["text"] = " ".join(x for x in (rows[i - 1]["text"], rows[i]["text"]) if x)
-                del rows[i]
-        return pd.DataFrame(rows, columns=["video_id", "turn_no", "text", "start_ms", "end_ms"])
-
-    return turns.select("video_id", "turn_no", "text", "start_ms", "end_ms").groupBy("video_id").applyInPandas(run, "video_id long, turn_no long, text string, start_ms long, end_ms long")
+    then be judged by its new length: a fold from the right over a recording's turns, in the JVM, that keeps how far
+    each run reaches; texts are joined afterwards."""
+    listed = turns.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("turn_no", "text", "start_ms", "end_ms"))).alias("rows"))
+    # stops: the last place of each run, right to left; end: of what has been joined to the turn that is judged now.
+    stops = f"""aggregate(sequence(size(rows) - 1, 1), named_struct('stops', array(size(rows)), 'end', rows[size(rows) - 1].end_ms), (a, i) ->
+      IF(a.end - rows[i].start_ms > 0 AND a.end - rows[i].start_ms < {short_ms}, named_struct('stops', a.stops, 'end', greatest(rows[i - 1].end_ms, a.end)),
+        named_struct('stops', array_append(a.stops, i), 'end', rows[i - 1].end_ms)), a -> array_sort(a.stops))"""
+    runs = listed.withColumn("stops", F.expr(f"IF(size(rows) < 2, array(size(rows)), {stops})"))
+    runs = runs.select("video_id", "rows", F.col("stops"), F.posexplode("stops").alias("k", "stop")).withColumn("first", F.expr("IF(k = 0, 1, stops[k - 1] + 1)"))
+    run = runs.select("video_id", F.expr("slice(rows, first, stop - first + 1)").alias("run"))
+    said = "IF(size(run) = 1, run[0].text, array_join(filter(run.text, t -> t <> ''), ' '))"
+    return run.selectExpr("video_id", "run[0].turn_no AS turn_no", f"{said} AS text", "run[0].start_ms AS start_ms", "array_max(run.end_ms) AS end_ms")
 
 
 def expansion_candidates(turns: DataFrame) -> DataFrame:

@@ -93,15 +93,16 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         SELECT *, {_CRITERIA}, (video_id * 7 + cand_no) % 11 = 0 AS needs_prev, (video_id * 5 + cand_no) % 13 = 0 AS needs_next,
           CASE (video_id + cand_no) % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS benefit
         FROM {{fx_cands}}""",
-    "fx_over": """
+    "fx_over": tuple(
+        f"""
         SELECT v.video_id, CAST(row_number() OVER (PARTITION BY v.video_id ORDER BY start_ms, end_ms) - 1 AS BIGINT) AS cand_no, start_ms, end_ms,
           CAST(((v.video_id * 31 + start_ms / 1000 * 17 + end_ms / 1000 * 13) % 101) / 100.0D AS DOUBLE) AS score
         FROM (
           SELECT video_id, k * 15000 AS start_ms, k * 15000 + w AS end_ms
-          FROM (SELECT video_id, CAST(max(end_ms) AS BIGINT) AS stop FROM {fx_words} GROUP BY video_id) m,
-            (SELECT DISTINCT CAST(cand_no AS BIGINT) AS k FROM {fx_cands} WHERE cand_no < 40) ks,
-            (SELECT 30000 AS w UNION ALL SELECT 60000 UNION ALL SELECT 90000) ws
-          WHERE k * 15000 < stop) v""",
+          FROM (SELECT video_id, k, {widths} AS w FROM (SELECT video_id, {steps} AS k FROM (
+            SELECT video_id, CAST(max(end_ms) AS BIGINT) AS stop FROM {{fx_words}} GROUP BY video_id) m WHERE stop > 0) s) t) v"""
+        for steps, widths in (("explode(sequence(0L, (stop - 1) div 15000))", "explode(array(30000, 60000, 90000))"), ("unnest(range((stop - 1) // 15000 + 1))", "unnest([30000, 60000, 90000])"))
+    ),
     "fx_texts": """
         SELECT video_id, seg_no, speaker, start_ms, end_ms,
           CASE seg_no % 9 WHEN 0 THEN concat('“', text, '” — ok…') WHEN 1 THEN concat('[excitedly] ', text, '?!')

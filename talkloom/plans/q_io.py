@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from talkloom.operators.selection import queue_stats
 from talkloom.operators.subtitles import chars_to_words
 from talkloom.plans.fixtures import oracle, view
 from talkloom.sources import transcripts as S
+from talkloom.sources.versions import delete, new_path
 from talkloom.streaming import live as L
 
 
@@ -29,11 +28,6 @@ def _rttm_lines(v):
     return v("fx_diar").select("video_id", F.when(F.col("iv_no") % 6 == 5, "; comment").otherwise(line).alias("value"))
 
 
-def _shared(spark, name: str) -> str:
-    """A new folder under the one that the cluster shares."""
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/talkloom-{name}-{uuid.uuid4().hex}"
-
-
 def _exported(v):
     n = F.col("turn_no")
     turns = v("fx_cand_turns").withColumn("text_tr", F.concat(F.lit("[calm] "), F.translate("text", "aeiou", "AEIOU"))).withColumn("text", F.when(F.col("cand_no") % 3 > 0, F.col("text"))).withColumn("merged", n % 10 == 4)
@@ -50,20 +44,20 @@ def _transcripts(spark, sf_dir):
     words = words.withColumn("words", F.when(F.col("seg_no") % 5 != 4, F.col("words")))
     segs = v("fx_segs").join(words, ["video_id", "seg_no"]).select("video_id", F.struct("seg_no", sec("start_ms").alias("start"), sec("end_ms").alias("end"), "text", "speaker", "words").alias("s"))
     files = segs.groupBy("video_id").agg(F.array_sort(F.collect_list("s")).alias("segments")).withColumn("language", F.lit("en"))
-    path = _shared(spark, "transcripts")
+    path = new_path(spark, "transcripts")
     files.write.partitionBy("video_id").json(path)
     return S.read_transcripts(spark, f"{path}/*")
 
 
 def _rttm_files(spark, sf_dir):
-    path, v = _shared(spark, "rttm"), lambda name: view(spark, sf_dir, name)
+    path, v = new_path(spark, "rttm"), lambda name: view(spark, sf_dir, name)
     _rttm_lines(v).write.partitionBy("video_id").text(path)
     return S.read_rttm(spark, f"{path}/*")
 
 
 def _saved(spark, sf_dir):
     """Results of all recordings saved, and those of the recordings with a strong candidate loaded."""
-    path, scores = _shared(spark, "results"), view(spark, sf_dir, "fx_scores")
+    path, scores = new_path(spark, "results"), view(spark, sf_dir, "fx_scores")
     S.save_analysis(scores.select("video_id", "cand_no", "c0"), path)
     return S.load_analysis(spark, path, scores.filter("c1 > 0.9").select("video_id"))
 
@@ -79,7 +73,7 @@ def _alignments(spark, sf_dir):
     files = t.groupBy("video_id").agg(chars.alias("c"), F.array_sort(F.collect_list(segment)).alias("voice_segments"))
     at = lambda more: F.transform(F.sequence(F.lit(0), F.size("c") - 1), lambda i: (i + more) / 100)
     alignment = F.struct(F.col("c").alias("characters"), at(0).alias("character_start_times_seconds"), at(1).alias("character_end_times_seconds"))
-    path = _shared(spark, "alignment")
+    path = new_path(spark, "alignment")
     files.select("video_id", alignment.alias("alignment"), "voice_segments").write.partitionBy("video_id").json(path)
     chars = S.alignment_chars(S.read_alignment(spark, f"{path}/*"))
     return chars_to_words(chars)
@@ -93,11 +87,13 @@ def _catalog(spark, sf_dir):
 
 def _assigned(spark, sf_dir):
     """Words as they arrive, from files, with the speaker each gets; the stream runs until it has read all of them."""
-    v, path = lambda name: view(spark, sf_dir, name), _shared(spark, "live")
+    v, path = lambda name: view(spark, sf_dir, name), new_path(spark, "live")
     v("fx_words").select("video_id", "word_no", "word", "start_ms", "end_ms").write.parquet(f"{path}/words")
     words = spark.readStream.schema("video_id long, word_no long, word string, start_ms long, end_ms long").parquet(f"{path}/words")
     sink = lambda df, i: df.write.mode("overwrite").parquet(f"{path}/out/batch={i}")
-    L.live_assign(words, v("fx_diar"), sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    L.run_once(L.live_assign(words, v("fx_diar"), sink), f"{path}/state")
+    for done in ("words", "state"):
+        delete(spark, f"{path}/{done}")
     return spark.read.parquet(f"{path}/out").select("video_id", "word_no", "assigned")
 
 

@@ -130,19 +130,6 @@ CASE WHEN trim(text) = '' OR starts_with(trim(text), '[') THEN trim(text) WHEN s
 '[surprised] ' || trim(text) WHEN suffix(trim(text), '!') THEN '[enthusiastically] ' || trim(text) WHEN suffix(trim(text), '...') THEN
 '[thoughtfully] ' || trim(text) WHEN suffix(trim(text), '?') THEN '[curiously] ' || trim(text) WHEN regexp_matches(lower(text),
 'хаха|ахах|lol|haha|хех') THEN '[laughing] ' || trim(text) ELSE trim(text) END"""
-_NAME = "^[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÿ\\-''.]*( [A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÿ\\-''.]*){1,2}$"
-
-
-def _name(x: str) -> str:
-    """SQL: x looks like a name."""
-    return f"regexp_matches({x}, '{_NAME}')"
-
-
-def _tail(x: str) -> str:
-    """SQL: the last two, else three, words of x where they look like a name."""
-    w = _W.format(x)
-    part = lambda n: f"CASE WHEN len({w}) >= {n} THEN array_to_string({w}[-{n}:], ' ') END"
-    return f"CASE WHEN {_name(part(2))} THEN {part(2)} WHEN {_name(part(3))} THEN {part(3)} END"
 
 
 ORACLES = {k: oracle(v) for k, v in {
@@ -153,22 +140,26 @@ ORACLES = {k: oracle(v) for k, v in {
     "u4_replace_phrases": _o(_nest(X.FALSE_FRIENDS)),
     "u5_emotion_tag": _o(_EMOTION),
     "u5_given_emotion": _o("CASE WHEN seg_no % 2 = 0 AND trim(text) <> '' AND NOT starts_with(trim(text), '[') THEN '[calm] ' || trim(text) ELSE " + _EMOTION + " END"),
-    "u10_guest_name": f"""
+    "u10_guest_name": """
 WITH t AS (
   SELECT video_id, cand_no, CASE cand_no % 5 WHEN 0 THEN 'Ann Lee_ how to x.mp4' WHEN 1 THEN 'The Big Talk - Bob Ray Cox (4K)'
     WHEN 2 THEN 'Why $10k Matters! Jo Diaz | EP 54' WHEN 3 THEN 'Zed Om_' || text ELSE text END AS t
-  FROM {{fx_cands}}),
-b AS (
-  SELECT *, trim(regexp_replace(regexp_replace(trim(t), '\\.[a-zA-Z0-9]+$', ''), '\\s*[(\\[][^)\\]]{{1,30}}[)\\]]\\s*$', '')) AS b FROM t),
-a AS (
-  SELECT *, {_SQ.format("regexp_extract(b, '^([A-Z][a-zA-Z\\s\\-.'']{3,35})_', 1)")} AS ahead,
-    list_reverse(list_transform(string_split(regexp_replace(b, '\\s*[_|]\\s*|\\s+[-–—]\\s+', chr(1), 'g'), chr(1)), lambda p: trim(p))) AS ps
-  FROM b),
+  FROM {fx_cands}),
+b AS (SELECT *, trim(regexp_replace(trim(regexp_replace(trim(t), '\\.\\w{1,5}$', '')), '[(\\[][^()\\[\\]]*[)\\]]$', '')) AS b FROM t),
+-- Parts from the right (no 1), the whole title (no 999), and what stands before an underscore (no 0).
+p AS (
+  SELECT video_id, cand_no, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS no FROM (SELECT *, list_reverse(string_split_regex(b, '[_|]| [-–—] ')) AS ps FROM b)
+  UNION ALL SELECT video_id, cand_no, b, 999 FROM b
+  UNION ALL SELECT video_id, cand_no, split_part(b, '_', 1), 0 FROM b WHERE contains(b, '_')),
+w AS (SELECT *, list_filter(string_split_regex(p, '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS w, regexp_matches(p, '[0-9$!?]') AS told FROM p),
+c AS (
+  SELECT *, unnest(CASE WHEN no = 0 OR no < 999 AND NOT told THEN [w] WHEN no < 999 AND told AND regexp_replace(lower(coalesce(w[1], '')), '[0-9].*', '') IN ('ep', 'e', '#', 'episode')
+    THEN [] ELSE [w[greatest(len(w) - 1, 1):], w[greatest(len(w) - 2, 1):]] END) AS n FROM w),
 f AS (
-  SELECT *, list_filter(list_transform(ps, lambda p: CASE WHEN regexp_matches(p, '(?i)^(EP|E|#|episode)\\s*\\d+') THEN NULL
-    WHEN regexp_matches(p, '[$\\d!?]') THEN {_tail("p")} WHEN {_name(_SQ.format("p"))} THEN p END), lambda x: x IS NOT NULL)[1] AS found
-  FROM a)
-SELECT video_id, cand_no, CASE WHEN {_name("ahead")} THEN ahead ELSE coalesce(found, {_tail("b")}, '') END AS out FROM f""",
+  SELECT video_id, cand_no, arg_min(array_to_string(n, ' '), no * 10 + len(n)) AS name FROM c
+  WHERE len(n) BETWEEN 2 AND 3 AND len(list_filter(n, lambda x: NOT regexp_matches(x, '^\\p{{Lu}}') OR NOT regexp_matches(x, '^[\\p{{Latin}}.''-]+$'))) = 0
+  GROUP BY ALL)
+SELECT t.video_id, t.cand_no, coalesce(name, '') AS out FROM t LEFT JOIN f USING (video_id, cand_no)""",
     "u6_norm_word": "SELECT video_id, word_no, regexp_replace(trim(lower(word)), '[.,!?;:—–\\-…\"''«»()]', '', 'g') AS out FROM {fx_words}",
     "u7_extract_json": f"""
 SELECT video_id, cand_no, regexp_replace(nullif(regexp_extract(r, '(?s)([{{\\[].*[}}\\]])', 1), ''),

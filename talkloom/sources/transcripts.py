@@ -71,11 +71,12 @@ def save_analysis(df: DataFrame, path: str, buckets: int = 64) -> None:
 
 
 def load_analysis(spark: SparkSession, path: str, ids: DataFrame | list[int], buckets: int = 64) -> DataFrame:
-    """Results of the recordings listed in ids (a table with video_id, or a list); only their folders are read, where
-    ids are few."""
+    """Results of the recordings listed in ids (a table with video_id, or a list). The numbers of their folders, at most
+    `buckets` of them, are settled first, so that no other folder is read, however the ids came about."""
     ids = ids if isinstance(ids, DataFrame) else spark.createDataFrame([(i,) for i in ids], "video_id long")
     wanted = ids.select("video_id").distinct().withColumn("bucket", F.pmod(F.xxhash64("video_id"), F.lit(buckets)).cast("int"))
-    return spark.read.parquet(path).join(wanted, ["bucket", "video_id"], "left_semi").drop("bucket")
+    folders = [r[0] for r in wanted.select("bucket").distinct().collect()]
+    return spark.read.parquet(path).filter(F.col("bucket").isin(folders)).join(wanted, ["bucket", "video_id"], "left_semi").drop("bucket")
 
 
 def export_transcripts(cands: DataFrame, turns: DataFrame, words_: DataFrame, language: str = "ru") -> DataFrame:
