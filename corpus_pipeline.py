@@ -51,9 +51,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     found = mixing.mix(docs, mixing.words_in(), F.array(F.col("source").cast("string")))
-    times = found.filter("taken > 0").groupBy("doc_id").agg(F.max(F.expr("cast(taken / size as int)")).alias("times"))
-    taken = docs.join(times, docs["doc_id"].eqNullSafe(times["doc_id"])).select(*[docs[c] for c in docs.columns], F.sequence(F.lit(1), "times").alias("times"))
-    return taken.withColumn("times", F.explode("times")).drop("times")
+    times = found.filter("taken > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max(F.expr("cast(taken / size as int)")).alias("times"))
+    # The row's own columns travel as one, so that their names meet no other.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    taken = rows.join(times, F.col("row.doc_id").eqNullSafe(F.col("taken_id")))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
