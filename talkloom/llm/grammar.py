@@ -8,7 +8,7 @@ round until none is left; no pair crosses the end of a document.
 File format: Parquet files, a row per block, so that any reader finds its columns: shard, block, n_ids,
 doc_ids, `lengths` and `ends` (little-endian unsigned 32-bit: ids of each document, and the end of its symbols),
 `rules` (32-bit pairs: rule i makes symbol base + i), `rule_lengths` (32-bit: ids a rule expands to), `symbols`
-(unsigned, `width` bytes each), base. A document, or a part of it, is decoded from its own symbols: the running
+(unsigned, `width` bytes each: 2, or 4 where a block has more symbols than that), base. A document, or a part of it, is decoded from its own symbols: the running
 sum of their expansion lengths leads to the symbols that hold the part.
 
 Spark's writer commits the files, so a lost executor's blocks are written again by another task.
@@ -47,9 +47,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
     the first round only pairs that were frequent then, or hold a new symbol, are counted again (`live`)."""
     seq, last = ids.astype(np.int64), np.zeros(len(ids), dtype=bool)
     last[ends - 1] = True
-    rules, sizes, limit = [], [], 65536 - base if base < 65536 else 1 << 30
+    rules, sizes = [], []
     live = np.flatnonzero(~last[:-1]) if len(seq) > 1 else np.zeros(0, dtype=np.int64)
-    while len(live) and len(rules) < limit:
+    while len(live):
         pair = seq[live] << 32 | seq[live + 1]
         # Pairs are counted in a hashed table first: only those of full places are sorted.
         place = _place(pair)
@@ -58,7 +58,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
         keys, count = np.unique(pair, return_counts=True)
         some = np.flatnonzero(count >= MIN_COUNT)
         # The most frequent ones of a round; the others wait for a later one.
-        keys = keys[some[np.argsort(-count[some], kind="stable")[: min(PAIRS, limit - len(rules))]]]
+        keys = keys[some[np.argsort(-count[some], kind="stable")[:PAIRS]]]
         if not len(keys):
             break
         # Of keys that share a place, the first one has it; the others wait too.

@@ -11,11 +11,8 @@ The document closest in size to what is then missing is added.
 Targets: sources sorted by name (code points, null last) weigh weights[i % len(weights)], share `share` of all
 sizes, and stop at `most` times their size; what is cut off is shared again by weight until none is above.
 
-A pattern of one source has but one way to flow, and sources that no wider pattern touches are settled without a
-search. Of the wider patterns the `max_patterns` largest are routed by the flow. Any number of smaller ones is mixed
-as well: the documents of each go with one of their sources, drawn by a hash of the pattern with the odds of what
-the sources still want (target to size), so near the targets but not at the least cost. Names and sizes of
-the sources and the patterns of the flow are all that reaches the driver.
+Every pattern is routed by the flow, which the driver settles: names and sizes of the patterns are all that reaches it.
+They must be `max_patterns` at most, else an error is raised; no pattern is mixed in another way.
 
 Defined results: null texts have size 0 and are taken 0 words; an empty table gives no row; the null source is
 a source like any other, the last one; a null or empty list of sources is taken 0 words; equal doc_ids (repeated
@@ -155,24 +152,8 @@ def _reached(docs: DataFrame, groups: list[str], upto: str) -> DataFrame:
     return done[0].unionByName(done[1]).unionByName(done[2])
 
 
-def _route(homes: dict, quotas: dict, wide: list[tuple[list, int]], most: int) -> list[tuple[list, int, int]]:
-    """(sources, words to take, size) of each group: the sources' own documents, and those of the wide patterns.
-
-    homes: size of the documents that go with a source alone; wide: (sources, size)."""
-    sends, flows = {m: min(q, most * homes.get(m, 0)) for m, q in quotas.items()}, []
-    if wide:
-        met = sorted({m for p, _ in wide for m in p})
-        place = {m: i for i, m in enumerate(met)}
-        supply = [homes.get(m, 0) for m in met] + [size for _, size in wide]
-        ways = [(place[m],) for m in met] + [tuple(place[m] for m in p) for p, _ in wide]
-        sent = [sum(f) for f in min_cost_flow(supply, ways, [quotas[m] for m in met], most)]
-        sends |= dict(zip(met, sent[: len(met)], strict=True))
-        flows = sent[len(met) :]
-    return [([m], sends[m], homes[m]) for m in quotas if m in homes] + [(p, f, s) for (p, s), f in zip(wide, flows, strict=True)]
-
-
 def mix(
-    docs: DataFrame, size: Column, sources: Column, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17, max_patterns: int = 100_000
+    docs: DataFrame, size: Column, sources: Column, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17, max_patterns: int = 500_000
 ) -> DataFrame:
     """One row per document: doc_id, sources, size, taken, and its (first) source's source_size and target.
     `sources` is an array of names."""
@@ -192,26 +173,22 @@ def mix(
     targets = water_fill([sizes[m] for m in names], of_name, share * (total or 0), most) if names else []
     quota = spark.createDataFrame([(m, sizes[m], t) for m, t in zip(names, targets, strict=True)], f"first {member}, source_size long, target double")
     with_quota = F.broadcast(quota) if len(names) <= BROADCAST_GROUPS else quota
-    # Each pattern's group: itself, where it is routed as a whole, or one of its sources.
-    wide = patterns.filter(F.size("members") > 1).orderBy(F.desc("size"), "members").limit(max_patterns)
-    wide = stored(wide.select("members", "size", F.lit(True).alias("wide")), "wide-patterns")
-    u = (F.pmod(F.xxhash64("members", "first"), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
-    odds = F.greatest(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)), F.lit(1e-9))
-    ways = patterns.select("members", "size", "n", F.explode("members").alias("first")).join(with_quota, "first")
-    drawn = ways.groupBy("members", "size", "n").agg(F.min_by("first", F.struct((-F.log(u) / odds).alias("t"), "first")).alias("home"))
-    drawn = drawn.join(wide.select("members", "wide"), "members", "left").withColumn("g", F.when(F.col("wide"), F.col("members")).otherwise(F.array("home")))
-    drawn = stored(drawn, "homes")
-    homes = {tuple(r.home): r.size for r in drawn.filter("wide is null").groupBy("home").agg(F.sum("size").alias("size")).collect()}
-    routed = [([tuple(m) for m in r.members], r.size) for r in wide.orderBy(F.desc("size"), "members").collect()]  # max_patterns rows at most
-    groups = _route(homes, {m: round(t) for m, t in zip(names, targets, strict=True)}, routed, most)
-    plan = spark.createDataFrame(groups, f"g array<{member}>, words long, total long")
+    # max_patterns rows at most; the largest first, so that a rerun routes them in the same order.
+    found = patterns.filter(F.size("members") > 0).limit(max_patterns + 1).collect()
+    if len(found) > max_patterns:
+        raise ValueError(f"there are more than {max_patterns} patterns of sources; raise max_patterns and the driver's memory, or join sources")
+    found = sorted(((tuple(tuple(m) for m in r.members), r.size) for r in found), key=lambda p: (-p[1], p[0]))
+    place = {m: i for i, m in enumerate(names)}
+    sent = min_cost_flow([size for _, size in found], [tuple(place[m] for m in own) for own, _ in found], [round(t) for t in targets], most)
+    plan = spark.createDataFrame([(own, sum(flow), size) for (own, size), flow in zip(found, sent, strict=True)], f"members array<{member}>, words long, total long")
     full = F.when(F.col("total") > 0, F.floor(F.col("words") / F.col("total"))).otherwise(0).cast("long")
     upto = F.col("words") - F.col("full") * F.col("total")
-    of_pattern = drawn.join(plan, "g").withColumn("full", full).select("members", "n", F.to_json("g").alias("g"), "full", upto.alias("upto"))
-    taking = join_hot(base, of_pattern, ["members"], "n", rows or 0).select("doc_id", "g", F.to_json("members").alias("members"), "size", "hash", "full", "upto")
+    of_pattern = patterns.select("members", "n").join(F.broadcast(plan) if len(found) <= BROADCAST_GROUPS else plan, "members").withColumn("full", full)
+    of_pattern = of_pattern.select("members", "n", F.to_json("members").alias("g"), "full", upto.alias("upto"))
+    taking = join_hot(base, of_pattern, ["members"], "n", rows or 0).select("doc_id", "g", "size", "hash", "full", "upto")
     # Rows of one doc_id share a hash and so stay together or not in the order; doc_id breaks no other tie.
     marked = stored(_reached(taking, ["g"], "upto"), "chosen")
-    small = F.broadcast if len(groups) <= BROADCAST_GROUPS else lambda df: df
+    small = F.broadcast if len(found) <= BROADCAST_GROUPS else lambda df: df
     below = F.sum(F.when(F.col("below"), F.col("size")))
     got = marked.groupBy("g").agg(F.coalesce(below, F.lit(0)).alias("got"), F.first("upto").alias("u"))
     gap = marked.filter(~F.col("below") & (F.col("size") > 0)).join(small(got), "g")
@@ -221,7 +198,7 @@ def mix(
     out = marked.join(small(more.select("g", F.col("m.hash").alias("more_hash"), F.col("m.doc_id").alias("more_id"))), "g", "left")
     extra = F.col("below") | (F.col("hash").eqNullSafe(F.col("more_hash")) & F.col("doc_id").eqNullSafe(F.col("more_id")))
     taken = (F.col("size") * (F.col("full") + F.when(extra, 1).otherwise(0))).cast("long")
-    out = out.select("doc_id", F.from_json("members", f"array<{member}>").alias("members"), "size", taken.alias("taken"))
+    out = out.select("doc_id", F.from_json("g", f"array<{member}>").alias("members"), "size", taken.alias("taken"))
     without = base.filter(F.size("members") == 0).select("doc_id", "members", "size", F.lit(0).cast("long").alias("taken"))
     out = out.unionByName(without).withColumn("first", F.get("members", F.lit(0))).join(with_quota, "first", "left")
     listed = F.transform("members", lambda m: F.when(~m["last"], m["name"]))

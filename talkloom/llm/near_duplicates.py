@@ -14,11 +14,10 @@ Two documents are linked when 100 * |intersection| >= percent * |union|.
    their members outside the centre's component meet blocks of all members, in numpy, under the same tests, each
    pair in the first band it shares; members with a survivor leave, no pairs. Blocks of these members, now with
    their full sets and of bounded bytes, meet once more and decide their survivors on the sets. One link at most
-   leaves for a member, component and block. A bucket of more than COARSE members is dealt anew first, to one for
-   each other band that its members have left, where unlike texts rarely meet.
+   leaves for a member, component and block. This holds for buckets of every size.
 
-Misses are bounded: with the defaults a pair of similarity 0.8 shares no band with probability 5e-8, and in a bucket
-dealt anew fewer than two with probability 1e-6.
+Misses are bounded: with the defaults a pair of similarity 0.8 shares no band with probability 5e-8, and is pruned
+with probability `miss` at the most on each batch.
 
 Defined results: null or empty texts have n_shingles 0 and are their own component; a row of null doc_id is
 linked with nothing and kept; rows that repeat a doc_id are one node that has every row's set; ties go to the
@@ -40,9 +39,8 @@ from talkloom.llm.shared import drop_stored, join_hot, map_batches, mark_possibl
 
 U64 = W.U64
 HASHES, ROWS, BANDS, BATCH = 256, 4, 32, 32
-#: Members of a bucket to a block of signatures (0.6 MB), and bytes to a block with full sets; a longer set is a block.
-BLOCK, BLOCK_BYTES = 1024, 4 << 20
-COARSE = 8 * BLOCK
+#: Members of a bucket to a block of signatures (2.2 MB), and bytes to a block with full sets; a longer set is a block.
+BLOCK, BLOCK_BYTES = 4096, 4 << 20
 
 
 def shingle_sets(piece: W.Slice, k: int):
@@ -150,26 +148,15 @@ def _exact(pairs: DataFrame, docs: DataFrame, text: str, k: int, percent: int) -
 
 
 def _left_buckets(members: DataFrame, centres: DataFrame, comp: DataFrame) -> DataFrame:
-    """(key, first, second, node, component, out) of the buckets that still hold several components, without their
-    centres; first is the number of the bucket's band, and `out` marks members outside the centre's component. Buckets
-    of more than COARSE members are dealt anew to one for each other such band, second (else -1)."""
+    """(key, no, node, component, out) of the buckets that still hold several components, without their centres; no is
+    the number of the bucket's band, and `out` marks members outside the centre's component."""
     home = centres.join(comp.withColumnRenamed("node", "centre"), "centre", "left").select("band", "centre", F.coalesce("component", "centre").alias("home"))
     own = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     own = own.join(home, "band").filter("node <> centre").withColumn("out", F.col("component") != F.col("home"))
-
-    def several(df: DataFrame, key: str) -> DataFrame:
-        """Of buckets in which all but the centre are of one component, no pair is left."""
-        seen = df.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count_if("out").alias("n_out"), F.count("*").alias("n"))
-        return df.join(seen.filter("lo <> hi and n_out > 0").select(key, "n"), key)
-
-    left = stored(several(own, "band").select("band", "no", "node", "component", "out", "n"), "left-buckets")
-    usual = left.filter(F.col("n") <= COARSE).select(F.xxhash64("no", "band").alias("key"), F.col("no").alias("first"), F.lit(-1).alias("second"), "node", "component", "out")
-    others = left.select("node", F.col("no").alias("second"), F.col("band").alias("other"))
-    large = left.filter(F.col("n") > COARSE).join(others, "node").filter("second > no")
-    large = large.select(F.xxhash64("no", "band", "second", "other").alias("key"), F.col("no").alias("first"), "second", "node", "component", "out")
-    buckets = stored(usual.unionByName(several(large, "key").drop("n")), "left-over")
-    drop_stored(left)
-    return buckets
+    # Of buckets in which all but the centre are of one component, no pair is left.
+    seen = own.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count_if("out").alias("n_out"))
+    left = own.join(seen.filter("lo <> hi and n_out > 0").select("band"), "band")
+    return stored(left.select(F.xxhash64("no", "band").alias("key"), "no", "node", "component", "out"), "left-over")
 
 
 def _lengths(sets: pa.ListArray) -> np.ndarray:
@@ -197,9 +184,9 @@ def _shared(a: pa.ListArray, b: pa.ListArray, i: np.ndarray, j: np.ndarray) -> n
     return total[i, j].astype(np.int64)
 
 
-def _survivors(left: pa.StructScalar, right: pa.StructScalar, first: int, second: int, limits: list[int]):
-    """Pairs (i, j) of members of two blocks of a bucket that pass every test of their signatures, at the first band
-    (or two) that they share; and the members' nodes and components. left holds members outside the home component."""
+def _survivors(left: pa.StructScalar, right: pa.StructScalar, no: int, limits: list[int]):
+    """Pairs (i, j) of members of two blocks of a bucket that pass every test of their signatures, in the first band that
+    they share; and the members' nodes and components. left holds members outside the home component."""
     (na, ca, _), (nb, cb, ob) = ([x.values.field(f).to_numpy(zero_copy_only=False) for f in ("node", "component", "out")] for x in (left, right))
     sa, sb = (_matrix(x.values.field("sig")) for x in (left, right))
     found = [np.zeros((2, 0), dtype=np.int64)]
@@ -212,15 +199,14 @@ def _survivors(left: pa.StructScalar, right: pa.StructScalar, first: int, second
             ok = matched >= least
             i, j, matched = i[ok], j[ok], matched[ok]
         same = (sa[i, : BANDS * ROWS] == sb[j, : BANDS * ROWS]).reshape(len(i), BANDS, ROWS).all(axis=2)
-        last = max(first, second)
-        here = same[:, first] & same[:, last] & (same[:, : last + 1].sum(axis=1) == 1 + (second > first))
+        here = same[:, no] & ~same[:, :no].any(axis=1)
         found.append(np.stack([i[here], j[here]]))
     i, j = np.concatenate(found, axis=1)
     return i, j, na, nb, cb
 
 
 def _blocks(rows: DataFrame, fields: list[str], size: F.Column, most: int) -> DataFrame:
-    """(key, first, second, outer, all): blocks of a bucket's members outside the home component, each with blocks of all
+    """(key, no, outer, all): blocks of a bucket's members outside the home component, each with blocks of all
     its members; a block's sizes add up to about `most`."""
     sized = rows.withColumn("_size", size)
     n_blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.coalesce(c, F.lit(0)) / most)).cast("int")
@@ -228,11 +214,11 @@ def _blocks(rows: DataFrame, fields: list[str], size: F.Column, most: int) -> Da
     sized = join_hot(sized, totals, ["key"], "n", sized.count())
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     row = F.collect_list(F.struct(*fields))
-    every = sized.groupBy("key", "first", "second", place("n_all").alias("p")).agg(row.alias("all"))
+    every = sized.groupBy("key", "no", place("n_all").alias("p")).agg(row.alias("all"))
     # Each block of the outer ones goes to every block of all, so that a bucket's blocks are spread over tasks.
     outer = sized.filter("out").groupBy("key", "n_all", place("n_out").alias("q")).agg(row.alias("outer"))
     sent = outer.select("key", "outer", F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("p"))
-    return every.join(sent, ["key", "p"]).select("key", "first", "second", "outer", "all")
+    return every.join(sent, ["key", "p"]).select("key", "no", "outer", "all")
 
 
 def _left_over(members: DataFrame, centres: DataFrame, comp: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, k: int, percent: int, miss: float) -> DataFrame:
@@ -243,8 +229,8 @@ def _left_over(members: DataFrame, centres: DataFrame, comp: DataFrame, nodes: D
 
     def meet(batch: pa.RecordBatch):
         keys, found = [], []
-        for key, first, second, left, right in zip(*(c.to_pylist() for c in batch.columns[:3]), *batch.columns[3:], strict=True):
-            i, j, na, nb, _ = _survivors(left, right, first, second, limits)
+        for key, no, left, right in zip(*(c.to_pylist() for c in batch.columns[:2]), *batch.columns[2:], strict=True):
+            i, j, na, nb, _ = _survivors(left, right, no, limits)
             some = np.unique(np.concatenate([na[i], nb[j]]))
             keys += [key] * len(some)
             found.append(some)
@@ -256,8 +242,8 @@ def _left_over(members: DataFrame, centres: DataFrame, comp: DataFrame, nodes: D
 
     def decide(batch: pa.RecordBatch):
         found = [np.zeros((2, 0), dtype=np.int64)]
-        for first, second, left, right in zip(*(c.to_pylist() for c in batch.columns[1:3]), *batch.columns[3:], strict=True):
-            i, j, na, nb, cb = _survivors(left, right, first, second, limits)
+        for no, left, right in zip(batch.columns[1].to_pylist(), *batch.columns[2:], strict=True):
+            i, j, na, nb, cb = _survivors(left, right, no, limits)
             if len(i):
                 ha, hb = (x.values.field("shingles") for x in (left, right))
                 shared = _shared(ha, hb, i, j)

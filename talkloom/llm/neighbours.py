@@ -6,10 +6,14 @@ files of its first `probed` pivots, ranks what it finds by the footrule distance
 prefix counts as the place after it) and reranks the `keep` share of it (at least `least`) by cosine in double
 precision on the original vectors. Equal vectors are one entry with its smallest ids.
 
-Pivots are distinct vectors of smallest hash, the bounded sample the index is fitted on: a sixth of the vectors, up to
-`most_pivots` and 16 MB. So a query finds about as many entries however large the table is, until that bound is met;
-from there on what it finds grows with the table. Every vector is posted and every probed file is read whole:
-nothing is dropped by size. Queries are sent, in groups, to every block; only the nearest of each block come back.
+Pivots are distinct vectors of smallest hash, the bounded sample the index is fitted on: 64, then one for 80 vectors,
+`most_pivots` at the most. Ordering the pivots costs a product with each of them for every vector, and reranking one with
+a small part of the vectors for every query; from some thousand vectors on that is less than comparing every query
+with every vector. Every vector is posted and every probed file is read whole: nothing is dropped by size.
+Queries are sent, in groups, to every block; only the nearest of each block come back.
+
+Cosines are computed on vectors scaled by the power of two that brings their largest component to between a half and
+one: that rounds nothing, and squares neither overflow nor vanish.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor
 do rows of null id or vectors of another length than the most frequent one (ties: the smaller length); rows
@@ -28,17 +32,22 @@ from talkloom.llm.shared import drop_stored, map_batches, stored
 
 #: Bytes of vectors and orders to a block, queries to a group, and bytes of pivots (single precision) to be broadcast.
 BLOCK_BYTES, GROUP, PIVOT_BYTES = 4 << 20, 256, 16 << 20
+LEAST_PIVOTS, VECTORS_A_PIVOT = 64, 80
 
 
 def usable(vector: str) -> Column:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    norm = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)
-    return F.col(vector).isNotNull() & (F.size(vector) > 0) & ~bad & (norm > 0) & (norm < float("inf"))
+    return F.col(vector).isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows, none of them zero, divided by a power of two each."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def _rows(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    return _scaled(flat.reshape(len(column), -1)) if len(column) else flat.reshape(0, 1)
 
 
 def _norm(x: np.ndarray) -> np.ndarray:
@@ -96,7 +105,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, k: int = 5, most_pivots: int = 16_384, posted: int = 16, probed: int = 96, prefix: int = 128, keep: float = 0.15, least: int = 256
+    vectors: DataFrame, is_query: Column, k: int = 5, most_pivots: int = 256, posted: int = 16, probed: int = 16, prefix: int = 128, keep: float = 0.15, least: int = 256
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query row, itself left out.
 
@@ -112,11 +121,11 @@ def nearest(
     n, width = base.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n_pivots = max(min(n, 16), min(n // 6, most_pivots, PIVOT_BYTES // (4 * width)))
-    sample = base.orderBy(F.xxhash64("v"), F.col("ids")[0]).limit(n_pivots).select(F.col("v").cast("array<float>").alias("v")).toArrow()
-    p = np.stack([np.asarray(v, dtype=np.float64) for v in sample["v"].to_pylist()])
+    n_pivots = min(n, max(16, min(max(LEAST_PIVOTS, n // VECTORS_A_PIVOT), most_pivots, PIVOT_BYTES // (4 * width))))
+    sample = base.orderBy(F.xxhash64("v"), F.col("ids")[0]).limit(n_pivots).select("v").toArrow()
+    p = _rows(sample["v"].combine_chunks())
     pivots = spark.sparkContext.broadcast((p / _norm(p)[:, None]).astype(np.float32))
-    prefix, n_posted, n_probed = min(prefix, n_pivots), min(posted, n_pivots), min(probed, n_pivots)
+    prefix, n_posted, n_probed = min(prefix, max(16, n_pivots // 2), n_pivots), min(posted, n_pivots), min(probed, n_pivots)
     n_blocks = max(1, -(-n * (8 * width + 2 * prefix + 64) // BLOCK_BYTES))
     entry = F.collect_list(F.struct("ids", "v", "order"))
     place = F.pmod(F.xxhash64("v"), F.lit(n_blocks)).alias("block")

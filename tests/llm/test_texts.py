@@ -151,6 +151,18 @@ def test_rounds_of_grammar_go_on_until_no_pair_is_frequent():
     assert max(left.count(x) for x in set(left)) < grammar.MIN_COUNT + 3
 
 
+def test_grammar_takes_as_many_rules_as_there_are_frequent_pairs():
+    """More than two bytes can name: 12,000 pairs that occur nine times each, over a base of 60,000 ids."""
+    rng = np.random.default_rng(9)
+    pairs = rng.permutation(48_000).reshape(-1, 2)[:12_000]
+    ids = np.concatenate([np.append(pairs[rng.permutation(len(pairs))], np.arange(len(pairs))[:, None] + 48_000, axis=1).ravel() for _ in range(9)]).astype(np.uint32)
+    ends = np.array([len(ids)])
+    symbols, stops, rules, sizes = grammar.compress(ids, ends, 60_000)
+    assert len(rules) > 65_536 - 60_000 and (grammar.expand(symbols, 60_000, rules) == ids).all()
+    key, count = np.unique(symbols[:-1].astype(np.int64) << 32 | symbols[1:], return_counts=True)
+    assert count.max() < grammar.MIN_COUNT
+
+
 def test_language_edges(spark):
     crf = language.train(messy(spark))
     got = [(r.doc_id, r.lang_pred, r.score) for r in language.identify(messy(spark), crf).collect()]
