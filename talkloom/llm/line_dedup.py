@@ -6,13 +6,15 @@ that many words together (words are what ASCII white space parts). Every line of
 in the order of documents (doc_id, text hash) and lines, is deleted.
 
 1. Of the `gram`-line hashes in each run of min_run lines the smallest one (the rightmost of equals) is its
-   fingerprint. Equal runs select the same one at the same place of the run. A shorter run of many words is a
-   fingerprint as a whole.
-2. Each fingerprint is extended to the left and to the right by the lines of the run that selected it, and these
-   extended fingerprints are joined with their first place in the corpus.
-3. Matches of neighbouring fingerprints run on into one another, and their lines are deleted.
-
-First places are aggregated before they are shuffled. Lines that hold more than a ten-thousandth of the rows are
+   fingerprint. Equal runs select the same one at the same place of the run. Runs next to one another mostly
+   select one together, so a document has a fingerprint for about two lines of three: one for each place selected,
+   with the runs that select it. A shorter run of many words is a fingerprint as a whole.
+2. Fingerprints are joined over the corpus. Most occur once: their runs are found nowhere else and go no further.
+3. Matches are extended, line by line to the left and to the right, to the runs that selected the fingerprint:
+   each run is joined with the first place of the same fingerprint and the same lines around it.
+4. Runs that have an earlier place run on into one another, and their lines are deleted.
+
+Counts and first places are aggregated before they are shuffled. Runs that hold more than a ten-thousandth of the rows are
 few and are broadcast back to them, so no task gets a third of all rows. Texts are joined by document with what to
 delete; a bit set of the documents that lose lines, of at most 2**24 bits, lets most others pass by that join.
 
@@ -34,8 +36,9 @@ from talkloom.llm.shared import drop_stored, join_hot, map_batches, mark_possibl
 U64 = W.U64
 _IN_LINE = np.arange(256) != 0x0A
 SPANS = "array<struct<start:int,end:int>>"
-#: An extended fingerprint: two hashes of it, and the lines it covers.
-MATCH = "struct<k1:long,k2:long,start:int,n:int>"
+#: A fingerprint, its runs' lines, and each run that selects it: a hash of it with the fingerprint's place, and its start.
+PRINT = "struct<fp:long,n:int,runs:array<struct<k:long,start:int>>>"
+_RUN = pa.struct([("k", pa.int64()), ("start", pa.int32())])
 
 
 def _word_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -45,56 +48,58 @@ def _word_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return begins[ends] - begins[starts] + (inside[starts] & (starts > 0) & inside[np.maximum(starts, 1) - 1])
 
 
-def _extended(h: tuple[np.ndarray, np.ndarray], prints: np.ndarray, start: np.ndarray, gram: int, n: int, seed: int) -> list[np.ndarray]:
-    """Two hashes of each fingerprint, how far it stands from the start, and the lines around it up to n."""
-    out = []
-    for k, lines in enumerate(h):
-        total = W.mix(W.grams(lines, gram, 43 + k)[prints] + (prints - start).astype(U64))
-        by = W.stream(seed + k, n) | U64(1)
-        for j in range(n):
-            at = start + j
-            outside = (at < prints) | (at >= prints + gram)
-            total = total + np.where(outside, lines[at] * by[j], U64(0))
-        out.append(W.mix(total))
-    return out
+def _extended(lines: np.ndarray, prints: np.ndarray, start: np.ndarray, gram: int, n: int) -> np.ndarray:
+    """A hash of the n lines from each start on, by the fingerprint's own lines, its place in the run, and the lines that
+    extend it to the left and to the right."""
+    total, by = W.grams(lines, gram, 44)[prints] + (prints - start).astype(U64), W.stream(52, n) | U64(1)
+    total = W.mix(total)
+    for j in range(n):
+        at = start + j
+        outside = (at < prints) | (at >= prints + gram)
+        total = total + np.where(outside, lines[at] * by[j], U64(0))
+    return W.mix(total)
+
+
+def selected(h: np.ndarray, of: np.ndarray, min_run: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of min_run lines of a text: where it begins, and where the fingerprint is that it selects."""
+    best = W.minima(W.grams(h, gram, 43), min_run - gram + 1)
+    at = np.flatnonzero(W.whole(of, min_run, len(best)))
+    return at, best[at]
 
 
-def _fingerprints(t: W.Words, min_run: int, gram: int, min_words: int | None) -> tuple[np.ndarray, ...]:
-    """(text, start, lines, two hashes) of the extended fingerprints of a slice's texts, and each text's lines."""
+def _fingerprints(t: W.Words, min_run: int, gram: int, min_words: int | None) -> pa.ListArray:
+    """A list of PRINT for each text of a slice."""
     solid = np.concatenate([[0], np.cumsum(W.SPACED[t.data])])
     filled = solid[t.ends] > solid[t.starts]
     of = np.concatenate([[0], np.cumsum(filled)])[t.of]
     starts, ends = t.starts[filled], t.ends[filled]
-    h = W.FIRST.spans(t.data, starts, ends), W.SECOND.spans(t.data, starts, ends)
-    best = W.minima(W.grams(h[0], gram, 43), min_run - gram + 1)
-    at = np.flatnonzero(W.whole(of, min_run, len(best)))
-    found = [(at, np.full(len(at), min_run), *_extended(h, best[at], at, gram, min_run, 51))]
+    h, second = W.FIRST.spans(t.data, starts, ends), W.SECOND.spans(t.data, starts, ends)
+    at, place = selected(h, of, min_run, gram)
+    # Places rise from run to run: those of one fingerprint are neighbours.
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    lanes = [(W.grams(h, gram, 43)[place[first]], np.full(len(first), min_run), at[first], np.diff(np.append(first, len(at))), _extended(second, place, at, gram, min_run), at)]
     if min_words:
         total = np.concatenate([[0], np.cumsum(_word_counts(t.data, starts, ends))])
         for n in range(1, min_run):
             ok = W.whole(of, n, max(0, len(starts) - n + 1))
-            at = np.flatnonzero(ok & (total[n:] - total[: len(ok)] >= min_words))
-            found.append((at, np.full(len(at), n), *(W.mix(W.grams(x, n, 45 + k)[at] + U64(n)) for k, x in enumerate(h))))
-    at, n, k1, k2 = (np.concatenate(x) for x in zip(*found, strict=True))
-    doc = np.searchsorted(of, at, side="right") - 1
-    order = np.argsort(doc, kind="stable")
-    return tuple(x[order] for x in (doc, at - of[doc], n, k1, k2))
-
-
-def _matches(docs: DataFrame, min_run: int, gram: int, min_words: int | None) -> DataFrame:
-    kind = pa.list_(pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
-
+            own = np.flatnonzero(ok & (total[n:] - total[: len(ok)] >= min_words))
+            lanes.append((W.mix(W.grams(h, n, 45)[own] + U64(n)), np.full(len(own), n), own, np.ones(len(own), dtype=np.int64), W.grams(second, n, 46)[own], own))
+    fp, n, begin, count, k, run = (np.concatenate(x) for x in zip(*lanes, strict=True))
+    doc = np.searchsorted(of, begin, side="right") - 1
+    order, of_run = np.argsort(doc, kind="stable"), np.repeat(doc, count)
+    by = np.argsort(of_run, kind="stable")
+    runs = pa.StructArray.from_arrays([k[by].view(np.int64), (run - of[of_run])[by].astype(np.int32)], fields=list(_RUN))
+    lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count[order])]).astype(np.int32), runs)
+    made = pa.StructArray.from_arrays([fp[order].view(np.int64), n[order].astype(np.int32), lists], names=["fp", "n", "runs"])
+    return pa.ListArray.from_arrays(np.searchsorted(doc[order], np.arange(len(t.of))).astype(np.int32), made)
+
+
+def _prints(docs: DataFrame, min_run: int, gram: int, min_words: int | None) -> DataFrame:
     def rows(batch: pa.RecordBatch):
-        out = []
-        for piece in W.slices(batch.column(2)):
-            doc, start, n, k1, k2 = _fingerprints(W.words(piece, _IN_LINE, lower=False), min_run, gram, min_words)
-            made = [k1.view(np.int64), k2.view(np.int64), start.astype(np.int32), n.astype(np.int32)]
-            ends = np.searchsorted(doc, np.arange(piece.hi - piece.lo + 1)).astype(np.int32)
-            out.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(made, fields=list(kind.value_type))))
-        return pa.table({"doc_id": batch.column(0), "th": batch.column(1), "found": pa.chunked_array(out, kind)})
+        found = [_fingerprints(W.words(piece, _IN_LINE, lower=False), min_run, gram, min_words) for piece in W.slices(batch.column(2))]
+        return pa.table({"doc_id": batch.column(0), "th": batch.column(1), "prints": pa.chunked_array(found)})
 
-    found = map_batches(docs.filter("text is not null").select("doc_id", "th", "text"), rows, f"doc_id long, th long, found array<{MATCH}>")
-    return found.select("doc_id", "th", F.explode("found").alias("m")).select("doc_id", "th", "m.*")
+    return map_batches(docs.filter("text is not null").select("doc_id", "th", "text"), rows, f"doc_id long, th long, prints array<{PRINT}>")
 
 
 def _cut(batch: pa.RecordBatch) -> pa.Table:
@@ -129,10 +134,15 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_run: int = 3, gram: int
     """One row per document: doc_id, text (without repeated runs), n_lines, n_removed, spans (the deleted runs,
     as ranges of places in the sequence of lines)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    found = stored(_matches(docs, min_run, gram, min_words).distinct(), "line-prints")
+    prints = stored(_prints(docs, min_run, gram, min_words).filter(F.size("prints") > 0), "line-prints")
+    often = stored(prints.select(F.explode("prints.fp").alias("fp")).groupBy("fp").agg(F.count("*").alias("places")).filter("places > 1").select("fp"), "repeated-prints")
+    # The bit set only saves rows: what passes it without a second place meets none below.
+    rows = mark_possible(prints.select("doc_id", "th", F.explode("prints").alias("p")), F.col("p.fp"), often).filter("possible")
+    found = stored(rows.select("doc_id", "th", "p.fp", "p.n", F.explode("p.runs").alias("r")).select("doc_id", "th", "fp", "n", "r.k", "r.start"), "line-matches")
+    drop_stored(prints, often)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "start")
-    firsts = stored(found.groupBy("k1", "k2").agg(F.min(order).alias("first"), F.count("*").alias("places")).filter("places > 1"), "first-places")
-    late = join_hot(found, firsts, ["k1", "k2"], "places", found.count()).filter(order > F.col("first"))
+    firsts = stored(found.groupBy("fp", "k").agg(F.min(order).alias("first"), F.count("*").alias("places")).filter("places > 1"), "first-places")
+    late = join_hot(found, firsts, ["fp", "k"], "places", found.count()).filter(order > F.col("first"))
     late = late.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("starts"))
     late = stored(late.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "th", "starts"), "late-runs")
     drop_stored(found, firsts)

@@ -234,6 +234,34 @@ def test_line_dedup_counts_a_run_by_its_words(spark):
     assert got == brute_lines_or_words(rows) and got[900][0] == "own\nline" and got[901] == ("", 1, 1) and got[902][2] == 0
 
 
+def test_lines_are_winnowed():
+    """Each run selects the smallest of its hashes; runs share what they select, so fewer places than lines are kept;
+    equal runs select the same place. With any other choice than the smallest, all places would be kept."""
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    h[2000:2100] = h[100:200]
+    of = np.array([0, 1000, 1000, 2950, 2952, 3000])
+    at, place = line_dedup.selected(h, of, 6, 2)
+    grams = line_dedup.W.grams(h, 2, 43)
+    assert at.tolist() == [s for a, b in zip(of[:-1], of[1:]) for s in range(a, b - 5)]
+    assert all(grams[p] == grams[s : s + 5].min() and s <= p < s + 5 for s, p in zip(at, place))
+    assert len(set(place.tolist())) < 0.4 * len(at)
+    where = dict(zip(at.tolist(), place.tolist()))
+    assert all(where[2000 + i] - 2000 == where[100 + i] - 100 for i in range(95))
+    short = line_dedup.selected(h, of, 3, 2)[1]
+    assert len(set(short.tolist())) < 0.72 * len(short)
+
+
+@pytest.mark.parametrize("run,gram", [(2, 1), (4, 2), (5, 1), (6, 3), (3, 3)])
+def test_line_dedup_at_other_lengths_of_runs(spark, run, gram):
+    rng = random.Random(run * 10 + gram)
+    pool = [sentences(700 + i, 3) for i in range(5)]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.8 else sentences(3000 + i * 50 + k, 4) for k in range(rng.randrange(1, 25)))) for i in range(60)]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs(spark, [(i, t, None, None) for i, t in rows]), min_run=run, gram=gram, min_words=None).collect()}
+    want = brute_lines(rows, run)
+    assert got == want and sum(n for _, _, n in want.values()) > 10
+
+
 def test_line_dedup_edges(spark):
     got = line_dedup.dedup_lines(messy(spark)).collect()
     assert len(got) == 11 and sum(r.n_removed for r in got) == 0 and {r.text for r in got if r.doc_id == 2} == {None} and line_dedup.dedup_lines(empty(spark)).count() == 0
