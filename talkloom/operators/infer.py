@@ -47,7 +47,7 @@ def infer(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str
 
 
 def lexical_scores(text: Column) -> dict[str, Column]:
-    """Criteria from the look of a text alone: a stand-in where no model is at hand, with no claim to be like one."""
+    """Criteria from the look of a text alone, for tests: columns that need no other row."""
     t = F.trim(F.coalesce(text, F.lit("")))
     n = F.size(words(t))
     share = lambda c, of: F.least(F.lit(1.0), c / F.greatest(F.lit(1), of))
@@ -64,13 +64,53 @@ def lexical_scores(text: Column) -> dict[str, Column]:
     }
 
 
-def score_candidates(cands: DataFrame, scorer: Callable[[Column], dict[str, Column]] = lexical_scores) -> DataFrame:
-    """Adds the criteria, needs_previous_context, needs_next_context, score and tier. `scorer` makes the criteria from
-    the text as columns; a candidate that begins in lower case needs what is before it, one without a mark at its
-    end what follows."""
-    made = scorer(F.col("text"))
+def corpus_scores(cands: DataFrame, opening: int = 12) -> DataFrame:
+    """Adds the criteria as statistics of all candidates give them, where no model is at hand.
+
+    A word's rarity is ln(N / its candidates) / ln(N), from 0 (said in each of the N candidates) to 1 (in one).
+    specificity_score is the mean rarity of a candidate's words, hook_quality that of its first `opening` ones;
+    surprise_novelty is the part of its distinct words, weighed by rarity, that no earlier candidate of the recording
+    has, and personal_connection the part that others of the recording have as well; completeness_arc counts a closed end
+    and its length against the mean one, half each; clarity_simplicity is 1 at no letters, a half at the mean length of
+    words, 0 at twice that. No statistic speaks for actionability_score: 0.5, as of a reply without it.
+
+    Words are counted with map-side combine before any shuffle; a word that all candidates hold meets them in the tasks
+    that its candidates are spread over by AQE, or by a broadcast."""
+    said = cands.select(*KEYS, F.posexplode(words(F.lower(F.coalesce("text", F.lit(""))))).alias("at", "raw")).select(*KEYS, "at", norm_word(F.col("raw")).alias("w")).filter("w <> ''")
+    terms = said.groupBy(*KEYS, "w").agg(F.count("*").alias("k"), F.count_if(F.col("at") < opening).alias("k_open"))
+    own = terms.groupBy("video_id", "w").agg(F.min("cand_no").alias("first"), F.count("*").alias("held"))
+    corpus = own.groupBy("w").agg(F.sum("held").alias("df"))
+    total = cands.agg(F.count("*").alias("N"))  # one row
+    rarity = F.when(F.col("N") > 1, F.log(F.col("N") / F.col("df")) / F.log("N")).otherwise(0.0)
+    known = terms.join(own, ["video_id", "w"]).join(corpus, "w").crossJoin(F.broadcast(total)).withColumn("r", rarity)
+    ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(0.0))
+    summed = known.groupBy(*KEYS).agg(
+        ratio(F.sum(F.col("k") * F.col("r")), F.sum("k").cast("double")).alias("specificity_score"),
+        ratio(F.sum(F.col("k_open") * F.col("r")), F.sum("k_open").cast("double")).alias("hook_quality"),
+        ratio(F.sum(F.when(F.col("first") == F.col("cand_no"), F.col("r")).otherwise(0.0)), F.sum("r")).alias("surprise_novelty"),
+        ratio(F.sum(F.when(F.col("held") > 1, F.col("r")).otherwise(0.0)), F.sum("r")).alias("personal_connection"),
+        F.sum("k").alias("n"), F.sum(F.col("k") * F.char_length("w")).alias("letters"),
+    )
+    means = summed.agg(F.avg("n").alias("mean_n"), (F.sum("letters") / F.sum("n")).alias("mean_letters"))  # one row
+    stats = summed.crossJoin(F.broadcast(means))
+    stats = stats.withColumns({
+        "long": 0.5 * F.least(F.lit(1.0), F.col("n") / F.col("mean_n")),
+        "clarity_simplicity": F.greatest(F.lit(0.0), 1 - F.col("letters") / F.col("n") / F.col("mean_letters") / 2),
+    })
+    # As one column, so that the candidates' own names meet no other.
+    rows = cands.join(stats.select(*KEYS, F.struct(*[c for c in stats.columns if c not in KEYS]).alias("_stats")), KEYS, "left")
+    ends = F.when(F.trim(F.coalesce(F.col("text"), F.lit(""))).rlike("[.!?]$"), 0.5).otherwise(0.0)
+    made = {"completeness_arc": ends + F.col("_stats.long"), "actionability_score": F.lit(0.5)}
+    return rows.withColumns({c: F.round(F.coalesce(made[c] if c in made else F.col(f"_stats.{c}"), F.lit(0.0)), 6) for c in CRITERIA}).drop("_stats")
+
+
+def score_candidates(cands: DataFrame, scorer: Callable[[Column], dict[str, Column]] | None = None) -> DataFrame:
+    """Adds the criteria, needs_previous_context, needs_next_context, score and tier. The criteria are corpus_scores(), or
+    what `scorer` makes of the text as columns; a candidate that begins in lower case needs what is before it, one
+    without a mark at its end what follows."""
     t = F.trim(F.coalesce("text", F.lit("")))
-    rows = cands.withColumns({c: F.round(made[c].cast("double"), 6) for c in CRITERIA})
+    made = scorer(F.col("text")) if scorer else None
+    rows = cands.withColumns({c: F.round(made[c].cast("double"), 6) for c in CRITERIA}) if made else corpus_scores(cands)
     rows = rows.withColumns({"needs_previous_context": t.rlike("^[a-zа-яё]"), "needs_next_context": ~t.rlike("[.!?]$")})
     score = highlight_score({c: F.col(c) for c in CRITERIA}, F.col("needs_previous_context"), F.col("needs_next_context"))
     return rows.withColumn("score", score).withColumn("tier", tier(F.col("score")))

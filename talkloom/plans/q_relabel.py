@@ -86,7 +86,8 @@ QUERIES = {
     "r10_move_sentences": _q(lambda v: A.move_sentences(_trimmed(v), v("fx_cand_words").withColumn("pos", F.col("word_no")))),
     "r13_rebuild_sentences": _q(lambda v: R.rebuild_from_sentences(_edits(v), _sentences(v), v("fx_segs"), v("fx_seg_words"), v("fx_diar"))),
     "r13_rebuild_segments": _q(lambda v: R.rebuild_from_segments(_edits(v), v("fx_segs").withColumn("text_tr", F.when(F.col("seg_no") % 2 == 0, F.concat(F.lit("tr "), F.col("text")))), v("fx_diar"))),
-    "m2_score_candidates": _q(lambda v: I.score_candidates(v("fx_cands")).select(*CAND, *I.CRITERIA, "score", "tier")),
+    "m2_score_candidates": _q(lambda v: I.score_candidates(v("fx_cands"), I.lexical_scores).select(*CAND, *I.CRITERIA, "score", "tier")),
+    "m2_corpus_scores": _q(lambda v: I.score_candidates(v("fx_cands")).select(*CAND, *I.CRITERIA, "tier")),
 }
 
 _NEAREST = """
@@ -246,6 +247,36 @@ r AS (
   FROM {fx_cands} c JOIN {fx_segs} s ON s.video_id = c.video_id AND s.end_ms > c.start_ms + 1500 AND s.start_ms < c.end_ms - 2000
   LEFT JOIN o ON o.video_id = s.video_id AND o.seg_no = s.seg_no),
 MERGED""".replace("MERGED", _MERGED),
+    "m2_corpus_scores": r"""
+WITH p AS (
+  SELECT video_id, cand_no, unnest(t) AS raw, unnest(range(len(t))) AS p
+  FROM (SELECT *, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\r\f]+'), lambda x: x <> '') AS t FROM {fx_cands})),
+s AS (SELECT *, regexp_replace(trim(lower(raw)), '[.,!?;:—–\-…"''«»()]', '', 'g') AS w FROM p),
+t AS (SELECT video_id, cand_no, w, count(*) AS k, count(*) FILTER (p < 12) AS o FROM s WHERE w <> '' GROUP BY ALL),
+v AS (SELECT video_id, w, min(cand_no) AS first, count(*) AS held FROM t GROUP BY ALL),
+f AS (SELECT w, sum(held) AS df FROM v GROUP BY w),
+n AS (SELECT count(*) AS N FROM {fx_cands}),
+r AS (
+  SELECT t.*, first, held, CASE WHEN N > 1 THEN ln(N / df) / ln(N) ELSE 0 END AS r
+  FROM t JOIN v USING (video_id, w) JOIN f USING (w), n),
+g AS (
+  SELECT video_id, cand_no, sum(k * r) / sum(k) AS spec, coalesce(sum(o * r) / nullif(sum(o), 0), 0) AS hook,
+    coalesce(sum(r) FILTER (first = cand_no) / nullif(sum(r), 0), 0) AS nov, coalesce(sum(r) FILTER (held > 1) / nullif(sum(r), 0), 0) AS pers,
+    sum(k) AS n, sum(k * length(w)) AS letters
+  FROM r GROUP BY ALL),
+m AS (SELECT avg(n) AS mn, sum(letters) / sum(n) AS ml FROM g),
+c AS (
+  SELECT video_id, cand_no, coalesce(text, '') AS text,
+    round(coalesce(CASE WHEN regexp_matches(trim(coalesce(text, '')), '[.!?]$') THEN 0.5::DOUBLE ELSE 0 END + 0.5::DOUBLE * least(1, n / mn), 0), 6) AS completeness_arc,
+    round(coalesce(nov, 0), 6) AS surprise_novelty, round(coalesce(hook, 0), 6) AS hook_quality, round(coalesce(pers, 0), 6) AS personal_connection,
+    round(coalesce(spec, 0), 6) AS specificity_score, 0.5::DOUBLE AS actionability_score, round(coalesce(greatest(0, 1 - letters / n / ml / 2), 0), 6) AS clarity_simplicity
+  FROM {fx_cands} LEFT JOIN g USING (video_id, cand_no), m),
+x AS (
+  SELECT *, round(least(completeness_arc * 0.3::DOUBLE + surprise_novelty * 0.15::DOUBLE + hook_quality * 0.15::DOUBLE + personal_connection * 0.1::DOUBLE
+    + specificity_score * 0.1::DOUBLE + actionability_score * 0.1::DOUBLE + clarity_simplicity * 0.1::DOUBLE,
+    CASE WHEN regexp_matches(trim(text), '^[a-zа-яё]') OR NOT regexp_matches(trim(text), '[.!?]$') THEN 0.25::DOUBLE ELSE 1 END), 9) AS score
+  FROM c)
+SELECT * EXCLUDE (text, score), CASE WHEN score >= 0.35 THEN 'strict' WHEN score >= 0.25 THEN 'extended' END AS tier FROM x""",
     "m2_score_candidates": """
 WITH t AS (SELECT *, trim(text) AS x, list_filter(string_split_regex(trim(text), '[ \\t\\n\\r\\f]+'), lambda w: w <> '') AS ws FROM {fx_cands}),
 n AS (SELECT *, len(ws) AS n, list_transform(ws, lambda w: regexp_replace(trim(lower(w)), '[.,!?;:—–\\-…"''«»()]', '', 'g')) AS lw FROM t),

@@ -178,3 +178,15 @@ def test_short_turns_join_leftwards_in_a_chain(spark):
     rows = [(1, 0, "a", 0, 2000), (1, 1, "b", 2000, 2300), (1, 2, "c", 2300, 2500), (1, 3, "d", 3000, 3000)]
     got = [(r.turn_no, r.text, r.end_ms) for r in U.merge_short_turns(spark.createDataFrame(rows, "video_id long, turn_no long, text string, start_ms long, end_ms long")).orderBy("turn_no").collect()]
     assert got == [(0, "a", 2000), (1, "b c", 2500), (3, "d", 3000)]
+
+
+def test_scores_of_the_corpus(spark):
+    rows = [(1, 0, "Common words here."), (1, 1, "common words zebra quagga"), (1, 2, None), (2, 0, "common"), (2, 1, " ")]
+    df = spark.createDataFrame(rows, "video_id long, cand_no long, text string").withColumns({c: F.lit("x") for c in ("n", "df", "r", "letters", "w", "long")})
+    got = {(r.video_id, r.cand_no): r for r in I.score_candidates(df).collect()}
+    assert len(got) == 5 and all(0 <= got[k][c] <= 1 for k in got for c in I.CRITERIA)
+    # Rare words count more than common ones; words that the recording has had are not new.
+    assert got[1, 1].specificity_score > got[2, 0].specificity_score > 0
+    assert got[1, 0].surprise_novelty == 1 and 0 < got[1, 1].surprise_novelty < 1 and got[1, 1].personal_connection + got[1, 1].surprise_novelty == pytest.approx(1)
+    assert got[1, 2].specificity_score == got[2, 1].completeness_arc == 0
+    assert I.score_candidates(df.limit(0)).count() == 0 and I.score_candidates(df.filter("video_id = 2 and cand_no = 0")).first().specificity_score == 0
