@@ -9,8 +9,9 @@ with the largest mean posterior.
 
 Fitting uses every label and at most `per_label` documents of each, of `label_bytes` bytes together: those of the
 smallest hashed ids, an id once however many rows repeat it; longer ones than an eighth of those bytes are passed
-over, but for the shortest one of a label that has no other. The model and the sample grow with the number of labels alone. Everything else covers every word of every document; the weights
-(a fixed table) are the only thing that is broadcast.
+over, but for the shortest one of a label that has no other. The sample is chosen by id, so rows of null doc_id teach
+nothing. The model and the sample grow with the number of labels alone. Everything else covers every word of every
+document; the weights (a fixed table) are the only thing that is broadcast.
 
 Defined results: null texts and texts without any letter get label `und` and score 0; texts whose words can
 give no evidence get the likeliest label with its posterior; null labels are not learned; with nothing to learn

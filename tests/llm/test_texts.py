@@ -88,6 +88,7 @@ def test_training_rows_are_bounded_in_rows_and_bytes(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (105, 0)], "i long, y int")
     assert sorted((r.i, r.y) for r in sample(d.drop("l"), "y", 2, 1 << 30, labels).collect()) == [(1, 1), (2, 0), (105, 0)]
     assert language.train(docs(spark, rows)).labels == ["de", "en", "fr"]
+    assert language.train(docs(spark, [(None, "words without an id", "it", "s"), *rows])).labels == ["de", "en", "fr"]
 
 
 def test_cnn_logits_equal_a_plain_convolution():
