@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkloom.operators.intervals import assign_speaker_max, candidate_pairs
+from talkloom.operators.intervals import BUCKET_MS, assign_speaker_max, candidate_pairs
 from talkloom.operators.subtitles import match_by_start
 from talkloom.operators.turns import islands, joined
 
@@ -24,19 +24,31 @@ def _middle() -> Column:
     return F.coalesce(both, F.nullif("start_ms", F.lit(0)), "end_ms", F.lit(0)).cast("double")
 
 
-def _at_middles(points: DataFrame, diar: DataFrame, keys: list[str], max_gap_ms: int, within: bool) -> DataFrame:
-    """keys, assigned: the speaker at each point (columns t and, with `within`, the candidate's c0 and c1, which the
-    interval must overlap): of the first interval that holds it, else of the nearest one within max_gap_ms."""
+def _at_middles(points: DataFrame, diar: DataFrame, keys: list[str], max_gap_ms: int) -> DataFrame:
+    """keys, assigned: the speaker at each point (column t): of the first interval that holds it, else of the nearest
+    one within max_gap_ms."""
     ivs = diar.select("video_id", "iv_no", F.col("speaker").alias("iv_speaker"), F.col("start_ms").alias("i0"), F.col("end_ms").alias("i1"))
     pairs = candidate_pairs(points, ivs, (F.col("t"), F.col("t")), (F.col("i0") - max_gap_ms, F.col("i1") + max_gap_ms))
     out = ~((F.col("t") >= F.col("i0")) & (F.col("t") <= F.col("i1")))
     gap = F.when(out, F.least(F.abs(F.col("t") - F.col("i0")), F.abs(F.col("t") - F.col("i1")))).otherwise(0.0)
     near = pairs.withColumn("gap", gap).filter(F.col("gap") <= max_gap_ms)
-    if within:
-        near = near.filter("i0 < c1 and i1 > c0")
     return near.groupBy("video_id", *keys).agg(F.min_by("iv_speaker", F.struct(out.alias("out"), "gap", "iv_no")).alias("assigned"))
 
 
+def _with_speakers(rows: DataFrame, diar: DataFrame, keys: list[str], t: Column, max_gap_ms: int) -> DataFrame:
+    """Adds `assigned` as _at_middles() does, of intervals that overlap the candidate (c0, c1); null for rows of null t.
+    Rows meet the intervals of their time bucket once and come back from one aggregation, so they are computed once."""
+    ivs = diar.select("video_id", "iv_no", F.col("speaker").alias("iv_speaker"), F.col("start_ms").alias("i0"), F.col("end_ms").alias("i1")).filter("i0 is not null and i1 is not null")
+    ivs = ivs.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("i0") - max_gap_ms) / BUCKET_MS), F.floor(F.greatest(F.col("i0"), F.col("i1") + max_gap_ms) / BUCKET_MS))))
+    pairs = rows.withColumn("t", t).withColumn("bucket", F.floor(F.col("t") / BUCKET_MS)).join(ivs, ["video_id", "bucket"], "left")
+    out = ~F.col("t").between(F.col("i0"), F.col("i1"))
+    gap = F.when(out, F.least(F.abs(F.col("t") - F.col("i0")), F.abs(F.col("t") - F.col("i1")))).otherwise(0.0).cast("double")
+    fits = (gap <= max_gap_ms) & (F.col("i0") < F.col("c1")) & (F.col("i1") > F.col("c0"))
+    best = F.min(F.when(fits, F.struct(out.alias("out"), gap.alias("gap"), "iv_no", "iv_speaker")))
+    row = F.first(F.struct(*[c for c in rows.columns if c not in ("video_id", *keys)]))
+    return pairs.groupBy("video_id", *keys).agg(row.alias("row"), best.alias("best")).select("video_id", *keys, "row.*", F.col("best.iv_speaker").alias("assigned"))
+
+
 def apply_diarization(cands: DataFrame, turns: DataFrame, words: DataFrame, diar: DataFrame, max_gap_ms: int = 500) -> DataFrame:
     """Turns of candidates relabelled word by word from a new diarization: cand_no, turn_no (from 1, new), speaker, text,
     start_ms, end_ms, n_words.
@@ -55,8 +67,7 @@ def apply_diarization(cands: DataFrame, turns: DataFrame, words: DataFrame, diar
     rows = rows.withColumn("spoken", F.col("pos").isNotNull()).withColumn("pos", F.coalesce("pos", F.lit(0)))
     middle = F.when(F.col("spoken"), _middle()).otherwise((F.col("t0") + F.col("t1")) / 2)
     keys = ["cand_no", "turn_no", "pos"]
-    points = rows.filter("touched").select("video_id", *keys, "c0", "c1", middle.alias("t")).filter("t is not null")
-    named = rows.join(_at_middles(points, diar, keys, max_gap_ms, True), ["video_id", *keys], "left")
+    named = _with_speakers(rows, diar, keys, F.when(F.col("touched"), middle), max_gap_ms)
     speaker = F.coalesce("assigned", "own", F.when(F.col("spoken"), F.lit("SPEAKER_00")))
     named = named.withColumn("speaker", speaker).withColumn("place", F.struct("turn_no", "pos"))
     order = Window.partitionBy(*CAND).orderBy("turn_no", "pos")
@@ -184,7 +195,7 @@ def rebuild_from_sentences(edits: DataFrame, sentences: DataFrame, segs: DataFra
     pairs = pairs.filter("end_ms > s0 and start_ms < s1 and end_ms > c0 and start_ms < c1")
     if diar is not None:
         points = words.select("video_id", "word_no", _middle().alias("t")).filter("t is not null")
-        pairs = pairs.join(_at_middles(points, diar, ["word_no"], 500, False), ["video_id", "word_no"], "left")
+        pairs = pairs.join(_at_middles(points, diar, ["word_no"], 500), ["video_id", "word_no"], "left")
     else:
         pairs = pairs.withColumn("assigned", F.lit(None).cast("string"))
     given = [F.nullif(F.col(c), F.lit("")) for c in ("assigned", "w_speaker", "s_speaker")]
