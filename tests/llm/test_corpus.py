@@ -257,6 +257,10 @@ def test_line_dedup_at_other_lengths_of_runs(spark, run, gram):
     rng = random.Random(run * 10 + gram)
     pool = [sentences(700 + i, 3) for i in range(5)]
     rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.8 else sentences(3000 + i * 50 + k, 4) for k in range(rng.randrange(1, 25)))) for i in range(60)]
+    passage = [sentences(900 + i, 3) for i in range(15)]
+    for i in range(0, 60, 3):
+        at = rng.randrange(0, 15 - run)
+        rows[i] = (i, "\n".join([rows[i][1], *passage[at : at + rng.randrange(run - 1, 16)]]))
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs(spark, [(i, t, None, None) for i, t in rows]), min_run=run, gram=gram, min_words=None).collect()}
     want = brute_lines(rows, run)
     assert got == want and sum(n for _, _, n in want.values()) > 10
