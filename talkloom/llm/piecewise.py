@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkloom.llm import words as W
-from talkloom.llm.shared import bound_batches, drop_stored, map_batches, release_memory, stored
+from talkloom.llm.shared import bound_batches, map_batches, release_memory, stored
 
 #: The smallest k, cuts at most at the first block size, and block sizes in a fingerprint.
 LEAST, CUTS, SIZES = 2, 63, 3
