@@ -7,10 +7,11 @@ prefix counts as the place after it) and reranks the `keep` share of it (at leas
 precision on the original vectors. Equal vectors are one entry with its smallest ids.
 
 Pivots are distinct vectors of smallest hash, the bounded sample the index is fitted on: 64, then one for 80 vectors,
-`most_pivots` at the most. Ordering the pivots costs a product with each of them for every vector, and reranking one with
-a small part of the vectors for every query; from some thousand vectors on that is less than comparing every query
-with every vector. Every vector is posted and every probed file is read whole: nothing is dropped by size.
-Queries are sent, in groups, to every block; only the nearest of each block come back.
+`most_pivots` at the most. Ordering the pivots costs a product with each of them for every vector, and reranking one
+with a small part of the vectors for every query: less, from some thousand vectors on, than comparing every query with
+every vector. While pivots grow with the vectors, a query finds a smaller part of them. Every vector is posted and
+every probed file is read whole: nothing is dropped by size. Queries are sent, in groups, to every block; only the
+nearest of each block come back.
 
 Cosines are computed on vectors scaled by the power of two that brings their largest component to between a half and
 one: that rounds nothing, and squares neither overflow nor vanish.
@@ -92,10 +93,10 @@ class Block:
     def footrule(self, asked: np.ndarray, some: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Distance of the asked order to those of some entries; place: scratch, `prefix` everywhere."""
         n = len(asked)
-        place[asked] = np.arange(n)
+        place[asked] = np.arange(n, dtype=place.dtype)
         own = place[self.order[some]]
         # Pivots that both hold, or the entry alone; then those that the query alone holds.
-        gap = np.abs(own - np.arange(n)).sum(axis=1) + (n * (n + 1) // 2 - np.where(own < n, n - own, 0).sum(axis=1))
+        gap = np.abs(own - np.arange(n, dtype=place.dtype)).sum(axis=1, dtype=np.int32) + (n * (n + 1) // 2 - (n * n - own.sum(axis=1, dtype=np.int32)))
         place[asked] = n
         return gap
 
@@ -105,7 +106,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, k: int = 5, most_pivots: int = 256, posted: int = 16, probed: int = 16, prefix: int = 128, keep: float = 0.15, least: int = 256
+    vectors: DataFrame, is_query: Column, k: int = 5, most_pivots: int = 1024, posted: int = 16, probed: int = 24, prefix: int = 64, keep: float = 0.15, least: int = 256
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query row, itself left out.
 
@@ -139,7 +140,7 @@ def nearest(
         for asks, entries in zip(batch.column(0), batch.column(1), strict=True):
             (qi, qv, qo), (xi, xv, xo) = ((y.values.field("ids"), _rows(y.values.field("v")), _matrix(y.values.field("order"), prefix)) for y in (asks, entries))
             block, qn, xn, ids = Block(xo, n_posted, n_pivots), _norm(qv), _norm(xv), xi.to_pylist()
-            low, free = np.array([i[0] for i in ids]), np.full(n_pivots, prefix, dtype=np.int32)
+            low, free = np.array([i[0] for i in ids]), np.full(n_pivots, prefix, dtype=np.int16)
             for a, query in enumerate(qi.to_pylist()):
                 some = block.found(qo[a, :n_probed])
                 if not len(some):
