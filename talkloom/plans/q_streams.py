@@ -24,13 +24,16 @@ def _part(of: F.Column, late: F.Column, span) -> F.Column:
 
 def _run(spark: SparkSession, path: str, inputs: dict[str, DataFrame], start: Callable[..., object]) -> None:
     """Writes each part of each input (its column `part`) and runs the stream after it, from its checkpoint. The inputs
-    and the checkpoint are deleted at the end."""
+    are computed once, into a folder for each part; they and the checkpoint are deleted at the end."""
     schemas = {name: df.drop("part").schema for name, df in inputs.items()}
+    for name, df in inputs.items():
+        df.write.partitionBy("part").parquet(f"{path}/all/{name}")
     for part in range(PARTS + 1):
         for name, df in inputs.items():
-            df.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{path}/in/{name}")
+            arrived = spark.read.schema(df.schema).parquet(f"{path}/all/{name}").filter(F.col("part") == part)
+            arrived.select(*schemas[name].names).write.mode("append").parquet(f"{path}/in/{name}")
         L.run_once(start(*[spark.readStream.schema(schemas[name]).parquet(f"{path}/in/{name}") for name in inputs]), f"{path}/state")
-    for done in ("in", "state"):
+    for done in ("all", "in", "state"):
         versions.delete(spark, f"{path}/{done}")
 
 

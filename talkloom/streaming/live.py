@@ -11,7 +11,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -172,24 +172,33 @@ def live_matches(words: DataFrame, diar: DataFrame, late: str = "10 minutes", ma
     """Words and intervals as two streams: the best match of each word in each time bucket that it shares with an
     interval, for settled_speakers().
 
-    Both sides are laid on buckets of the recording's clock, which is the event time: they are joined on (video_id,
-    bucket), and the state of a bucket goes once both streams' watermarks have passed it. An interval that arrives
-    later than the watermark counts only in the buckets that are still open."""
+    Both sides are laid on buckets of the recording's clock, which is the event time, and wait as the arrays of one row of
+    state for each (video_id, bucket), which goes, matched, once both streams' watermarks have passed it. An interval
+    that arrives later than the watermark counts only in the buckets that are still open."""
     # Watermarks begin at zero, so the clock begins a day after it.
     at = lambda bucket: F.timestamp_millis(bucket * bucket_ms + 86_400_000)
     clock = at(F.col("bucket"))
-    point = (F.col("s") + F.col("e")) / 2
     side = words.select("video_id", "word_no", F.col("start_ms").alias("s"), F.col("end_ms").alias("e")).filter("s is not null and e is not null")
     side = _bucketed(side, F.col("s"), F.col("e"), bucket_ms, "a").withColumn("bucket_ts", clock).drop("bucket").withWatermark("bucket_ts", late)
     ivs = diar.select("video_id", "iv_no", F.col("speaker").alias("iv_speaker"), F.col("start_ms").alias("iv_start"), F.col("end_ms").alias("iv_end")).filter("iv_start is not null and iv_end is not null")
     ivs = _bucketed(ivs, F.col("iv_start") - max_gap_ms, F.col("iv_end") + max_gap_ms, bucket_ms, "b").withColumn("bucket_ts", clock).drop("bucket").withWatermark("bucket_ts", late)
-    pairs = side.join(ivs, ["video_id", "bucket_ts"]).filter(at(F.greatest("a_first", "b_first")) == F.col("bucket_ts"))
-    overlap = overlap_ms(F.col("s"), F.col("e"), F.col("iv_start"), F.col("iv_end"))
-    inside = point.between(F.col("iv_start"), F.col("iv_end"))
-    gap = F.when(inside, 0.0).otherwise(F.least(F.abs(point - F.col("iv_start")), F.abs(point - F.col("iv_end"))).cast("double"))
-    most = F.max(F.when(overlap > 0, F.struct(overlap.alias("overlap"), (-F.col("iv_no")).alias("no"), "iv_speaker")))
-    near = F.min(F.when(gap <= max_gap_ms, F.struct((~inside).alias("out"), gap.alias("gap"), "iv_no", "iv_speaker")))
-    return pairs.groupBy("video_id", "word_no", "bucket_ts").agg(most.alias("most"), near.alias("near"))
+    kinds = {"w": F.struct("word_no", "s", "e", "a_first"), "i": F.struct("iv_no", "iv_speaker", "iv_start", "iv_end", "b_first")}
+    none = {k: F.lit(None).cast(df.select(kinds[k].alias("x")).schema["x"].dataType) for k, df in (("w", side), ("i", ivs))}
+    both = side.select("video_id", "bucket_ts", kinds["w"].alias("w"), none["i"].alias("i")).union(ivs.select("video_id", "bucket_ts", none["w"].alias("w"), kinds["i"].alias("i")))
+    held = both.groupBy("video_id", "bucket_ts").agg(F.collect_list("w").alias("words"), F.collect_list("i").alias("ivs"))
+
+    def match(w: Column) -> Column:
+        s, e, point = w["s"], w["e"], (w["s"] + w["e"]) / 2
+        ours = F.filter("ivs", lambda i: at(F.greatest(w["a_first"], i["b_first"])) == F.col("bucket_ts"))
+        overlap = lambda i: overlap_ms(s, e, i["iv_start"], i["iv_end"])
+        inside = lambda i: point.between(i["iv_start"], i["iv_end"])
+        gap = lambda i: F.when(inside(i), 0.0).otherwise(F.least(F.abs(point - i["iv_start"]), F.abs(point - i["iv_end"])).cast("double"))
+        most = F.transform(ours, lambda i: F.when(overlap(i) > 0, F.struct(overlap(i).alias("overlap"), (-i["iv_no"]).alias("no"), i["iv_speaker"].alias("iv_speaker"))))
+        near = F.transform(ours, lambda i: F.when(gap(i) <= max_gap_ms, F.struct((~inside(i)).alias("out"), gap(i).alias("gap"), i["iv_no"].alias("iv_no"), i["iv_speaker"].alias("iv_speaker"))))
+        return F.struct(w["word_no"].alias("word_no"), F.array_max(most).alias("most"), F.array_min(near).alias("near"))
+
+    found = held.filter("size(words) > 0 and size(ivs) > 0").select("video_id", "bucket_ts", F.explode(F.transform("words", match)).alias("m"))
+    return found.select("video_id", "m.word_no", "bucket_ts", "m.most", "m.near").filter("most is not null or near is not null")
 
 
 def settled_speakers(words: DataFrame, matches: DataFrame, default: str = "UNKNOWN") -> DataFrame:
