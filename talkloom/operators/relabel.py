@@ -24,29 +24,23 @@ def _middle() -> Column:
     return F.coalesce(both, F.nullif("start_ms", F.lit(0)), "end_ms", F.lit(0)).cast("double")
 
 
-def _at_middles(points: DataFrame, diar: DataFrame, keys: list[str], max_gap_ms: int) -> DataFrame:
-    """keys, assigned: the speaker at each point (column t): of the first interval that holds it, else of the nearest
-    one within max_gap_ms."""
-    ivs = diar.select("video_id", "iv_no", F.col("speaker").alias("iv_speaker"), F.col("start_ms").alias("i0"), F.col("end_ms").alias("i1"))
-    pairs = candidate_pairs(points, ivs, (F.col("t"), F.col("t")), (F.col("i0") - max_gap_ms, F.col("i1") + max_gap_ms))
-    out = ~((F.col("t") >= F.col("i0")) & (F.col("t") <= F.col("i1")))
-    gap = F.when(out, F.least(F.abs(F.col("t") - F.col("i0")), F.abs(F.col("t") - F.col("i1")))).otherwise(0.0)
-    near = pairs.withColumn("gap", gap).filter(F.col("gap") <= max_gap_ms)
-    return near.groupBy("video_id", *keys).agg(F.min_by("iv_speaker", F.struct(out.alias("out"), "gap", "iv_no")).alias("assigned"))
-
-
-def _with_speakers(rows: DataFrame, diar: DataFrame, keys: list[str], t: Column, max_gap_ms: int) -> DataFrame:
-    """Adds `assigned` as _at_middles() does, of intervals that overlap the candidate (c0, c1); null for rows of null t.
-    Rows meet the intervals of their time bucket once and come back from one aggregation, so they are computed once."""
+def _with_speakers(rows: DataFrame, diar: DataFrame, t: Column, max_gap_ms: int, within: tuple[Column, Column] | None = None) -> DataFrame:
+    """Adds `assigned`: the speaker at the point t of each row: of the first interval that holds it, else of the nearest
+    one within max_gap_ms; with `within`, only of intervals that overlap that span; null for rows of null t. Each row
+    meets one row, the intervals of its time bucket as an array, so nothing has to be brought together again."""
     ivs = diar.select("video_id", "iv_no", F.col("speaker").alias("iv_speaker"), F.col("start_ms").alias("i0"), F.col("end_ms").alias("i1")).filter("i0 is not null and i1 is not null")
     ivs = ivs.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("i0") - max_gap_ms) / BUCKET_MS), F.floor(F.greatest(F.col("i0"), F.col("i1") + max_gap_ms) / BUCKET_MS))))
-    pairs = rows.withColumn("t", t).withColumn("bucket", F.floor(F.col("t") / BUCKET_MS)).join(ivs, ["video_id", "bucket"], "left")
-    out = ~F.col("t").between(F.col("i0"), F.col("i1"))
-    gap = F.when(out, F.least(F.abs(F.col("t") - F.col("i0")), F.abs(F.col("t") - F.col("i1")))).otherwise(0.0).cast("double")
-    fits = (gap <= max_gap_ms) & (F.col("i0") < F.col("c1")) & (F.col("i1") > F.col("c0"))
-    best = F.min(F.when(fits, F.struct(out.alias("out"), gap.alias("gap"), "iv_no", "iv_speaker")))
-    row = F.first(F.struct(*[c for c in rows.columns if c not in ("video_id", *keys)]))
-    return pairs.groupBy("video_id", *keys).agg(row.alias("row"), best.alias("best")).select("video_id", *keys, "row.*", F.col("best.iv_speaker").alias("assigned"))
+    ivs = ivs.groupBy("video_id", "bucket").agg(F.collect_list(F.struct("iv_no", "iv_speaker", "i0", "i1")).alias("ivs"))
+    met = rows.withColumn("t", t).withColumn("bucket", F.floor(F.col("t") / BUCKET_MS)).join(ivs, ["video_id", "bucket"], "left")
+
+    def fit(i: Column) -> Column:
+        at = F.col("t")
+        out = ~at.between(i["i0"], i["i1"])
+        gap = F.when(out, F.least(F.abs(at - i["i0"]), F.abs(at - i["i1"]))).otherwise(0.0).cast("double")
+        near = gap <= max_gap_ms if within is None else (gap <= max_gap_ms) & (i["i0"] < within[1]) & (i["i1"] > within[0])
+        return F.when(near, F.struct(out.alias("out"), gap.alias("gap"), i["iv_no"].alias("iv_no"), i["iv_speaker"].alias("iv_speaker")))
+
+    return met.select(*rows.columns, F.array_min(F.transform("ivs", fit))["iv_speaker"].alias("assigned"))
 
 
 def apply_diarization(cands: DataFrame, turns: DataFrame, words: DataFrame, diar: DataFrame, max_gap_ms: int = 500) -> DataFrame:
@@ -62,12 +56,13 @@ def apply_diarization(cands: DataFrame, turns: DataFrame, words: DataFrame, diar
     touched = candidate_pairs(edges, ivs, (F.col("c0"), F.col("c1")), (F.col("i0"), F.col("i1"))).filter("i0 < c1 and i1 > c0")
     touched = touched.select(*CAND).distinct().withColumn("touched", F.lit(True))
     own = turns.select(*CAND, "turn_no", F.col("speaker").alias("own"), "text", F.col("start_ms").alias("t0"), F.col("end_ms").alias("t1"))
+    own = own.join(touched, CAND, "left").join(edges, CAND)
     rows = own.join(words.select(*CAND, "turn_no", "pos", "word", "start_ms", "end_ms"), [*CAND, "turn_no"], "left")
-    rows = rows.join(touched, CAND, "left").join(edges, CAND)
+    # Words of touched candidates need no text of their turn, and that is most of them.
     rows = rows.withColumn("spoken", F.col("pos").isNotNull()).withColumn("pos", F.coalesce("pos", F.lit(0)))
+    rows = rows.withColumn("text", F.when(~F.col("spoken") | F.col("touched").isNull(), F.col("text")))
     middle = F.when(F.col("spoken"), _middle()).otherwise((F.col("t0") + F.col("t1")) / 2)
-    keys = ["cand_no", "turn_no", "pos"]
-    named = _with_speakers(rows, diar, keys, F.when(F.col("touched"), middle), max_gap_ms)
+    named = _with_speakers(rows, diar, F.when(F.col("touched"), middle), max_gap_ms, (F.col("c0"), F.col("c1"))).drop("c0", "c1")
     speaker = F.coalesce("assigned", "own", F.when(F.col("spoken"), F.lit("SPEAKER_00")))
     named = named.withColumn("speaker", speaker).withColumn("place", F.struct("turn_no", "pos"))
     order = Window.partitionBy(*CAND).orderBy("turn_no", "pos")
@@ -191,22 +186,18 @@ def rebuild_from_sentences(edits: DataFrame, sentences: DataFrame, segs: DataFra
     own = own.select(*CAND, "sent_no", F.trim("text").alias("tr"), F.col("start_ms").alias("s0"), F.col("end_ms").alias("s1"), F.col("speaker").alias("s_speaker"))
     own = own.join(edits.select(*CAND, F.col("start_ms").alias("c0"), F.col("end_ms").alias("c1")), CAND)
     tagged = words.select("video_id", "word_no", "word", "start_ms", "end_ms", F.col("speaker").alias("w_speaker"))
-    pairs = candidate_pairs(tagged, own, (F.col("start_ms"), F.col("end_ms")), (F.col("s0"), F.col("s1")))
+    tagged = tagged.withColumn("assigned", F.lit(None).cast("string")) if diar is None else _with_speakers(tagged, diar, _middle(), 500)
+    pairs = candidate_pairs(tagged, own.drop("tr"), (F.col("start_ms"), F.col("end_ms")), (F.col("s0"), F.col("s1")))
     pairs = pairs.filter("end_ms > s0 and start_ms < s1 and end_ms > c0 and start_ms < c1")
-    if diar is not None:
-        points = words.select("video_id", "word_no", _middle().alias("t")).filter("t is not null")
-        pairs = pairs.join(_at_middles(points, diar, ["word_no"], 500), ["video_id", "word_no"], "left")
-    else:
-        pairs = pairs.withColumn("assigned", F.lit(None).cast("string"))
     given = [F.nullif(F.col(c), F.lit("")) for c in ("assigned", "w_speaker", "s_speaker")]
-    pairs = pairs.withColumn("speaker", F.coalesce(*given, F.lit("SPEAKER_00")))
+    pairs = pairs.select(*CAND, "sent_no", "word_no", "word", "start_ms", "end_ms", F.coalesce(*given, F.lit("SPEAKER_00")).alias("speaker"))
     sent = [*CAND, "sent_no"]
     order = Window.partitionBy(*sent).orderBy("start_ms", "word_no")
     runs = islands(pairs, sent, ["start_ms", "word_no"], F.col("speaker") != F.lag("speaker").over(order), "run").withColumn("place", F.struct("start_ms", "word_no")).withColumn("said", F.trim("word"))
     groups = runs.groupBy(*sent, "run").agg(
         F.min_by("speaker", "place").alias("speaker"), joined("place", "said").alias("said"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("d"),
-        F.min_by("start_ms", "place").alias("start_ms"), F.max_by("end_ms", "place").alias("end_ms"), F.first("tr").alias("tr"),
-    )
+        F.min_by("start_ms", "place").alias("start_ms"), F.max_by("end_ms", "place").alias("end_ms"),
+    ).join(own.select(*sent, "tr"), sent)
     whole = Window.partitionBy(*sent)
     line = whole.orderBy("run")
     groups = groups.withColumn("tokens", _tokens("tr")).withColumn("n_runs", F.count("*").over(whole)).withColumn("all", F.sum("d").over(whole))

@@ -27,3 +27,52 @@ def test_phrases_of_the_same_words_are_looked_for_once(spark):
     made = phrase_places(words, phrases).groupBy("phrase_no").count()
     assert {(r[0] % 2, r[1]) for r in made.collect()} == {(1, 2), (0, 1)} and made.count() == 200
     assert "keys=[ws#" in plan(made)
+
+
+def exchanges(df) -> int:
+    """Shuffles of the plan, with no table small enough to be broadcast."""
+    df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        df.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+CANDS, TURNS = "video_id long, cand_no long, start_ms long, end_ms long", "video_id long, cand_no long, turn_no long, speaker string, text string, start_ms long, end_ms long"
+WORDS, DIAR = "video_id long, cand_no long, turn_no long, pos long, word string, start_ms long, end_ms long", "video_id long, iv_no long, speaker string, start_ms long, end_ms long"
+
+
+def frames(spark):
+    cands, turns = spark.createDataFrame([(1, 0, 0, 1000)], CANDS), spark.createDataFrame([(1, 0, 1, "A", "a b", 0, 500), (1, 0, 2, "A", "c", 500, 900)], TURNS)
+    words = spark.createDataFrame([(1, 0, 1, 0, "a", 0, 200), (1, 0, 1, 1, "b", 200, 500)], WORDS)
+    return cands, turns, words, spark.createDataFrame([(1, 0, "X", 0, 250), (1, 1, "Y", 250, 950)], DIAR)
+
+
+def test_words_are_shuffled_once_for_their_speaker(spark):
+    from talkloom.operators.relabel import apply_diarization
+
+    made = apply_diarization(*frames(spark))
+    got = [tuple(r)[2:] for r in made.orderBy("turn_no").collect()]
+    assert got == [(1, "X", "a", 0, 200, 1), (2, "Y", "b", 200, 500, 1)]
+    assert "first(" not in plan(made)
+
+
+def test_sentences_are_rebuilt_without_their_text_on_every_word(spark):
+    from talkloom.operators.relabel import rebuild_from_sentences
+
+    cands, turns, words, diar = frames(spark)
+    sents, segs = turns.withColumnRenamed("turn_no", "sent_no"), turns.select("video_id", F.col("turn_no").alias("seg_no"), "text", "start_ms")
+    own = words.select("video_id", F.col("pos").alias("word_no"), "word", "start_ms", "end_ms", F.lit("A").alias("speaker"))
+    made = rebuild_from_sentences(cands, sents, segs, own, diar)
+    assert [tuple(r)[2:6] for r in made.orderBy("turn_no").collect()] == [(1, "X", "a", "a"), (2, "Y", "b", "b"), (3, "A", "c", "c")]
+    assert "first(tr#" not in plan(made)
+
+
+def test_characters_are_shuffled_once_for_their_input(spark):
+    from talkloom.operators.alignment import input_of_chars
+
+    chars = spark.createDataFrame([(1, i) for i in range(0, 5000, 500)], "video_id long, i long")
+    ranges = spark.createDataFrame([(1, 2, 1000, 3500), (1, 1, 900, 1600), (1, 0, 4000, 4000)], "video_id long, input_no long, first long, stop long")
+    made = input_of_chars(chars, ranges)
+    assert dict(r[1:] for r in made.collect()) == {i: 1 if 900 <= i < 1600 else 2 if 1000 <= i < 3500 else None for i in range(0, 5000, 500)}
+    assert exchanges(made) <= 3
