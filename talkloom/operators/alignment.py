@@ -9,18 +9,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.functions.text import WORD_PUNCTUATION
-from talkloom.operators.intervals import candidate_pairs
 
+#: Places of characters to a bucket.
+BUCKET = 1000
 _STRIP = str.maketrans("", "", WORD_PUNCTUATION)
 
 
 def input_of_chars(chars: DataFrame, ranges: DataFrame) -> DataFrame:
     """Adds input_no: the first input whose range [first, stop) of character places holds i, null where none does.
-    chars: video_id, i; ranges: video_id, input_no, first, stop."""
-    asked = chars.select("video_id", "i").distinct()
-    side = ranges.select("video_id", "input_no", F.col("first").alias("r0"), F.col("stop").alias("r1"))
-    hits = candidate_pairs(asked, side, (F.col("i"), F.col("i")), (F.col("r0"), F.col("r1")), 1000).filter("i >= r0 and i < r1")
-    return chars.join(hits.groupBy("video_id", "i").agg(F.min("input_no").alias("input_no")), ["video_id", "i"], "left")
+    chars: video_id, i; ranges: video_id, input_no, first, stop. A character meets one row, the ranges of its bucket."""
+    side = ranges.select("video_id", "input_no", F.col("first").alias("r0"), F.col("stop").alias("r1")).filter("r0 < r1")
+    side = side.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("r0") / BUCKET), F.floor((F.col("r1") - 1) / BUCKET))))
+    side = side.groupBy("video_id", "bucket").agg(F.collect_list(F.struct("input_no", "r0", "r1")).alias("ranges"))
+    met = chars.withColumn("bucket", F.floor(F.col("i") / BUCKET)).join(side, ["video_id", "bucket"], "left")
+    holds = F.filter("ranges", lambda r: (F.col("i") >= r["r0"]) & (F.col("i") < r["r1"]))
+    return met.select(*chars.columns, F.array_min(F.transform(holds, lambda r: r["input_no"])).alias("input_no"))
 
 
 def matches(expected: list[str], heard: list[str], window: int = 3, least: float = 0.6) -> dict[int, int]:

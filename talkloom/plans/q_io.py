@@ -74,7 +74,9 @@ def _alignments(spark, sf_dir):
     at = lambda more: F.transform(F.sequence(F.lit(0), F.size("c") - 1), lambda i: (i + more) / 100)
     alignment = F.struct(F.col("c").alias("characters"), at(0).alias("character_start_times_seconds"), at(1).alias("character_end_times_seconds"))
     path = new_path(spark, "alignment")
-    files.select("video_id", alignment.alias("alignment"), "voice_segments").write.partitionBy("video_id").json(path)
+    # A folder for each recording: its tasks move their own there, not the driver all of them. Nobody reads a part of it.
+    write = files.select("video_id", alignment.alias("alignment"), "voice_segments").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    write.partitionBy("video_id").json(path)
     chars = S.alignment_chars(S.read_alignment(spark, f"{path}/*"))
     return chars_to_words(chars)
 
