@@ -136,13 +136,13 @@ def find_phrase(cands: DataFrame, turns: DataFrame, words_: DataFrame, phrases:
     said = phrases.select(*keys, "phrase", F.lower(F.trim("phrase")).alias("p")).filter("p <> ''")
     holds = lambda c: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.col("p"))
     in_turn = turns.join(said, keys).filter(holds("text") | holds("text_tr")).groupBy(*keys).agg(F.min_by("start_ms", "turn_no").alias("t_at"))
-    # Each word's end in the joined text; the hit ends where the text up to there first holds the phrase.
+    # The words of a candidate as one row; the hit ends at the word with which the joined text first holds the phrase.
     spoken = words_.join(said, keys).withColumn("w", F.lower(F.coalesce("word", F.lit(""))))
-    full = spoken.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ").alias("full"), F.first("p").alias("p"))
-    hit = full.select(*keys, (F.instr(F.col("full"), F.col("p")) + F.length("p") - 1).alias("stop"), F.instr(F.col("full"), F.col("p")).alias("at")).filter("at > 0")
-    order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ends = spoken.withColumn("upto", F.sum(F.length("w") + 1).over(order)).join(hit, keys).filter(F.col("upto") >= F.col("stop"))
-    in_words = ends.groupBy(*keys).agg(F.min_by("start_ms", "pos").alias("w_at"))
+    full = spoken.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "w", "start_ms"))).alias("line"), F.first("p").alias("p"))
+    full = full.withColumn("at", F.instr(F.array_join(F.transform("line", lambda x: x["w"]), " "), F.col("p"))).filter("at > 0").withColumn("stop", F.col("at") + F.length("p") - 1)
+    state = lambda upto, n: F.struct(upto.cast("long").alias("upto"), n.cast("int").alias("n"))
+    step = lambda s, x: F.when(s["upto"] >= F.col("stop"), s).otherwise(state(s["upto"] + F.length(x["w"]) + 1, s["n"] + 1))
+    in_words = full.select(*keys, F.get("line", F.aggregate("line", state(F.lit(0), F.lit(-1)), step)["n"])["start_ms"].alias("w_at"))
     rows = phrases.join(said.select(*keys, "p"), keys, "left").join(cands.select(*keys, F.col("start_ms").alias("c0"), F.lower("text").alias("c_text")), keys)
     rows = rows.join(in_turn, keys, "left").join(in_words, keys, "left")
     away = lambda c: F.greatest(F.lit(0), F.col(c) - F.col("c0"))
