@@ -46,11 +46,17 @@ class Crf(NamedTuple):
 
 def _distinct(t: W.Words):
     """The distinct words of a word table: hashes, one occurrence of each, and each word's place among them."""
-    return np.unique(W.FIRST.spans(t.data, t.starts, t.ends), return_index=True, return_inverse=True)
+    return np.unique(W.FIRST.parts(t.data, t.starts, t.ends), return_index=True, return_inverse=True)
 
 
-def _features(t: W.Words, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places in the weight table, offsets) of the features of the words `at`."""
+def _features(t: W.Words, at: np.ndarray, hashes: np.ndarray, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the weight table, offsets) of the features of the words `at`, made for `step` words at a time."""
+    made = [_some_features(t, at[lo : lo + step], hashes[lo : lo + step]) for lo in range(0, max(1, len(at)), step)]
+    sizes = np.concatenate([np.diff(ends) for _, ends in made])
+    return np.concatenate([keys for keys, _ in made]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _some_features(t: W.Words, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = t.ends[at] - t.starts[at]
     ends = np.cumsum(sizes)
     row = np.repeat(np.arange(len(at), dtype=np.int32), sizes)

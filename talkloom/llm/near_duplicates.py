@@ -205,18 +205,19 @@ def _survivors(left: pa.StructScalar, right: pa.StructScalar, no: int, limits: l
     return i, j, na, nb, cb
 
 
-def _blocks(rows: DataFrame, fields: list[str], size: F.Column, most: int) -> DataFrame:
-    """(key, no, outer, all): blocks of a bucket's members outside the home component, each with blocks of all
-    its members; a block's sizes add up to about `most`."""
-    sized = rows.withColumn("_size", size)
+def _blocks(rows: DataFrame, carried: DataFrame, fields: list[str], most: int) -> DataFrame:
+    """(key, no, outer, all): blocks of a bucket's members (key, no, node, component, out, size) outside the home
+    component, each with blocks of all its members; a block's sizes add up to about `most`. `carried` has a row for each
+    node with the other fields, which only the last joins move."""
     n_blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.coalesce(c, F.lit(0)) / most)).cast("int")
-    totals = sized.groupBy("key").agg(F.count("*").alias("n"), n_blocks(F.sum("_size")).alias("n_all"), n_blocks(F.sum(F.when(F.col("out"), F.col("_size")))).alias("n_out"))
-    sized = join_hot(sized, totals, ["key"], "n", sized.count())
+    totals = rows.groupBy("key").agg(F.count("*").alias("n"), n_blocks(F.sum("size")).alias("n_all"), n_blocks(F.sum(F.when(F.col("out"), F.col("size")))).alias("n_out"))
+    placed = stored(join_hot(rows, totals, ["key"], "n", rows.count()).drop("size", "n"), "placed")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     row = F.collect_list(F.struct(*fields))
-    every = sized.groupBy("key", "no", place("n_all").alias("p")).agg(row.alias("all"))
+    full = placed.join(carried, "node")
+    every = full.groupBy("key", "no", place("n_all").alias("p")).agg(row.alias("all"))
     # Each block of the outer ones goes to every block of all, so that a bucket's blocks are spread over tasks.
-    outer = sized.filter("out").groupBy("key", "n_all", place("n_out").alias("q")).agg(row.alias("outer"))
+    outer = full.filter("out").groupBy("key", "n_all", place("n_out").alias("q")).agg(row.alias("outer"))
     sent = outer.select("key", "outer", F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("p"))
     return every.join(sent, ["key", "p"]).select("key", "no", "outer", "all")
 
@@ -236,8 +237,8 @@ def _left_over(members: DataFrame, centres: DataFrame, comp: DataFrame, nodes: D
             found.append(some)
         return pa.table({"key": pa.array(keys, pa.int64()), "node": np.concatenate(found)})
 
-    signed = own.join(nodes.select("node", "sig"), "node")
-    met = stored(map_batches(_blocks(signed, fields, F.lit(1), BLOCK), meet, "key long, node long").distinct(), "left-members")
+    sigs = nodes.select("node", "sig")
+    met = stored(map_batches(_blocks(own.withColumn("size", F.lit(1)), sigs, fields, BLOCK), meet, "key long, node long").distinct(), "left-members")
     sets = _sets(met.select("node").distinct(), docs, text, k)
 
     def decide(batch: pa.RecordBatch):
@@ -255,10 +256,10 @@ def _left_over(members: DataFrame, centres: DataFrame, comp: DataFrame, nodes: D
         a, b = np.concatenate(found, axis=1)
         return pa.table({"a": a, "b": b})
 
-    full = signed.join(met, ["key", "node"]).join(sets, "node")
-    size = F.size("shingles") * 8 + 600
-    links = stored(map_batches(_blocks(full, [*fields, "shingles"], size, BLOCK_BYTES), decide, "a long, b long").distinct(), "links")
-    drop_stored(own, met, sets)
+    size = (F.size("shingles") * 8 + 600).alias("size")
+    full = stored(own.join(met, ["key", "node"]).join(sets.select("node", size), "node"), "full-members")
+    links = stored(map_batches(_blocks(full, sigs.join(sets, "node"), [*fields, "shingles"], BLOCK_BYTES), decide, "a long, b long").distinct(), "links")
+    drop_stored(own, met, sets, full)
     return links
 
 

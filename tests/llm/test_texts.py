@@ -47,6 +47,25 @@ def brute_posteriors(e, moves, first):
     return g / g.sum(axis=1, keepdims=True)
 
 
+def test_features_of_many_words_take_little_memory():
+    """Fitting runs on the driver: what it holds beside its sample must be small."""
+    import tracemalloc
+
+    from talkloom.llm import language as L
+
+    texts = pa.array([" ".join(f"word{i * 7919 % 1000003}x" for i in range(lo, lo + 1000)) for lo in range(0, 50_000, 1000)])
+    t = W.words(next(W.slices(texts, 1 << 30)), W.ALNUM)
+    assert (W.FIRST.parts(t.data, t.starts, t.ends, 50) == W.FIRST.spans(t.data, t.starts, t.ends)).all()
+    hashes, at, _ = L._distinct(t)
+    tracemalloc.start()
+    keys, ends = L._features(t, at, hashes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(at) == 50_000 and peak < 32 << 20
+    few, few_ends = L._features(t, at, hashes, 1000)
+    assert (keys == few).all() and (ends == few_ends).all()
+
+
 def test_forward_backward_equals_sums_over_paths():
     rng = np.random.default_rng(0)
     e, moves, first, of = rng.normal(size=(12, 3)), rng.normal(size=(3, 3)), rng.normal(size=3), np.array([0, 5, 5, 6, 12])
