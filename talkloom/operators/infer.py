@@ -74,15 +74,17 @@ def corpus_scores(cands: DataFrame, opening: int = 12) -> DataFrame:
     and its length against the mean one, half each; clarity_simplicity is 1 at no letters, a half at the mean length of
     words, 0 at twice that. No statistic speaks for actionability_score: 0.5, as of a reply without it.
 
-    Words are counted with map-side combine before any shuffle; a word that all candidates hold meets them in the tasks
-    that its candidates are spread over by AQE, or by a broadcast."""
+    Words are counted with map-side combine before any shuffle; a word that all recordings hold meets them in the tasks
+    that its recordings are spread over by AQE, or by a broadcast."""
     said = cands.select(*KEYS, F.posexplode(words(F.lower(F.coalesce("text", F.lit(""))))).alias("at", "raw")).select(*KEYS, "at", norm_word(F.col("raw")).alias("w")).filter("w <> ''")
     terms = said.groupBy(*KEYS, "w").agg(F.count("*").alias("k"), F.count_if(F.col("at") < opening).alias("k_open"))
     own = terms.groupBy("video_id", "w").agg(F.min("cand_no").alias("first"), F.count("*").alias("held"))
     corpus = own.groupBy("w").agg(F.sum("held").alias("df"))
     total = cands.agg(F.count("*").alias("N"))  # one row
     rarity = F.when(F.col("N") > 1, F.log(F.col("N") / F.col("df")) / F.log("N")).otherwise(0.0)
-    known = terms.join(own, ["video_id", "w"]).join(corpus, "w").crossJoin(F.broadcast(total)).withColumn("r", rarity)
+    # The distinct words of a recording go to the counts and come back; what its candidates say stays where it is.
+    rated = own.join(corpus, "w").crossJoin(F.broadcast(total)).select("video_id", "w", "first", "held", rarity.alias("r"))
+    known = terms.join(rated, ["video_id", "w"])
     ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(0.0))
     summed = known.groupBy(*KEYS).agg(
         ratio(F.sum(F.col("k") * F.col("r")), F.sum("k").cast("double")).alias("specificity_score"),

@@ -125,3 +125,18 @@ def test_words_to_be_doubled_are_timed_once(spark):
 
     made = q_subtitles._doubled(lambda name: view(spark, "/root/testdata/sf0.001", name))
     assert "Union" not in plan(made) and plan(made).count("Scan parquet") == 1
+
+
+def test_words_of_candidates_stay_with_their_recording(spark):
+    from talkloom.operators.infer import corpus_scores
+
+    rows = [(v, c, t) for v in (1, 2) for c, t in enumerate(["a b a.", "b c", "d?"])]
+    cands = spark.createDataFrame(rows, "video_id long, cand_no long, text string").repartition(4, "video_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        made = corpus_scores(cands)._jdf.queryExecution()
+        text = made.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [x for x in text.split("\n\n") if ") Exchange" in x and "hashpartitioning(w#" in x]
+    assert moved and not any("k_open" in x for x in moved)
