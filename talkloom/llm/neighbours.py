@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talkloom.llm.shared import drop_stored, map_batches, stored
+from talkloom.llm.shared import drop_stored, map_batches, meet, stored
 
 #: Bytes of vectors and orders to a block, queries to a group, and bytes of pivots (single precision) to be broadcast.
 BLOCK_BYTES, GROUP, PIVOT_BYTES = 4 << 20, 256, 16 << 20
@@ -133,7 +133,6 @@ def nearest(
     blocks = stored(_ordered(base, pivots, prefix).groupBy(place).agg(entry.alias("entries")), "blocks")
     asked = _ordered(rows.filter("q").select(F.array("vec_id").alias("ids"), "v"), pivots, prefix)
     groups = stored(asked.groupBy(F.pmod(F.xxhash64("ids"), F.lit(max(1, asked.count() // GROUP))).alias("group")).agg(entry.alias("asks")), "queries")
-    sent = groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
 
     def search(batch: pa.RecordBatch):
         out_q, out_ids, out_s = [], [], []
@@ -156,7 +155,7 @@ def nearest(
                 out_s += score[best].tolist()
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "ids": pa.array(out_ids, pa.list_(pa.int64())), "score": pa.array(out_s, pa.float64())})
 
-    hits = stored(map_batches(sent.join(blocks, "block").select("asks", "entries"), search, "query_id long, ids array<long>, score double"), "hits")
+    hits = stored(map_batches(meet(groups, blocks, n_blocks).select("asks", "entries"), search, "query_id long, ids array<long>, score double"), "hits")
     drop_stored(base, blocks, groups)
     hits = hits.select("query_id", F.explode("ids").alias("vec_id"), "score").filter("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -510,3 +510,17 @@ def test_registered_queries_have_the_contracts_columns(spark):
     for name, columns in want.items():
         assert columns <= set(queries.QUERIES[name](spark, "/root/testdata/sf0.001").columns)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_queries_meet_blocks_without_a_broadcast(spark, monkeypatch):
+    """Their copies, one for each block, would all pass through the driver."""
+    plans, map_batches = [], neighbours.map_batches
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 1 << 14)
+    monkeypatch.setattr(neighbours, "map_batches", lambda df, fn, schema: (plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())), map_batches(df, fn, schema))[1])
+    x = np.random.default_rng(8).normal(size=(400, 8))
+    got = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=1, keep=1.0, probed=64).collect()
+    cosine = (x @ x.T) / np.sqrt((x * x).sum(axis=1))[:, None] / np.sqrt((x * x).sum(axis=1))
+    np.fill_diagonal(cosine, -2)
+    assert {r.query_id: r.vec_id for r in got} == {i: int(cosine[i].argmax()) for i in range(0, 400, 50)}
+    met = [text for columns, text in plans if columns == ["asks", "entries"]]
+    assert len(met) == 1 and "SortMergeJoin [block#" in met[0] and "BroadcastHashJoin" not in met[0]
