@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talkloom.llm.shared import drop_stored, map_batches, stored
+from talkloom.llm.shared import drop_stored, map_batches, meet, stored
 
 #: Anchors to a group, seeds to deal them by, rows and bytes to a block.
 GROUP, SEEDS, BLOCK_ROWS, BLOCK_BYTES = 256, 64, 8192, 4 << 20
@@ -228,10 +228,6 @@ def hard_negatives(
     blocks = stored(base.groupBy(place).agg(F.collect_list(F.struct("vec_id", "label", "v")).alias("rows")), "blocks")
     trees = stored(_trees(base.filter("anchor"), n_anchors, width), "trees")
 
-    def met(asked: DataFrame) -> DataFrame:
-        sent = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-        return sent.join(blocks, "block")
-
     def find_positives(batch: pa.RecordBatch):
         out = [[], [], []]
         for tree, block in zip(batch.column(0), batch.column(1), strict=True):
@@ -241,7 +237,7 @@ def hard_negatives(
                     column.append(values)
         return pa.table({c: np.concatenate([*x, np.zeros(0, dtype=np.int64)]).astype(np.int64) for c, x in zip(("anchor_id", "vec_id", "score"), out, strict=True)})
 
-    hits = map_batches(met(trees).select("anchors", "rows"), find_positives, "anchor_id long, vec_id long, score long")
+    hits = map_batches(meet(trees, blocks, n_blocks).select("anchors", "rows"), find_positives, "anchor_id long, vec_id long, score long")
     best = F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.desc("score"), "vec_id"))
     found = stored(hits.withColumn("n", best).filter(F.col("n") <= n_positives), "positives")
     windows = found.groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("wanted"))
@@ -262,7 +258,7 @@ def hard_negatives(
         return pa.table({c: np.concatenate([*x, np.zeros(0, dtype=np.int64)]).astype(np.int64) for c, x in zip(names, out, strict=True)})
 
     schema = "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long"
-    made = stored(map_batches(met(asked).select("anchors", "wanted", "rows"), find_negatives, schema), "negatives")
+    made = stored(map_batches(meet(asked, blocks, n_blocks).select("anchors", "wanted", "rows"), find_negatives, schema), "negatives")
     drop_stored(base, blocks, trees, found)
     rank = F.row_number().over(Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id"))
     return made.withColumn("rank", rank).filter(F.col("rank") <= k).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

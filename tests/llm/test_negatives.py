@@ -98,3 +98,16 @@ def test_window_is_exact():
         least, most = N.window(s, 30, 90)
         for x in (least - 1, least, most, most + 1):
             assert (least <= x <= most) == (30 * s <= 100 * x <= 90 * s)
+
+
+def test_trees_meet_blocks_without_a_broadcast(spark, monkeypatch):
+    """Their copies, one for each block, would all pass through the driver."""
+    plans, map_batches = [], N.map_batches
+    monkeypatch.setattr(N, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(N, "map_batches", lambda df, fn, schema: (plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())), map_batches(df, fn, schema))[1])
+    rows = [(i * 20, v, label) for i, v, label in clustered(7, 300)]
+    assert sorted(made(spark, rows)) == sorted(plain(rows))
+    met = [text for columns, text in plans if "rows" in columns]
+    assert len(met) == 2
+    for text in met:
+        assert "SortMergeJoin [block#" in text.split("Generate explode(")[0]
