@@ -211,6 +211,20 @@ def test_toxicity_edges(spark):
     assert toxicity.score_toxicity(empty(spark), toxicity.train(empty(spark), labels)).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_text(spark, monkeypatch):
+    """Of twelve words that only label 1 holds, the few documents that the driver begins with show a part."""
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", 1 << 15)
+    bad = [2 * c + "zq" + c for c in "bcdfghjklmnp"]
+    rows = [(i, sentences(i, 30) + (f" {bad[i // 3 % 12]} tail" if i % 3 == 0 else ""), "en" if i % 2 else None, "s") for i in range(1080)]
+    d = docs(spark, rows + rows[:5])
+    labels = d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).alias("toxic"))
+    model, again = (toxicity.train(x, labels, per_class=4, class_bytes=4000) for x in (d.repartition(1), d.repartition(5)))
+    fresh = [(i, sentences(5000 + i, 30) + (f" {bad[i]} tail" if i < 12 else ""), None, "s") for i in range(60)]
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs(spark, fresh), model).collect()}
+    assert all(got[i].flagged and got[i].score >= 0.7 for i in range(12)) and sum(got[i].score >= 0.7 for i in range(12, 60)) <= 1
+    assert (model.embed == again.embed).all() and (model.out == again.out).all() and model[4:] == again[4:]
+
+
 TEXTS = ["", "a b  c \n\n d e   f", "  lead trail  ", "é à la x y", "tab\t x\r\n y <|endoftext|> z", " ", "　wide　 spaces", "it's we'll 'quoted' x's", "a.b,c;d\ne\n\nf", "日本語 テキスト", "ok!?\n", "x" * 500, "end.\nNext\nThird 12ab34!"] + [sentences(s, 60) for s in range(5)]
 
 
