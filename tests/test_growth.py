@@ -140,3 +140,15 @@ def test_words_of_candidates_stay_with_their_recording(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     moved = [x for x in text.split("\n\n") if ") Exchange" in x and "hashpartitioning(w#" in x]
     assert moved and not any("k_open" in x for x in moved)
+
+
+def test_only_sequences_that_phrases_say_are_shuffled_and_once(spark):
+    """Two hundred phrases that begin with the same three words: their common places are not multiplied by them."""
+    rows = [(v, n, "abcx"[n % 4], n * 10, n * 10 + 9) for v in range(3) for n in range(40)]
+    words = spark.createDataFrame(rows, "video_id long, word_no long, word string, start_ms long, end_ms long")
+    phrases = spark.createDataFrame([(n, f"a b c y{n}" if n else "A b, c x!") for n in range(200)] + [(0, "x a")], "phrase_no long, phrase string")
+    made = phrase_places(words, phrases)
+    got = sorted(tuple(r) for r in made.collect())
+    assert got == sorted([(0, v, n, n + 3, n * 10, n * 10 + 39) for v in range(3) for n in range(0, 40, 4)] + [(0, v, n, n + 1, n * 10, n * 10 + 19) for v in range(3) for n in range(3, 39, 4)])
+    assert exchanges(made) <= 6 and "BroadcastHashJoin [ws#" not in plan(made)
+    assert "hashpartitioning(phrase_no#" not in plan(made)
